@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlattice.llm.common import table
+from emberlattice.llm.common import table, written
 from emberlattice.llm.decontaminate import decontaminate
+from emberlattice.llm.licenses import scan_licenses, scan_sql
+from emberlattice.llm.metric_tree import top_k
 from emberlattice.llm.packing import pack_documents
+from emberlattice.llm.quality import classify
 from emberlattice.llm.substrings import remove_repeats
 from emberlattice.llm.token_counts import count_tokens
 
@@ -20,23 +23,39 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return classify(docs, labels, threshold=0.3, stored=lambda df: written(df, "statistics"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), width=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, stored=lambda df: written(df, "tree"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024)
 
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
+    "op5_licenses": op5_licenses,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_top_k": op8_top_k,
     "op10_packing": op10_packing,
 }
 
@@ -86,7 +105,22 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(removed.n, 0)::BIGINT AS
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
 """
 
+OP8_SQL = """
+WITH v AS (
+    SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored) WHERE rank <= 20
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
+    "op5_licenses": scan_sql(),
     "op6_substring_dedup": OP6_SQL,
+    "op8_top_k": OP8_SQL,
 }
