@@ -1,0 +1,35 @@
+"""Connected components of links by rounds of joins; each round ends as a table in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from emberlattice.llm.common import written
+
+
+def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(id, component) for every end of the links (a, b); the component is its smallest id.
+
+    Rounds of large and small stars: each node links its larger neighbours to its smallest one, then all to the smallest, until
+    the links stand still. The number of rounds grows with the logarithm of the longest chain.
+    """
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges = written(edges, "links")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    seen = None
+    for _ in range(most_rounds):
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(down.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
+        edges = written(small, "links")
+        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum("b").cast("decimal(38,0)")).first())
+        if state == seen:
+            break
+        seen = state
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -11,6 +11,7 @@ from emberlattice.llm.common import table, written
 from emberlattice.llm.decontaminate import decontaminate
 from emberlattice.llm.licenses import scan_licenses, scan_sql
 from emberlattice.llm.metric_tree import top_k
+from emberlattice.llm.ngram_join import jaccard_components
 from emberlattice.llm.packing import pack_documents
 from emberlattice.llm.quality import classify
 from emberlattice.llm.substrings import remove_repeats
@@ -23,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=5)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return classify(docs, labels, threshold=0.3, stored=lambda df: written(df, "statistics"))
@@ -51,6 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
@@ -63,6 +69,25 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 BENCH_WORDS = r"list_filter(string_split_regex(" + LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 SPACE_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce({SPACE_WORDS.format(LOWER.format("text"))}, []) AS w FROM documents),
+grams AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
+),
+links AS (
+    SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c >= 80 * (s.n + t.n - c)
+),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM d UNION SELECT e.y, reach.r FROM reach JOIN edges e ON e.x = reach.id),
+components AS (SELECT id AS doc_id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN sizes USING (doc_id) JOIN components USING (doc_id)
+"""
+
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce({BENCH_WORDS.format("text")}, []) AS w FROM documents),
 b AS (SELECT item_id, {BENCH_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
@@ -119,6 +144,7 @@ FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": OP2_SQL,
     "op4_decontamination": OP4_SQL,
     "op5_licenses": scan_sql(),
     "op6_substring_dedup": OP6_SQL,
