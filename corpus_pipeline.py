@@ -1,8 +1,70 @@
-"""Corpus pipeline."""
+"""From raw documents to packed sequences: quality, near duplicates, repeated passages, benchmark passages, packing."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlattice.llm.common import table, written
+from emberlattice.llm.decontaminate import decontaminate
+from emberlattice.llm.ngram_join import jaccard_components
+from emberlattice.llm.packing import pack_documents
+from emberlattice.llm.quality import keep_good
+from emberlattice.llm.substrings import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject (score of at least 0.3)."""
+    return keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    groups = jaccard_components(docs, width=5)
+    return docs.join(groups.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without words that a smaller document's windows of 13 words cover; texts without such words stay as they are."""
+    changed = (
+        remove_repeats(docs, width=13, with_text=True)
+        .filter("kept_text is not null")
+        .select(F.col("doc_id").alias("changed_id"), F.col("text_key").alias("changed_key"), "kept_text")
+        .dropDuplicates(["changed_id", "changed_key"])
+    )
+    own = docs.withColumn("changed_key", F.xxhash64("text")).join(changed.withColumnRenamed("changed_id", "doc_id"), ["doc_id", "changed_key"], "left")
+    text = F.coalesce("kept_text", "text")
+    out = {"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return own.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10)
+    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_passages", benchmark_passages),
+    ("packing", packed),
+]
+
+#: SQL knows neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; each stage's result is a table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -170,3 +170,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select(
         F.col("doc_id").alias(id_col), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is at least the threshold. Scores come from the text where it is
+    read, so nothing but narrow statistics of labelled rows is shuffled. Null and empty texts are scored like all others."""
+    model = fit(document_statistics(docs, id_col, text_col), labels.filter(~held_out(labels[id_col])), id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t.as_py()) for t in batch.column(at)], dtype=np.float64).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(shared.value.scores(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -14,6 +14,7 @@ from emberlattice.llm.metric_tree import top_k
 from emberlattice.llm.ngram_join import jaccard_components
 from emberlattice.llm.packing import pack_documents
 from emberlattice.llm.quality import classify
+from emberlattice.llm.quotes import reply_order
 from emberlattice.llm.substrings import remove_repeats
 from emberlattice.llm.token_counts import count_tokens
 
@@ -46,6 +47,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), width=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_order(table(spark, sf_dir, "conversations"), stored=lambda df: written(df, "quotes"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, stored=lambda df: written(df, "tree"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quotation_linking": op7_quotation_linking,
     "op8_top_k": op8_top_k,
     "op10_packing": op10_packing,
 }
