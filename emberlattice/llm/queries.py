@@ -16,6 +16,7 @@ from emberlattice.llm.packing import pack_documents
 from emberlattice.llm.quality import classify
 from emberlattice.llm.quotes import reply_order
 from emberlattice.llm.substrings import remove_repeats
+from emberlattice.llm.suffixes import remove_repeated_bytes
 from emberlattice.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, stored=lambda df: written(df, "tree"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024)
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quotation_linking": op7_quotation_linking,
     "op8_top_k": op8_top_k,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
 }
 
@@ -149,10 +155,28 @@ SELECT query_id, rank, vec_id, score
 FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored) WHERE rank <= 20
 """
 
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+    SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)
+),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM strings JOIN firsts USING (s) WHERE first < doc_id),
+counts AS (
+    SELECT doc_id, count(*) AS n, count(*) FILTER (before IS NULL OR before <> p - 1) AS spans
+    FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id
+),
+bytes AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY p) AS h FROM bytes ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": OP2_SQL,
     "op4_decontamination": OP4_SQL,
     "op5_licenses": scan_sql(),
     "op6_substring_dedup": OP6_SQL,
     "op8_top_k": OP8_SQL,
+    "op9_suffix_array_dedup": OP9_SQL,
 }
