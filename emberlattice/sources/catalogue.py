@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlattice.operators.spatial import tiles_of_box
+
 #: Which tags put a feature in which layer: any value (None) or one of a list, any key (fixed contract).
 LAYER_TAGS = {
     "roads": {"highway": None},
@@ -55,17 +57,24 @@ def tag_layers(features: DataFrame, tags: str = "tags", layers=LAYER_TAGS) -> Da
     return features.withColumn("layer", F.explode(found))
 
 
-def search(catalogue: DataFrame, asks: DataFrame, keys=("ask_id",)) -> DataFrame:
+def search(catalogue: DataFrame, asks: DataFrame, keys=("ask_id",), tile: float = 10.0) -> DataFrame:
     """Scenes for each ask: rows of attempts (keys, attempt, collection, lo_x, lo_y, hi_x, hi_y, from_ts, to_ts, max_cloud); of an ask's attempts the
-    first that finds anything counts. Null dates or cloud limits set no bound; a scene without cloud cover counts as 100."""
-    s, a = catalogue.alias("s"), asks.alias("a")
+    first that finds anything counts. Null dates or cloud limits set no bound; a scene without cloud cover counts as 100.
+
+    Boxes meet by collection and tile; a pair counts in the tile that holds the lower corner of what they share, so once.
+    """
+    cover = lambda df: df.select("*", tiles_of_box(F.col("lo_x"), F.col("lo_y"), F.col("hi_x"), F.col("hi_y"), tile).alias("t"))
+    s, a = cover(catalogue).alias("s"), cover(asks).alias("a")
+    same = (F.col("s.collection") == F.col("a.collection")) & (F.col("s.t.tx") == F.col("a.t.tx")) & (F.col("s.t.ty") == F.col("a.t.ty"))
     cloud = F.coalesce("s.cloud_cover", F.lit(100.0))
     overlap = (F.col("s.lo_x") <= F.col("a.hi_x")) & (F.col("s.hi_x") >= F.col("a.lo_x")) & (F.col("s.lo_y") <= F.col("a.hi_y")) & (F.col("s.hi_y") >= F.col("a.lo_y"))
+    for v in ("x", "y"):
+        overlap &= F.floor(F.greatest(f"s.lo_{v}", f"a.lo_{v}") / tile) == F.col(f"s.t.t{v}")
     when = F.coalesce(F.col("s.capture_ts") >= F.col("a.from_ts"), F.col("a.from_ts").isNull()) & F.coalesce(F.col("s.capture_ts") <= F.col("a.to_ts"), F.col("a.to_ts").isNull())
-    found = s.join(a, F.col("s.collection") == F.col("a.collection")).filter(overlap & when & F.coalesce(cloud < F.col("a.max_cloud"), F.col("a.max_cloud").isNull()))
-    out = found.select(*(f"a.{k}" for k in keys), "a.attempt", "s.*")
-    first = F.min("attempt").over(Window.partitionBy(*keys))
-    return out.withColumn("first", first).filter("attempt = first").drop("first")
+    found = s.join(a, same).filter(overlap & when & F.coalesce(cloud < F.col("a.max_cloud"), F.col("a.max_cloud").isNull()))
+    out = found.select(*(f"a.{k}" for k in keys), "a.attempt", *(f"s.{n}" for n in catalogue.columns))
+    first = out.groupBy(*keys).agg(F.min("attempt").alias("attempt"))
+    return out.join(first, [*keys, "attempt"])
 
 
 def best_scene(found: DataFrame, keys=("ask_id",)) -> DataFrame:
