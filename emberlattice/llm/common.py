@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +28,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there and lost executors
-    recompute nothing before it. Shuffle files of the finished job are let go."""
+    recompute nothing before it. large: waits until shuffle files of the finished job are let go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that no live plan refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    del df
+    release(spark, 2 if large else 1)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession, rounds: int = 1) -> None:
+    """Lets Spark's cleaner drop shuffle files that no live plan refers to; it learns of them when garbage is collected, and the
+    plan of a job is garbage once its last events are through."""
+    for i in range(rounds):
+        if i:
+            time.sleep(0.7)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlattice.llm.common import shuffle_partitions, written
-from emberlattice.llm.grams import WordHashes, by_bucket, chunks, joined_blobs, rolling, windows_of
+from emberlattice.llm.grams import WordHashes, by_bucket, chunks, joined_blobs, mixed, rolling, windows_of
 
 #: Words of an automaton's patterns. Each window of 13 words holds one of the passage's blocks that start at multiples of 9.
 BLOCK = 5
@@ -23,11 +23,12 @@ GAP = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def confirmed(source: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Which documents hold windows that recur: rows (doc_id, kind, payload).
+    """Which documents hold windows that recur: a row (doc_id, windows, firsts, copy) for each of them.
 
-    FIRST: hashes of windows that start in this document, in no smaller one, and in another text; FOLLOWS: ids of documents
-    that are FIRST for windows of this one; COPY: a smaller document has the same text. Window hashes are dealt to buckets
-    as blobs, so that a common window costs a number in a blob and no bucket holds more rows than tasks.
+    windows: hashes of windows that start in this document, in no smaller one, and in another text; firsts: ids of documents
+    for which that holds of windows of this one; copy: a smaller document has the same text. Window hashes are dealt to buckets
+    as blobs, so that a common window costs a number in a blob and no bucket holds more rows than tasks; what a bucket finds goes
+    on as one blob for each bucket of documents.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,40 +47,62 @@ def confirmed(source: DataFrame, width: int, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, names=["bucket", "h", "ids", "keys"])
 
     def decide(part: pa.Table) -> pa.Table:
-        h, ids, keys = joined_blobs(part["h"], np.uint64), joined_blobs(part["ids"], np.int64), joined_blobs(part["keys"], np.int64)
+        h = joined_blobs(part["h"], np.uint64)
         order = np.argsort(h, kind="stable")
-        h, ids, keys = h[order], ids[order], keys[order]
+        h = h[order]
+        ids, keys = joined_blobs(part["ids"], np.int64)[order], joined_blobs(part["keys"], np.int64)[order]
+        del order
         starts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
         many = np.diff(np.concatenate([starts, [len(h)]]))
-        first, last = np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
+        first = np.minimum.reduceat(ids, starts)
+        again = first != np.maximum.reduceat(ids, starts)
         differ = np.minimum.reduceat(keys, starts) != np.maximum.reduceat(keys, starts)
-        recurs, copies = differ & (first != last), ~differ & (first != last)
-        out: list[tuple[int, int, bytes]] = []
-        owners = first[recurs]
-        if len(owners):
-            windows = h[starts][recurs]
-            by = np.argsort(owners, kind="stable")
-            for doc, blob in _grouped(owners[by], windows[by]):
-                out.append((doc, FIRST, blob))
-            of = np.repeat(np.where(recurs, first, 0), many)
-            pick = np.repeat(recurs, many) & (ids != of)
-            pairs = np.unique(np.stack([ids[pick], of[pick]], axis=1), axis=0)
-            for doc, blob in _grouped(pairs[:, 0], pairs[:, 1]):
-                out.append((doc, FOLLOWS, blob))
-        pick = np.repeat(copies, many) & (ids != np.repeat(first, many))
-        out += [(doc, COPY, b"") for doc in np.unique(ids[pick]).tolist()]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["doc_id", "kind", "payload"])
+        recurs, copies = differ & again, ~differ & again
+        ends = [(first[recurs], np.full(recurs.sum(), FIRST), h[starts][recurs].view(np.int64))]
+        del h, keys, starts
+        pick = np.flatnonzero(np.repeat(recurs, many))
+        of = np.repeat(first[recurs], many[recurs])
+        doc = ids[pick]
+        later = doc != of
+        doc, of = unique_pairs(doc[later], of[later])
+        ends.append((doc, np.full(len(doc), FOLLOWS), of))
+        pick = np.flatnonzero(np.repeat(copies, many))
+        doc = ids[pick]
+        doc = np.unique(doc[doc != np.repeat(first[copies], many[copies])])
+        ends.append((doc, np.full(len(doc), COPY), doc))
+        doc, kind, value = (np.concatenate(x) for x in zip(*ends, strict=True))
+        rows = list(by_bucket((mixed(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), [doc, kind.astype(np.int8), value]))
+        cols = [pa.array([r for r, _ in rows], pa.int32()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in range(3))]
+        return pa.Table.from_arrays(cols, names=["bucket", "doc", "kind", "value"])
+
+    def gather(part: pa.Table) -> pa.Table:
+        doc, kind, value = joined_blobs(part["doc"], np.int64), joined_blobs(part["kind"], np.int8), joined_blobs(part["value"], np.int64)
+        order = np.lexsort((kind, doc))
+        doc, kind, value = doc[order], kind[order], value[order]
+        cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                x, y = a + np.searchsorted(kind[a:b], [FOLLOWS, COPY])
+                rows.append((int(doc[a]), value[a:x].tobytes(), np.unique(value[x:y]).tobytes(), bool(b > y)))
+        return pa.Table.from_batches([_batch(rows, INFO)])
 
     usable = source.filter("doc_id is not null and text is not null")
-    return usable.mapInArrow(spread, "bucket int, h binary, ids binary, keys binary").groupBy("bucket").applyInArrow(decide, "doc_id long, kind int, payload binary")
+    dealt = usable.mapInArrow(spread, "bucket int, h binary, ids binary, keys binary").groupBy("bucket").applyInArrow(
+        decide, "bucket int, doc binary, kind binary, value binary"
+    )
+    return dealt.groupBy("bucket").applyInArrow(gather, "doc_id long, windows binary, firsts binary, copy boolean")
+
 
+def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
-def _grouped(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if b > a:
-            yield int(keys[a]), np.ascontiguousarray(values[a:b]).tobytes()
+
+INFO = pa.schema([("doc_id", pa.int64()), ("windows", pa.binary()), ("firsts", pa.binary()), ("copy", pa.bool_())])
 
 
 def cut_passages(source: DataFrame, found: DataFrame, width: int, with_text: bool) -> DataFrame:
@@ -87,11 +110,7 @@ def cut_passages(source: DataFrame, found: DataFrame, width: int, with_text: boo
 
     Documents that need no scan have their digest at once; the others keep their text.
     """
-    info = found.groupBy("doc_id").agg(
-        *(F.collect_list(F.when(F.col("kind") == k, F.col("payload"))).alias(name) for k, name in ((FIRST, "windows"), (FOLLOWS, "firsts"))),
-        F.max(F.col("kind") == COPY).alias("copy"),
-    )
-    together = source.join(info, "doc_id", "left")
+    together = source.join(found, "doc_id", "left")
     schema = (
         "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, kept_text string, text string, firsts array<long>, "
         "passages array<string>, passage_words long"
@@ -107,13 +126,13 @@ def cut_passages(source: DataFrame, found: DataFrame, width: int, with_text: boo
                 n = len(words)
                 passages = []
                 if windows := windows.as_py():
-                    own = np.frombuffer(b"".join(windows), dtype=np.uint64)
+                    own = np.frombuffer(windows, dtype=np.uint64)
                     h, first = np.unique(rolling(hashes.of(words), width), return_index=True)
                     at = np.sort(first[np.isin(h, own)])
                     for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                         if len(run):
                             passages.append(b" ".join(words[run[0] : run[-1] + width]).decode())
-                follows = np.unique(np.frombuffer(b"".join(firsts.as_py() or []), dtype=np.int64)).tolist()
+                follows = np.frombuffer(firsts.as_py() or b"", dtype=np.int64).tolist()
                 row = [doc.as_py(), key.as_py(), n, None, None, None, None, None, passages, sum(p.count(" ") + 1 for p in passages)]
                 if copy.as_py():
                     row[3:6] = n, sha([]), "" if with_text else None
@@ -272,8 +291,8 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("key", F.xxhash64("text"))
-    found = written(confirmed(source, width, buckets or shuffle_partitions(spark)), "windows")
-    cut = written(cut_passages(source, found, width, with_text), "passages")
+    found = written(confirmed(source, width, buckets or 2 * shuffle_partitions(spark)), "windows", large=True)
+    cut = written(cut_passages(source, found, width, with_text), "passages", large=True)
     passages = cut.filter("passage_words > 0").select(F.col("doc_id").alias("first"), "passage_words", F.explode("passages").alias("passage"))
     total = cut.agg(F.sum("passage_words")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
@@ -302,9 +321,8 @@ def remove_repeats(
         salted.groupBy("shard", "salt")
         .cogroup(patterns.groupBy("shard", "salt"))
         .applyInArrow(locate, "doc_id long, key long, spans binary")
-        .groupBy("doc_id", "key")
-        .agg(F.collect_list("spans").alias("spans"))
     )
+    spans = written(spans, "spans", large=True).groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
