@@ -282,7 +282,7 @@ def repeated_places(blocks: DataFrame, parts: int) -> DataFrame:
                 k0 = big_endian(b.text, at)
                 yield from messages(np.searchsorted(cut, k0, side="right"), b.number, at, [k0, b.text[at + 8].astype(np.uint64), np.zeros(len(at), np.uint64)])
 
-    nine = written(returned(named(blocks.select("block", "docs", "sizes", "text").mapInArrow(first, MESSAGE_SCHEMA)), "nine"), "nine")
+    nine = written(returned(named(blocks.select("block", "docs", "sizes", "text").mapInArrow(first, MESSAGE_SCHEMA)), "nine"), "nine", large=True)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +293,7 @@ def repeated_places(blocks: DataFrame, parts: int) -> DataFrame:
                 yield from messages((name[at] >> U(32)), b.number, at, [name[at], name[at + 9], name[at + 18]])
 
     own = blocks.select("block", "docs", "sizes", "text")
-    triples = written(returned(named(own.join(nine, "block").mapInArrow(second, MESSAGE_SCHEMA)), "long"), "long")
+    triples = written(returned(named(own.join(nine, "block").mapInArrow(second, MESSAGE_SCHEMA)), "long"), "long", large=True)
     joined = own.join(triples, "block")
 
     def merge(residues: tuple[int, ...], lead: int) -> DataFrame:
@@ -329,7 +329,7 @@ def repeated_places(blocks: DataFrame, parts: int) -> DataFrame:
 
     out = None
     for residues, lead in (((1, 2), 0), ((0, 1), 1), ((0, 2), 2)):
-        found = written(merge(residues, lead), "merged")
+        found = written(merge(residues, lead), "merged", large=True)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -349,11 +349,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     parts = min(buckets or shuffle_partitions(spark), 1 << 16)  # a name's high half has room for so many
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("key", F.xxhash64("text"))
     usable = source.filter(f"doc_id is not null and octet_length(text) >= {SIZE}")
-    anchors = written(recurring_anchors(usable, 2 * parts), "anchors")
-    chunks = written(chunks_of(usable, anchors), "chunks")
+    anchors = written(recurring_anchors(usable, 2 * parts), "anchors", large=True)
+    chunks = written(chunks_of(usable, anchors), "chunks", large=True)
     heads = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
     total = chunks.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    blocks = written(packed_blocks(chunks, max(1, -(-total // block_bytes))), "blocks")
+    blocks = written(packed_blocks(chunks, max(1, -(-total // block_bytes))), "blocks", large=True)
     repeated = repeated_places(blocks, parts) if total else None
 
     def spans(part: pa.Table) -> pa.Table:
