@@ -248,12 +248,12 @@ def _across(ranked: DataFrame, opened: DataFrame, arrays: DataFrame, chunk: int)
             out: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
                 rep, component, size = (batch.column(c)[i].as_py() for c in ("rep", "component", "size"))
-                own = batch.column("tokens")[i].values.to_numpy()
+                own = batch.column("tokens")[i].values.to_numpy().view(np.uint64)  # in order as such
                 others = batch.column("members")[i].values
                 reps, comps, sizes = (others.field(c).to_numpy() for c in ("rep", "component", "size"))
                 lists = others.field("tokens")
                 ends = lists.offsets.to_numpy()
-                flat = lists.values.to_numpy()
+                flat = lists.values.to_numpy().view(np.uint64)
                 n = np.diff(ends)
                 may = (comps != component) & ((sizes > size) | ((sizes == size) & (comps > component))) & (5 * n >= 4 * len(own)) & (4 * n <= 5 * len(own))
                 for j in np.flatnonzero(may).tolist():
