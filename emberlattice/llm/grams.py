@@ -14,7 +14,7 @@ U = np.uint64
 class WordHashes(dict):
     """64-bit hashes of words, kept in the worker up to a bound."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 

@@ -27,7 +27,7 @@ class UnitIds(dict):
     ends with white space is kept as None: the text is then cut by SAFE_SPACE instead. The cache is emptied at its bound.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], bound: int = 600_000, longest: int = 48):
+    def __init__(self, encode: Callable[[str], list[int]], bound: int = 200_000, longest: int = 48):
         super().__init__()
         self.encode, self.bound, self.longest = encode, bound, longest
 
