@@ -1 +1 @@
-
+"""Spark operators, see the modules."""

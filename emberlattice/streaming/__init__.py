@@ -1 +1 @@
-
+"""No streaming operators: the pipelines that this library covers are batch jobs; state, watermarks and windows over time have no counterpart."""
