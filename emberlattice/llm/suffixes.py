@@ -212,56 +212,58 @@ def splitters(blocks: DataFrame, parts: int, each: int = 512) -> np.ndarray:
     return np.quantile(np.sort(found).astype(np.float64), np.linspace(0, 1, parts + 1)[1:-1]).astype(np.uint64) if len(found) else np.zeros(0, np.uint64)
 
 
-def named(messages: DataFrame) -> DataFrame:
-    """Sorts triples and names them: messages (part, block, at, k0, k1, k2) of range partitions become (block, at, name) blobs.
+MESSAGE = [("part", pa.int32()), ("block", pa.int32()), *((k, pa.binary()) for k in ("k0", "k1", "k2", "k3", "k4"))]
+MESSAGE_SCHEMA = "part int, block int, k0 binary, k1 binary, k2 binary, k3 binary, k4 binary"
 
-    A name is the partition's number and the triple's rank there: names are in the order of the triples, equal for equal ones.
-    """
-
-    def rank(part: pa.Table) -> pa.Table:
-        number = part["part"][0].as_py()
-        keys = [joined_blobs(part[k], np.uint64) for k in ("k2", "k1", "k0")]
-        counts = [len(x.as_py()) // 4 for chunk in part["at"].chunks for x in chunk]
-        blocks = np.repeat(part["block"].to_numpy(), counts)
-        at = joined_blobs(part["at"], np.uint32)
-        order = np.lexsort(keys)
-        new = changes(keys[0][order])
-        for k in keys[1:]:
-            new |= changes(k[order])
-        names = np.empty(len(order), dtype=np.uint64)
-        names[order] = (U(number) << U(32)) | np.cumsum(new).astype(np.uint64)
-        rows = list(by_bucket(blocks, [at, names]))
-        return table_of([(b, *x) for b, x in rows], [("block", pa.int32()), ("at", pa.binary()), ("name", pa.binary())])
-
-    return messages.groupBy("part").applyInArrow(rank, "block int, at binary, name binary")
 
+def messages(part: np.ndarray, block: int, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A block's keys for each range partition, in the order of the places they come from."""
+    none = [None] * (5 - len(keys))
+    rows = list(by_bucket(part.astype(np.int32), keys))
+    if rows:
+        yield from table_of([(p, block, *x, *none) for p, x in rows], MESSAGE).to_batches()
 
-def returned(names: DataFrame, column: str) -> DataFrame:
-    """Names back in their blocks: (block, <column>_at, <column>), places in order."""
 
-    def settle(part: pa.Table) -> pa.Table:
-        at, name = joined_blobs(part["at"], np.uint32), joined_blobs(part["name"], np.uint64)
-        order = np.argsort(at, kind="stable")
-        return table_of([(part["block"][0].as_py(), at[order].tobytes(), name[order].tobytes())], [("block", pa.int32()), (f"{column}_at", pa.binary()), (column, pa.binary())])
+class Names:
+    """Names of triples as numbers without gaps, in the order of the triples: `first` has each range partition's smallest name."""
 
-    return names.groupBy("block").applyInArrow(settle, f"block int, {column}_at binary, {column} binary")
+    def __init__(self, counts: dict[int, int], parts: int):
+        sizes = np.array([counts.get(p, 0) for p in range(parts)], dtype=np.uint64)
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint64)
+        self.kind = np.uint32 if int(self.first[-1]) < 1 << 32 else np.uint64
 
+    def part_of(self, names: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, names.astype(np.uint64), side="right") - 1
 
-MESSAGE = [("part", pa.int32()), ("block", pa.int32()), ("at", pa.binary()), ("k0", pa.binary()), ("k1", pa.binary()), ("k2", pa.binary())]
-MESSAGE_SCHEMA = "part int, block int, at binary, k0 binary, k1 binary, k2 binary"
+    def settled(self, found: list[dict], parts: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Names by place: a partition answers in the order in which the block's places of that partition were sent."""
+        out = np.zeros(size, dtype=self.kind)
+        for x in found:
+            out[at[parts == x["part"]]] = (self.first[x["part"]] + np.frombuffer(x["name"], np.uint32)).astype(self.kind)
+        return out
 
 
-def messages(part: np.ndarray, block: int, at: np.ndarray, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    rows = list(by_bucket(part.astype(np.int32), [at.astype(np.uint32), *keys]))
-    if rows:
-        yield from table_of([(p, block, *x) for p, x in rows], MESSAGE).to_batches()
+def named(sent: DataFrame, kinds: tuple, name: str, parts: int) -> tuple[DataFrame, Names]:
+    """Sorts the triples (keys of the given kinds) within range partitions and names them by rank: rows (block, found), found a list of
+    (part, name) with ranks in the order sent; and the numbering."""
 
+    def rank(part: pa.Table) -> pa.Table:
+        keys = [joined_blobs(part[f"k{i}"], k) for i, k in enumerate(kinds)]
+        counts = [len(x.as_py()) // np.dtype(kinds[0]).itemsize for chunk in part["k0"].chunks for x in chunk]
+        order = np.lexsort(keys[::-1])
+        new = changes(keys[0][order])
+        for k in keys[1:]:
+            new |= changes(k[order])
+        names = np.empty(len(order), dtype=np.uint32)
+        names[order] = (np.cumsum(new) - 1).astype(np.uint32)
+        ends = np.cumsum(counts).tolist()
+        number, n = part["part"][0].as_py(), int(new.sum())
+        rows = [(b, number, names[e - c : e].tobytes(), n) for b, c, e in zip(part["block"].to_pylist(), counts, ends, strict=True)]
+        return table_of(rows, [("block", pa.int32()), ("part", pa.int32()), ("name", pa.binary()), ("n", pa.int64())])
 
-def scattered(row: dict, column: str, size: int) -> np.ndarray:
-    """Names by place in the block (0 where there is none)."""
-    out = np.zeros(size, dtype=np.uint64)
-    out[np.frombuffer(row[f"{column}_at"], np.uint32)] = np.frombuffer(row[column], np.uint64)
-    return out
+    own = written(sent.groupBy("part").applyInArrow(rank, "block int, part int, name binary, n long"), name, large=True)
+    numbering = Names({r.part: r.n for r in own.groupBy("part").agg(F.max("n").alias("n")).collect()}, parts)
+    return own.groupBy("block").agg(F.collect_list(F.struct("part", "name")).alias(name)), numbering
 
 
 def repeated_places(blocks: DataFrame, parts: int) -> DataFrame:
@@ -273,57 +275,67 @@ def repeated_places(blocks: DataFrame, parts: int) -> DataFrame:
     of the sorted order get the smallest document of their run.
     """
     cut = splitters(blocks, parts)
+    own = blocks.select("block", "docs", "sizes", "text")
+
+    def leading(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = b.places((1, 2), 9)
+        k0 = big_endian(b.text, at)
+        return at, k0, np.searchsorted(cut, k0, side="right")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                at = b.places((1, 2), 9)
-                k0 = big_endian(b.text, at)
-                yield from messages(np.searchsorted(cut, k0, side="right"), b.number, at, [k0, b.text[at + 8].astype(np.uint64), np.zeros(len(at), np.uint64)])
+                at, k0, to = leading(b)
+                yield from messages(to, b.number, [k0, b.text[at + 8]])
 
-    nine = written(returned(named(blocks.select("block", "docs", "sizes", "text").mapInArrow(first, MESSAGE_SCHEMA)), "nine"), "nine", large=True)
+    nine, of_nine = named(own.mapInArrow(first, MESSAGE_SCHEMA), (np.uint64, np.uint8), "nine", parts)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                name = scattered(row, "nine", len(b.text))
+                at, _, to = leading(b)
+                name = of_nine.settled(row["nine"], to, at, len(b.text))
                 at = b.places((1, 2), 27)
-                yield from messages((name[at] >> U(32)), b.number, at, [name[at], name[at + 9], name[at + 18]])
+                yield from messages(of_nine.part_of(name[at]), b.number, [name[at], name[at + 9], name[at + 18]])
 
-    own = blocks.select("block", "docs", "sizes", "text")
-    triples = written(returned(named(own.join(nine, "block").mapInArrow(second, MESSAGE_SCHEMA)), "long"), "long", large=True)
-    joined = own.join(triples, "block")
+    with_nine = own.join(nine, "block")
+    long, of_long = named(with_nine.mapInArrow(second, MESSAGE_SCHEMA), (of_nine.kind,) * 3, "long", parts)
+    joined = with_nine.join(long, "block")
 
     def merge(residues: tuple[int, ...], lead: int) -> DataFrame:
-        """Compares places of two residues by `lead` bytes, the names 'lead' further on and 21 (or the rest) behind those, and the bytes left."""
+        """Compares places of two residues by `lead` bytes, the names `lead` further on and 21 behind those, and the bytes left."""
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     b = Block(row)
-                    name = scattered(row, "long", len(b.text))
+                    at, _, to = leading(b)
+                    name = of_nine.settled(row["nine"], to, at, len(b.text))
+                    at = b.places((1, 2), 27)
+                    name = of_long.settled(row["long"], of_nine.part_of(name[at]), at, len(b.text))
                     at = b.places(residues, SIZE)
                     one, two = name[at + lead], name[at + lead + 21]
-                    few = np.zeros(len(at), np.uint64)
+                    few = np.zeros(len(at), np.uint16)
                     for j in [*range(lead), *range(lead + 48, SIZE)]:
-                        few = (few << U(8)) | b.text[at + j].astype(np.uint64)
-                    # the document takes the place of the third key; the two bytes go into the names' free high bits of the second
-                    yield from messages(one >> U(32), b.number, at, [one, two ^ (few << U(48)), b.docs[b.chunk[at]].view(np.uint64)])
+                        few = (few << np.uint16(8)) | b.text[at + j]
+                    yield from messages(of_long.part_of(one), b.number, [one, two, few, b.docs[b.chunk[at]], at.astype(np.uint32)])
 
         def compare(part: pa.Table) -> pa.Table:
-            k0, k1 = joined_blobs(part["k0"], np.uint64), joined_blobs(part["k1"], np.uint64)
-            order = np.lexsort((k1, k0))
-            starts = np.flatnonzero(changes(k0[order]) | changes(k1[order]))
-            del k0, k1
-            docs = joined_blobs(part["k2"], np.int64)[order]
+            k0, k1, few = (joined_blobs(part[f"k{i}"], k) for i, k in enumerate((of_long.kind, of_long.kind, np.uint16)))
+            order = np.lexsort((few, k1, k0))
+            starts = np.flatnonzero(changes(k0[order]) | changes(k1[order]) | changes(few[order]))
+            del k0, k1, few
+            docs = joined_blobs(part["k3"], np.int64)[order]
             many = np.diff(np.concatenate([starts, [len(docs)]]))
             later = docs > np.repeat(np.minimum.reduceat(docs, starts), many)
-            counts = [len(x.as_py()) // 4 for chunk in part["at"].chunks for x in chunk]
+            del docs
+            counts = [len(x.as_py()) // 4 for chunk in part["k4"].chunks for x in chunk]
             blocks_of = np.repeat(part["block"].to_numpy(), counts)[order][later]
-            at = joined_blobs(part["at"], np.uint32)[order][later]
-            return table_of([(b, x[0]) for b, x in by_bucket(blocks_of, [at])], [("block", pa.int32()), ("at", pa.binary())])
+            at = joined_blobs(part["k4"], np.uint32)[order][later]
+            rows = [(b, x[0]) for b, x in by_bucket(blocks_of, [at])] if len(at) else []
+            return table_of(rows, [("block", pa.int32()), ("at", pa.binary())])
 
         return joined.mapInArrow(send, MESSAGE_SCHEMA).groupBy("part").applyInArrow(compare, "block int, at binary")
 
@@ -346,7 +358,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     a null id are kept as they are; rows of one id don't remove from one another; an empty table gives no rows. Other columns are never read.
     """
     spark = docs.sparkSession
-    parts = min(buckets or shuffle_partitions(spark), 1 << 16)  # a name's high half has room for so many
+    parts = buckets or shuffle_partitions(spark)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("key", F.xxhash64("text"))
     usable = source.filter(f"doc_id is not null and octet_length(text) >= {SIZE}")
     anchors = written(recurring_anchors(usable, 2 * parts), "anchors", large=True)
