@@ -81,7 +81,7 @@ MASKED = A.CELLS + """, masked AS (
 ANOMALOUS = MASKED + """, base AS (
     SELECT coalesce(avg(lst_day_celsius) FILTER (is_rural), avg(lst_day_celsius)) AS bd, coalesce(avg(lst_night_celsius) FILTER (is_rural), avg(lst_night_celsius)) AS bn FROM masked
 ), anomalous AS (SELECT masked.*, lst_day_celsius - bd AS suhii_day_celsius, lst_night_celsius - bn AS suhii_night_celsius FROM masked, base)"""
-NIGHTLY = ANOMALOUS + """, nightly AS (
+NIGHTLY = ANOMALOUS + """, nightly AS MATERIALIZED (
     SELECT *, lst_night_celsius / CASE WHEN lst_day_celsius = 0 THEN 1 ELSE lst_day_celsius END AS ratio, least(greatest(lst_day_celsius - lst_night_celsius, 0), 45) AS delta_lst_diurnal,
         least(greatest(ratio, 0), 1.5) AS heat_persistence_index,
         CASE WHEN ratio >= 0.65 AND is_urban THEN 'High Nocturnal Heat Retention' WHEN ratio >= 0.55 THEN 'Moderate Retention' WHEN ratio < 0.55 THEN 'Rapid Cooling' ELSE 'Moderate Retention' END AS thermal_retention_class
@@ -120,7 +120,7 @@ moments AS (
     SELECT nightly.*, least(n, 9) AS ks, sqrt(greatest(1, (n * ks - ks * ks) / greatest(1, n - 1)::DOUBLE)) AS spread,
         (sd - ks * md) / (dd * spread) AS gi_zscore_day, (sn - ks * mn) / (dn * spread) AS gi_zscore_night
     FROM nightly JOIN sums USING (point_id), moments
-), p AS (SELECT *, {tail_sql("gi_zscore_day")} AS gi_pvalue_day, {tail_sql("gi_zscore_night")} AS gi_pvalue_night FROM z), hot AS (
+), p AS (SELECT *, {tail_sql("gi_zscore_day")} AS gi_pvalue_day, {tail_sql("gi_zscore_night")} AS gi_pvalue_night FROM z), hot AS MATERIALIZED (
     SELECT *, CASE WHEN gi_zscore_day > 2.58 AND gi_pvalue_day < 0.01 THEN 99 WHEN gi_zscore_day > 1.96 AND gi_pvalue_day < 0.05 THEN 95 END AS day_hotspot_significance,
         CASE WHEN gi_zscore_night > 2.58 AND gi_pvalue_night < 0.01 THEN 99 WHEN gi_zscore_night > 1.96 AND gi_pvalue_night < 0.05 THEN 95 END AS night_hotspot_significance,
         day_hotspot_significance IS NOT NULL OR night_hotspot_significance IS NOT NULL AS is_validated_hotspot,
@@ -134,14 +134,14 @@ moments AS (
 
 def clusters_sql(connectivity: int = 8) -> str:
     near = "abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1" if connectivity == 8 else "abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1"
-    return HOT.replace("cells AS (", "RECURSIVE cells AS (", 1) + f""", scan AS (
+    return HOT.replace("cells AS (", "RECURSIVE cells AS (", 1) + f""", scan AS MATERIALIZED (
     SELECT point_id, gx, gy, ((SELECT max(gy) FROM hot) - gy) * 100000 + gx AS id FROM hot WHERE is_validated_hotspot
-), links AS (
+), links AS MATERIALIZED (
     SELECT a.id AS x, b.id AS y FROM scan a JOIN scan b ON b.gx BETWEEN a.gx - 1 AND a.gx + 1 AND {near} AND a.id <> b.id
 ), reach AS (SELECT id, id AS root FROM scan UNION SELECT links.y, reach.root FROM reach JOIN links ON links.x = reach.id),
-roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id), labels AS (
+roots AS MATERIALIZED (SELECT id, min(root) AS root FROM reach GROUP BY id), labels AS (
     SELECT point_id, 'HOT_' || lpad(dense_rank() OVER (ORDER BY root)::VARCHAR, 4, '0') AS hotspot_id FROM scan JOIN roots USING (id)
-), clustered AS (SELECT hot.*, hotspot_id FROM hot LEFT JOIN labels USING (point_id))"""
+), clustered AS MATERIALIZED (SELECT hot.*, hotspot_id FROM hot LEFT JOIN labels USING (point_id))"""
 
 
 CLUSTERED = clusters_sql()
@@ -150,7 +150,7 @@ CLUSTERED = clusters_sql()
 def ranks_sql(source: str) -> str:
     return f""", totals AS (SELECT count(*) AS n FROM {source} WHERE NOT is_water), land AS (
     SELECT point_id, rank() OVER (ORDER BY lst_day_celsius) AS temperature_rank, count(*) OVER (PARTITION BY lst_day_celsius) AS ties FROM {source} WHERE NOT is_water
-), ranked AS (
+), ranked AS MATERIALIZED (
     SELECT {source}.*, temperature_rank, n AS temperature_total_pixels,
         CASE WHEN temperature_rank IS NULL THEN NULL WHEN n = 1 THEN 100 ELSE round_even(least(greatest((temperature_rank + (ties - 1) / 2.0::DOUBLE - 1) / (n - 1) * 100, 0), 100), 2) END AS city_temperature_percentile
     FROM {source} LEFT JOIN land USING (point_id), totals
@@ -161,7 +161,7 @@ RANKED = NIGHTLY + ranks_sql("nightly")
 SCORED = CLUSTERED + ranks_sql("clustered") + """, limits AS (
     SELECT min(greatest(gi_zscore_day, gi_zscore_night)) AS g0, max(greatest(gi_zscore_day, gi_zscore_night)) AS g1, min(greatest(suhii_day_celsius, suhii_night_celsius)) AS s0,
         max(greatest(suhii_day_celsius, suhii_night_celsius)) AS s1, min(heat_persistence_index) AS h0, max(heat_persistence_index) AS h1 FROM ranked
-), scored AS (
+), scored AS MATERIALIZED (
     SELECT ranked.*, CASE WHEN hotspot_id IS NOT NULL THEN round_even(least(greatest(100.0::DOUBLE * (
             0.45::DOUBLE * (greatest(gi_zscore_day, gi_zscore_night) - g0) / (g1 - g0) + 0.30::DOUBLE * (greatest(suhii_day_celsius, suhii_night_celsius) - s0) / (s1 - s0)
             + 0.15::DOUBLE * (heat_persistence_index - h0) / (h1 - h0) + 0.10::DOUBLE * coalesce(city_temperature_percentile / 100, 0)), 0), 100), 2) END AS hotspot_confidence_score,
