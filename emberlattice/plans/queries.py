@@ -36,7 +36,8 @@ def query(name: str, sql: str | None):
 
 def simple(name: str, source: Query, sql: str, **columns) -> None:
     """A query of expressions over a source, with point_id."""
-    query(name, sql)(lambda spark, d: source(spark, d).select("point_id", *(f().alias(n) for n, f in columns.items())))
+    stage = source.__name__
+    query(name, sql)(lambda spark, d: globals().get(stage, source)(spark, d).select("point_id", *(f().alias(n) for n, f in columns.items())))
 
 
 c, r4, r6 = F.col, lambda x: F.round(x, 4), lambda x: F.round(x, 6)
