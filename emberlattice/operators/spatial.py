@@ -78,23 +78,28 @@ def tiles_of_box(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, size: f
     return F.explode(F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("tx"), j.alias("ty"))))))
 
 
-def inside_ring(px: Column, py: Column, ring: str) -> Column:
-    """Even-odd test against a closed ring (array of x, y), a point on an edge counts as inside."""
-    edges = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring) - 1).alias("b"))
+def crossed(px: Column, py: Column, edges: Column) -> Column:
+    """Whether a ray to the right crosses an odd number of edges (array of a, b)."""
 
     def crosses(e):
         up = (e["a"]["y"] > py) != (e["b"]["y"] > py)
         at = e["a"]["x"] + (py - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])
         return up & (px < at)
 
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def inside_ring(px: Column, py: Column, ring: str) -> Column:
+    """Even-odd test against a closed ring (array of x, y), a point on an edge counts as inside."""
+    edges = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring) - 1).alias("b"))
+
     def on(e):
         cross = (e["b"]["x"] - e["a"]["x"]) * (py - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (px - e["a"]["x"])
         within = px.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"]))
         within &= py.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
         return (cross == 0) & within
 
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return odd | F.exists(edges, on)
+    return crossed(px, py, edges) | F.exists(edges, on)
 
 
 def segments(shapes: DataFrame, keys=("layer",)) -> DataFrame:
@@ -162,9 +167,34 @@ def within_count(points: DataFrame, boxes: DataFrame, radius: float, x: str = "u
     return pairs.filter(dx * dx + dy * dy <= radius * radius).groupBy(id_col).agg(F.countDistinct("feature_id").alias("n"))
 
 
-def building_density(points: DataFrame, boxes: DataFrame, radius: float = 50.0, divisor: float = 10.0, id_col: str = "point_id", **names) -> DataFrame:
-    """Adds building_density = count / divisor within 0..1 (0 where there is none)."""
-    counts = within_count(points, boxes, radius, id_col=id_col, **names)
+def touching_count(points: DataFrame, shapes: DataFrame, radius: float, x: str = "utm_x_m", y: str = "utm_y_m", id_col: str = "point_id", keys=()) -> DataFrame:
+    """(id_col, n): how many different shapes (keys, feature_id, geom_type, parts) come within the radius of each point of the same keys, by
+    the exact distance to their edges, 0 inside a polygon and not in its holes; points with none are not there.
+
+    Boxes only deal parts to tiles: each part is in all tiles that its box touches when grown by the radius. A point is inside if it is inside an odd number of a shape's rings.
+    """
+    same = lambda p: F.transform(p, lambda v: F.struct(v.alias("a"), v.alias("b")))
+    own = shapes.select(*keys, "feature_id", "geom_type", "parts").distinct().withColumn("shape", F.xxhash64("geom_type", "parts"))
+    part = own.select(*keys, "feature_id", "shape", "geom_type", F.explode("parts").alias("p")).filter(F.size("p") > 0)
+    joined = F.arrays_zip(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(1))).alias("a"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))).alias("b"))
+    part = part.withColumn("edges", F.when((F.col("geom_type") == "point") | (F.size("p") == 1), same("p")).otherwise(joined)).withColumn("area", (F.col("geom_type") == "polygon") & (F.size("p") > 3))
+    xs, ys = F.transform("p", lambda v: v["x"]), F.transform("p", lambda v: v["y"])
+    boxes = part.select(*keys, "feature_id", "shape", "area", "edges", F.array_min(xs).alias("lo_x"), F.array_min(ys).alias("lo_y"), F.array_max(xs).alias("hi_x"), F.array_max(ys).alias("hi_y"))
+    size, most = 2 * radius, radius * radius
+    dealt = boxes.select("*", tiles_of_box(F.col("lo_x") - radius, F.col("lo_y") - radius, F.col("hi_x") + radius, F.col("hi_y") + radius, size).alias("t")).select("*", "t.tx", "t.ty").drop("t")
+    px, py = F.col("x"), F.col("y")
+    at = points.select(*keys, F.col(id_col), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumns({"tx": tile(px, size), "ty": tile(py, size)})
+    dx, dy = F.greatest(F.col("lo_x") - px, F.lit(0.0), px - F.col("hi_x")), F.greatest(F.col("lo_y") - py, F.lit(0.0), py - F.col("hi_y"))
+    pairs = at.join(dealt, [*keys, "tx", "ty"]).filter(dx * dx + dy * dy <= most)
+    near = F.exists("edges", lambda e: segment_distance2(px, py, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]) <= most)
+    inside = F.col("area") & crossed(px, py, F.col("edges"))
+    met = pairs.select(id_col, "feature_id", "shape", near.alias("near"), inside.cast("int").alias("inside")).groupBy(id_col, "feature_id", "shape").agg(F.max("near").alias("near"), F.sum("inside").alias("rings"))
+    return met.filter(F.col("near") | (F.col("rings") % 2 == 1)).groupBy(id_col).agg(F.countDistinct("feature_id").alias("n"))
+
+
+def building_density(points: DataFrame, shapes: DataFrame, radius: float = 50.0, divisor: float = 10.0, id_col: str = "point_id", **names) -> DataFrame:
+    """Adds building_density = count / divisor within 0..1 (0 where there is none); shapes have parts, or are boxes."""
+    counts = (touching_count if "parts" in shapes.columns else within_count)(points, shapes, radius, id_col=id_col, **names)
     return points.join(counts, id_col, "left").withColumn("building_density", F.least(F.coalesce(F.col("n"), F.lit(0)) / divisor, F.lit(1.0))).drop("n")
 
 

@@ -128,10 +128,12 @@ SHAPES = """shapes AS (
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as building boxes in metres on the cells' ground."""
+    """Parts as building polygons in metres on the cells' ground."""
     k = F.col("p_partkey")
     x, y = 400000.0 + k * 37 % 10000, 1440000.0 + k * 53 % 10000
-    return table(spark, sf_dir, "part").select(k.alias("feature_id"), x.alias("lo_x"), y.alias("lo_y"), (x + 5.0 + k % 20).alias("hi_x"), (y + 8.0 + k % 15).alias("hi_y"))
+    w, h = x + 5.0 + k % 20, y + 8.0 + k % 15
+    v = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return table(spark, sf_dir, "part").select(k.alias("feature_id"), F.lit("polygon").alias("geom_type"), F.array(F.array(v(x, y), v(w, y), v(w, h), v(x, h), v(x, y))).alias("parts"))
 
 
 BUILDINGS = """buildings AS (

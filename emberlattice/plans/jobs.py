@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,28 @@ def ingest(spark: SparkSession, folder: str, layers=("water", "parks", "roads",
     return every.unionByName(Q.overall(every).select(F.lit("overall").alias("name"), "status", F.concat(F.col("failed").cast("string"), F.lit(" failed")).alias("issues")))
 
 
+def in_zones(shapes: DataFrame, points: DataFrame, margin_m: float) -> DataFrame:
+    """(srid, feature_id, geom_type, parts): shapes in metres of each zone (srid) whose points' box, grown by the margin, theirs touches."""
+    lon, lat = F.col("longitude"), F.col("latitude")
+    zones = points.groupBy("srid").agg(F.min(lon).alias("a"), F.min(lat).alias("b"), F.max(lon).alias("c"), F.max(lat).alias("d")).collect()
+    corner = F.flatten("parts")
+    cx, cy = F.transform(corner, lambda p: p["x"]), F.transform(corner, lambda p: p["y"])
+    boxed = shapes.select("feature_id", "geom_type", "parts", F.array_min(cx).alias("lo"), F.array_min(cy).alias("low"), F.array_max(cx).alias("hi"), F.array_max(cy).alias("high"))
+    north = margin_m / 55000.0
+    meets = []
+    for z in zones:
+        east = north / max(math.cos(math.radians(min(max(abs(z.b), abs(z.d)) + north, 89.0))), 0.01)
+        hit = (F.col("hi") >= z.a - east) & (F.col("lo") <= z.c + east) & (F.col("high") >= z.b - north) & (F.col("low") <= z.d + north)
+        meets.append(F.when(hit, F.lit(z.srid)))
+    found = boxed.withColumn("srid", F.explode(F.array_compact(F.array(*meets).cast("array<int>"))))
+
+    def moved(v):
+        e, n = P.utm(v["x"], v["y"], F.col("srid"))
+        return F.struct(e.alias("x"), n.alias("y"))
+
+    return found.select("srid", "feature_id", "geom_type", F.transform("parts", lambda p: F.transform(p, moved)).alias("parts"))
+
+
 def build_features(boundary: DataFrame, shapes: DataFrame, headers: DataFrame, bands: DataFrame, ground: DataFrame, cover: DataFrame, grid: Grid = Grid()) -> DataFrame:
     """The 14 feature columns of every grid point (and run_id, longitude, latitude).
 
@@ -70,16 +93,13 @@ def build_features(boundary: DataFrame, shapes: DataFrame, headers: DataFrame, b
     """
     points = written(S.regular_grid(boundary, grid.metres).withColumn("scene_id", F.col("run_id")).withColumn("own_id", F.col("point_id")), "grid")
     points = points.withColumn("point_id", F.concat_ws("/", "run_id", "own_id"))
+    points = T.per_run(points, [F.avg("longitude").alias("mid_lon"), F.avg("latitude").alias("mid_lat")])
+    points = points.withColumn("srid", P.utm_srid(F.col("mid_lon"), F.col("mid_lat"))).drop("mid_lon", "mid_lat")
     near = proximity(points, shapes, grid.tile_degrees)
-    x, y = P.utm(F.col("longitude"), F.col("latitude"), P.utm_srid(F.col("longitude"), F.col("latitude")))
+    x, y = P.utm(F.col("longitude"), F.col("latitude"), F.col("srid"))
     placed = near.withColumns({"utm_x_m": x, "utm_y_m": y})
-    corner = F.flatten("parts")
-    cx, cy = F.transform(corner, lambda p: p["x"]), F.transform(corner, lambda p: p["y"])
-    boxes = shapes.filter("layer = 'buildings'").select("feature_id", F.array_min(cx).alias("a"), F.array_min(cy).alias("b"), F.array_max(cx).alias("c"), F.array_max(cy).alias("d"))
-    zone = P.utm_srid(F.col("a"), F.col("b"))
-    (x0, y0), (x1, y1) = P.utm(F.col("a"), F.col("b"), zone), P.utm(F.col("c"), F.col("d"), zone)
-    boxes = boxes.select("feature_id", F.least(x0, x1).alias("lo_x"), F.least(y0, y1).alias("lo_y"), F.greatest(x0, x1).alias("hi_x"), F.greatest(y0, y1).alias("hi_y"))
-    dense = S.building_density(placed, boxes, grid.radius_m, grid.divisor)
+    buildings = in_zones(shapes.filter("layer = 'buildings'"), points, grid.radius_m)
+    dense = S.building_density(placed, buildings, grid.radius_m, grid.divisor, keys=("srid",))
     spectral = R.spectral_columns(R.sample(dense, headers, bands, values=("red", "green", "nir", "swir", "lst")))
     terrain = R.sample(spectral, headers, R.terrain(ground, headers), clamp=True, values=("elevation_m", "slope_deg", "aspect_deg"))
     full = R.sample(terrain, headers, cover, values=("value",)).withColumn("land_cover_code", E.land_cover(F.col("value")))

@@ -214,6 +214,69 @@ def test_feature_and_hotspot_jobs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "h/metadata.json")).count() == 2
 
 
+def ring_of(*corners):
+    return [{"x": float(x), "y": float(y)} for x, y in [*corners, corners[0]]]
+
+
+def test_building_density_takes_real_shapes(spark):
+    shapes = spark.createDataFrame(
+        [
+            (1, "polygon", [ring_of((0, 0), (400, 400), (390, 410), (-10, 10))]),  # slanted
+            (2, "polygon", [box(1000, 0, 1010, 10), box(1400, 0, 1410, 10)]),  # two parts
+            (3, "polygon", [box(2000, 0, 2400, 400), box(2100, 100, 2300, 300)]),  # courtyard
+            (4, "polygon", [ring_of((3000, 0), (3400, 0), (3400, 20), (3020, 20), (3020, 400), (3000, 400))]),  # L
+            (5, "point", [[{"x": 4000.0, "y": 0.0}, {"x": 4400.0, "y": 0.0}]]), (6, "polygon", []),
+            (3, "polygon", [box(2000, 0, 2400, 400), box(2100, 100, 2300, 300)]),  # the same row again
+        ],
+        f"feature_id long, geom_type string, parts array<{RING}>",
+    )
+    at = {
+        "slanted far": (300, 50, 0), "slanted near": (220, 180, 1), "between parts": (1200, 5, 0), "second part": (1450, 5, 1), "courtyard": (2200, 200, 0),
+        "courtyard wall": (2150, 200, 1), "inside": (2050, 50, 1), "deep inside": (2350, 200, 1), "L far": (3200, 200, 0), "L near": (3070, 200, 1), "between points": (4200, 0, 0), "edge": (4450, 0, 1),
+    }
+    points = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y, _) in at.items()], "point_id string, utm_x_m double, utm_y_m double")
+    assert {r.point_id: r.building_density * 10 for r in S.building_density(points, shapes).collect()} == {n: v for n, (_, _, v) in at.items()}
+    wide = spark.createDataFrame([(7, "polygon", [box(-500, -500, 500, 500)])], shapes.schema)
+    assert one(S.touching_count(points.limit(0).union(spark.createDataFrame([("m", 0.0, 0.0)], points.schema)), wide, 50.0)).n == 1
+
+
+def test_features_count_real_buildings(spark):
+    """Points of two runs, one across a border of zones; buildings slanted, in two parts and beyond the border."""
+    runs = spark.createDataFrame([("r", box(80.20, 13.00, 80.212, 13.012)), ("z", box(83.995, 13.00, 84.004, 13.003))], f"run_id string, ring {RING}")
+    far = box(80.201, 13.001, 80.2011, 13.0011), box(80.210, 13.010, 80.2101, 13.0101)
+    shapes = spark.createDataFrame(
+        [(1, "buildings", "polygon", [*far]), (2, "buildings", "polygon", [ring_of((80.2, 13.0), (80.212, 13.012), (80.2119, 13.0121))]), (3, "buildings", "polygon", [box(84.0001, 13.0, 84.0031, 13.003)]),
+         (4, "buildings", "polygon", [box(74.205, 13.005, 74.206, 13.006)])],
+        f"feature_id long, layer string, geom_type string, parts array<{RING}>",
+    )
+    heads = spark.createDataFrame([(r, x, 13.013, 0.001, 0.001, 14, 14, 1, -9999.0) for r, x in (("r", 80.199), ("z", 83.994))], "scene_id string, left double, top double, res_x double, res_y double, width int, height int, bands int, nodata double")
+    wide = R.synthetic(heads, "bands").groupBy("scene_id", "row", "col").pivot("band", [1, 2, 3, 4]).agg(F.first("value")).toDF("scene_id", "row", "col", "red", "green", "nir", "swir").withColumn("lst", F.lit(20.0))
+    rows = jobs.build_features(runs, shapes, heads, wide, R.synthetic(heads, "elevation"), R.synthetic(heads, "cover")).collect()
+    metres = lambda p, lat=13.0: (p[0] * 111320 * math.cos(math.radians(lat)), p[1] * 110650)
+
+    def distance(p, shape):
+        (x, y), best = metres(p), math.inf
+        for ring in shape:
+            odd = False
+            for a, b in zip(ring, ring[1:]):
+                (ax, ay), (bx, by) = metres((a["x"], a["y"])), metres((b["x"], b["y"]))
+                dx, dy = bx - ax, by - ay
+                t = min(max(((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy), 0), 1)
+                best = min(best, math.hypot(ax + t * dx - x, ay + t * dy - y))
+                odd ^= (ay > y) != (by > y) and x < ax + (y - ay) * dx / (by - ay)
+            best = 0 if odd else best
+        return best
+
+    parts = [r.parts for r in shapes.collect()]
+    checked = 0
+    for r in rows:
+        far_from = [distance((r.longitude, r.latitude), p) for p in parts]
+        if all(abs(d - 50) > 2 for d in far_from):
+            checked += 1
+            assert round(r.building_density * 10) == sum(d < 50 for d in far_from), (r, far_from)
+    assert checked > 150 and {round(r.building_density * 10) for r in rows if r.run_id == "z"} == {0, 1}
+
+
 def test_catalogue(spark):
     files = spark.createDataFrame([("s", "b", 200_000), ("s", "a", 200_000), ("s", "c", 5), ("t", "d", 9)], "sensor string, path string, length long")
     assert [(r.sensor, r.path) for r in C.largest_file(files).collect()] == [("s", "a")]
