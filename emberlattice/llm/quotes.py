@@ -46,10 +46,33 @@ def parsed(text: str) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip() if quotes else text, [(n, "\n".join(x)) for n, x in quotes]
 
 
-def passages(own: str) -> set[int]:
-    """Hashes under which a message can be quoted: as a whole, by paragraph, by line."""
-    parts = [own, *re.split(r"\n\s*\n", own), *own.split("\n")]
-    return {h for h in map(normal_hash, parts) if h is not None}
+def outline(text: str) -> list[list[int]]:
+    """Hashes of each paragraph with words: of the whole of it, then of its lines."""
+    parts = [[normal_hash(p), *map(normal_hash, p.split("\n"))] for p in re.split(r"\n\s*\n", text)]
+    return [[h for h in p if h is not None] for p in parts if p[0] is not None]
+
+
+def holds(said: list[list[int]], units: list[list[int]]) -> bool:
+    """Whether a message's outline holds a quote's paragraphs in their order, each as a paragraph or by all its lines in their order; what was
+    left out between them doesn't matter. The earliest end for each paragraph leaves most to the next ones."""
+    lines, starts = [], {}
+    for p in said:
+        starts.setdefault(p[0], []).append((len(lines), len(lines) + len(p) - 1))
+        lines += p[1:]
+    at = 0
+    for p in units:
+        ends = [b for a, b in starts.get(p[0], ()) if a >= at][:1]
+        n = at
+        for h in p[1:]:
+            while n < len(lines) and lines[n] != h:
+                n += 1
+            n += 1
+        if n <= len(lines):
+            ends.append(n)
+        if not ends:
+            return False
+        at = min(ends)
+    return True
 
 
 def reply_order(
@@ -58,7 +81,7 @@ def reply_order(
     """Messages without their quotes, each with its place in the reply order of its conversation.
 
     A quoted passage is traced to the latest earlier message of the conversation whose own text, a paragraph or a line of it has
-    the same words. A message replies to the latest message that its shallowest traced level of quotes leads to. Replies follow their parent depth first,
+    the same words, or that holds all paragraphs of the passage in their order, each whole or by its lines. A message replies to the latest message that its shallowest traced level of quotes leads to. Replies follow their parent depth first,
     siblings and messages without a parent by turn. Origins are found by sorting passages of one conversation and hash by turn,
     so that a common passage makes no pairs; places are counted by range partitions, so that a large conversation is no one task's.
 
@@ -70,31 +93,26 @@ def reply_order(
         messages[conv_col].alias("conv"), messages[turn_col].cast("long").alias("turn"), messages[role_col].cast("string").alias("role"), messages[text_col].alias("text")
     )
     kind = source.schema["conv"].dataType.simpleString()
-    schema = f"conv {kind}, turn long, role string, own string, quotes array<struct<level:int,hash:long>>, said array<long>"
+    schema = f"conv {kind}, turn long, role string, own string, quotes array<struct<level:int,hash:long,units:array<array<long>>>>, whole long, said array<array<long>>"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quote = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))
+        lists = pa.list_(pa.list_(pa.int64()))
+        quote = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("units", lists)]))
         for batch in batches:
-            owns, quotes, said = [], [], []
+            owns, quotes, wholes, said = [], [], [], []
             for text in batch.column(3):
                 text = text.as_py()
                 own, q = parsed(text) if text is not None else (None, [])
                 owns.append(own)
-                quotes.append([{"level": n, "hash": normal_hash(x)} for n, x in q])
-                said.append(sorted(passages(own)) if own else [])
-            cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(owns, pa.string()), pa.array(quotes, quote), pa.array(said, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["conv", "turn", "role", "own", "quotes", "said"])
+                quotes.append([{"level": n, "hash": normal_hash(x), "units": outline(x)} for n, x in q])
+                wholes.append(normal_hash(own) if own else None)
+                said.append(outline(own) if own else [])
+            cols = [*batch.columns[:3], pa.array(owns, pa.string()), pa.array(quotes, quote), pa.array(wholes, pa.int64()), pa.array(said, lists)]
+            yield pa.RecordBatch.from_arrays(cols, names=["conv", "turn", "role", "own", "quotes", "whole", "said"])
 
     rows = stored(source.mapInArrow(parse, schema).withColumn("key", F.xxhash64("conv", "turn", "role", "own", "quotes")))
     placed = rows.filter("conv is not null and turn is not null")
-    asked = placed.filter("size(quotes) > 0").select("conv", "turn", "key", F.explode("quotes").alias("q")).select("conv", "turn", "key", "q.level", "q.hash").filter("hash is not null")
-    sought = asked.select("conv", "hash").distinct()
-    told = placed.select("conv", "turn", F.explode("said").alias("hash")).join(sought, ["conv", "hash"], "left_semi")
-    both = asked.select("conv", "hash", "turn", "key", "level", F.lit(None).cast("long").alias("origin")).unionByName(
-        told.select("conv", "hash", "turn", F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("level"), F.col("turn").alias("origin")).distinct()
-    )
-    earlier = Window.partitionBy("conv", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    traced = both.withColumn("origin", F.max("origin").over(earlier)).filter("key is not null and origin is not null")
+    traced = _traced(placed, kind, stored)
     parents = traced.groupBy("conv", "turn", "key").agg(
         F.max(F.struct(-F.col("level"), "origin"))["origin"].alias("parent"), F.count("*").alias("n_linked")
     )
@@ -115,6 +133,52 @@ def reply_order(
     )
 
 
+def _traced(placed: DataFrame, kind: str, stored) -> DataFrame:
+    """(conv, turn, key, at, level, origin): the quotes that have an origin.
+
+    A round finds, for each piece of a quote, the latest turn before the bound that says it; no later turn than the least of
+    these can hold the quote. If that turn's message doesn't hold the whole of it, it is the next round's bound.
+    """
+    me = ["conv", "turn", "key", "at"]
+    each = placed.filter("size(quotes) > 0").select("conv", "turn", "key", F.posexplode("quotes").alias("at", "q")).select(*me, "q.level", "q.hash", "q.units")
+    asking = stored(each.filter("hash is not null").distinct().withColumn("bound", F.col("turn")))
+    traced = asking.select(*me, "level", F.col("bound").alias("origin"))
+    if asking.isEmpty():
+        return traced
+    sought = asking.select("conv", F.explode(F.concat(F.array("hash"), F.flatten("units"))).alias("hash")).distinct()
+    told = placed.select("conv", "turn", F.explode(F.concat(F.array("whole"), F.flatten("said"))).alias("hash")).distinct()
+    told = stored(told.join(sought, ["conv", "hash"], "left_semi").withColumn("origin", F.col("turn")))
+    earlier = Window.partitionBy("conv", "hash").orderBy("bound").rangeBetween(Window.unboundedPreceding, -1)
+    schema = f"conv {kind}, turn long, key long, at int, ok boolean"
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [holds(said or [], units) for said, units in zip(batch.column(5).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ok, pa.bool_())], names=[*me, "ok"])
+
+    done = None
+    while True:
+        unit = asking.select(*me, "bound", F.lit(-1).alias("u"), F.array("hash").alias("unit")).unionByName(asking.select(*me, "bound", F.posexplode("units").alias("u", "unit")))
+        piece = unit.select(*me, "bound", "u", F.posexplode("unit").alias("line", "hash"))
+        both = piece.withColumn("origin", F.lit(None).cast("long")).unionByName(told.select("conv", "hash", F.col("turn").alias("bound"), "origin"), allowMissingColumns=True)
+        seen = both.withColumn("origin", F.max("origin").over(earlier)).filter("key is not null")
+        lined = F.when(F.count(F.when(F.col("line") > 0, F.col("origin"))) == F.count_if(F.col("line") > 0), F.min(F.when(F.col("line") > 0, F.col("origin"))))
+        units = seen.groupBy(*me, "u").agg(F.greatest(F.max(F.when(F.col("line") == 0, F.col("origin"))), lined).alias("origin"))
+        inner = F.when(F.count(F.when(F.col("u") >= 0, F.col("origin"))) == F.count_if(F.col("u") >= 0), F.min(F.when(F.col("u") >= 0, F.col("origin"))))
+        best = units.groupBy(*me).agg(F.max(F.when(F.col("u") < 0, F.col("origin"))).alias("full"), inner.alias("inner"))
+        best = best.withColumn("origin", F.greatest("full", "inner")).filter("origin is not null")
+        best = stored(asking.drop("bound").join(best, me).withColumn("sure", F.coalesce(F.col("full") == F.col("origin"), F.lit(False))))
+        unsure = best.filter("not sure").select(*me, "units", "origin")
+        there = unsure.join(placed.select("conv", F.col("turn").alias("origin"), "said"), ["conv", "origin"]).select(*me, "units", "said")
+        good = there.mapInArrow(check, schema).filter("ok").select(*me).distinct().withColumn("ok", F.lit(True))
+        judged = stored(best.join(good, me, "left").withColumn("ok", F.col("sure") | F.coalesce("ok", F.lit(False))))
+        new = judged.filter("ok").select(*me, "level", "origin")
+        done = new if done is None else done.unionByName(new)
+        asking = judged.filter("not ok").select(*me, "level", "hash", "units", F.col("origin").alias("bound"))
+        if asking.isEmpty():
+            return done
+
+
 def _paths(edges: DataFrame, stored) -> DataFrame:
     """(conv, turn, path): turns from the thread's first message down to each reply; each round doubles the distance looked up."""
     state = stored(edges.select("conv", "turn", F.col("parent").alias("top"), F.array("turn").alias("path"), F.lit(False).alias("done")))

@@ -75,3 +75,27 @@ def test_random_conversations(spark):
             rows.append((c, t, "user", "\n".join([*quoted, *lines]), 0))
     got = {(r.conv_id, r.position, r.turn): r.parent_turn for r in run(spark, rows).collect()}
     assert got == brute(rows)
+
+
+def test_partial_quotes_of_several_lines(spark):
+    long = "One is here.\nTwo is there.\nThree is gone.\n\nA second\nparagraph.\n\nThe third one.\nIts end."
+    rows = [
+        (1, 0, "user", long, 0),
+        (1, 1, "user", "Two is there.\nOther words.", 0),
+        (1, 2, "user", "> Two is there.\n> Three is gone.\nLines of a paragraph.", 0),
+        (1, 3, "user", "> A second paragraph.\n>\n> The third one. Its\n> end.\nTwo paragraphs, wrapped anew.", 0),
+        (1, 4, "user", "> One is here. Two is there. Three is gone.\n>\n> The third one.\nFirst and third, cut.", 0),
+        (1, 5, "user", "> Three is gone.\n> Two is there.\nWrong order.", 0),
+        (1, 6, "user", "> Two is there.\n> Two is there.\nSaid once.", 0),
+        (1, 7, "user", "> Three is gone.\n> Other words.\nTwo messages.", 0),
+        (1, 8, "user", "Three is gone.\nTwo is there.\nSome.", 0),
+        (1, 9, "user", "> Two is there.\n> Three is gone.\nA later message has both, in another order.", 0),
+        (1, 10, "user", "> Three is gone.\n> Two is there.\nThat order now.", 0),
+        (2, 1, "user", "> Two is there.\n> Three is gone.\nElsewhere.", 0),
+        (1, 11, "user", "> Other words.\nTwice the row.", 0), (1, 11, "user", "> Other words.\nTwice the row.", 0),
+    ]
+    got = run(spark, rows).collect()
+    parent = {(r.conv_id, r.turn): r.parent_turn for r in got}
+    want = {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): 0, (1, 5): None, (1, 6): None, (1, 7): None, (1, 8): None, (1, 9): 0, (1, 10): 8, (2, 1): None, (1, 11): 1}
+    assert parent == want
+    assert all(r.n_linked == (r.parent_turn is not None) for r in got) and len(got) == len(rows)
