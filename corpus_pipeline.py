@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlattice.llm.common import table, written
-from emberlattice.llm.decontaminate import decontaminate
+from emberlattice.llm.decontaminate import decontaminate, text_digest
 from emberlattice.llm.ngram_join import jaccard_components
 from emberlattice.llm.packing import pack_documents
 from emberlattice.llm.quality import keep_good
@@ -20,9 +20,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates; of an id with different texts only the one that was compared goes."""
     groups = jaccard_components(docs, width=5)
-    return docs.join(groups.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    keyed = docs.withColumn("own_key", F.xxhash64("text"))
+    worded = keyed.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(gone, "doc_id", "left_semi")
+    compared = worded.groupBy("doc_id").agg(F.min("own_key").alias("own_key"))
+    return keyed.join(compared, ["doc_id", "own_key"], "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +45,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10)
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10, with_key=True)
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("hit_doc_id"), F.col("text_key").alias("hit_text_digest"))
+    own = docs.withColumn("own_text_digest", text_digest("text"))
+    return own.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_doc_id")) & (F.col("own_text_digest") == F.col("hit_text_digest")), "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

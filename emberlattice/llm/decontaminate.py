@@ -145,6 +145,7 @@ def decontaminate(
     item_text_col: str = "text",
     width: int = 10,
     block_bytes: int = 4 << 20,
+    with_key: bool = False,
 ) -> DataFrame:
     """Words of documents that lie in any occurrence of a window of any benchmark item.
 
@@ -153,7 +154,7 @@ def decontaminate(
     for one block. Windows are compared word by word, so hits are exact.
 
     Returns id_col, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (array of start, end in words) and
-    items (ids as strings, sorted). Null or empty texts have no words and no hits; an item without words has no windows; an item
+    items (ids as strings, sorted) and, with with_key, text_key (text_digest of the text). Null or empty texts have no words and no hits; an item without words has no windows; an item
     without an id hits words but is no counted item; rows with null or repeated ids keep a result each; repeated items
     count once. Empty tables give no rows or no hits. Other columns are never read.
     """
@@ -169,7 +170,7 @@ def decontaminate(
         block = Windows([(r.item, r.text) for r in own.collect()], width)
         counted = spark.sparkContext.broadcast(block)
         block.prefixes(_shingle_frequency(source, counted))
-        parts.append(_scan(source, spark.sparkContext.broadcast(block), kind, keyed=blocks > 1))
+        parts.append(_scan(source, spark.sparkContext.broadcast(block), kind, keyed=with_key or blocks > 1))
     if blocks == 1:
         found = parts[0]
     else:
@@ -191,6 +192,7 @@ def decontaminate(
         (F.size("spans") > 0).alias("contaminated"),
         F.col("spans").alias("hit_spans"),
         "items",
+        *([F.col("key").alias("text_key")] if with_key else []),
     )
 
 
@@ -201,6 +203,11 @@ MERGED = """aggregate(array_sort(spans), cast(array() as array<struct<start:bigi
         else concat(m, array(s)) end)"""
 
 
+def text_digest(text: str) -> Column:
+    """The digest by which texts of one id are told apart."""
+    return F.unhex(F.md5(F.concat(F.lit(b"\1"), F.col(text).cast("binary"))))
+
+
 def _covered(spans: str) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 

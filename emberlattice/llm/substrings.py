@@ -23,10 +23,10 @@ GAP = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def confirmed(source: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Which documents hold windows that recur: a row (doc_id, windows, firsts, copy) for each of them.
+    """Which documents hold windows that recur: a row (doc_id, windows, firsts, copies) for each of them.
 
     windows: hashes of windows that start in this document, in no smaller one, and in another text; firsts: ids of documents
-    for which that holds of windows of this one; copy: a smaller document has the same text. Window hashes are dealt to buckets
+    for which that holds of windows of this one; copies: keys of its texts that a smaller document has too. Window hashes are dealt to buckets
     as blobs, so that a common window costs a number in a blob and no bucket holds more rows than tasks; what a bucket finds goes
     on as one blob for each bucket of documents.
     """
@@ -59,7 +59,7 @@ def confirmed(source: DataFrame, width: int, buckets: int) -> DataFrame:
         differ = np.minimum.reduceat(keys, starts) != np.maximum.reduceat(keys, starts)
         recurs, copies = differ & again, ~differ & again
         ends = [(first[recurs], np.full(recurs.sum(), FIRST), h[starts][recurs].view(np.int64))]
-        del h, keys, starts
+        del h, starts
         pick = np.flatnonzero(np.repeat(recurs, many))
         of = np.repeat(first[recurs], many[recurs])
         doc = ids[pick]
@@ -67,9 +67,9 @@ def confirmed(source: DataFrame, width: int, buckets: int) -> DataFrame:
         doc, of = unique_pairs(doc[later], of[later])
         ends.append((doc, np.full(len(doc), FOLLOWS), of))
         pick = np.flatnonzero(np.repeat(copies, many))
-        doc = ids[pick]
-        doc = np.unique(doc[doc != np.repeat(first[copies], many[copies])])
-        ends.append((doc, np.full(len(doc), COPY), doc))
+        pick = pick[ids[pick] != np.repeat(first[copies], many[copies])]
+        doc, key = unique_pairs(ids[pick], keys[pick])
+        ends.append((doc, np.full(len(doc), COPY), key))
         doc, kind, value = (np.concatenate(x) for x in zip(*ends, strict=True))
         rows = list(by_bucket((mixed(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), [doc, kind.astype(np.int8), value]))
         cols = [pa.array([r for r, _ in rows], pa.int32()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in range(3))]
@@ -84,14 +84,14 @@ def confirmed(source: DataFrame, width: int, buckets: int) -> DataFrame:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 x, y = a + np.searchsorted(kind[a:b], [FOLLOWS, COPY])
-                rows.append((int(doc[a]), value[a:x].tobytes(), np.unique(value[x:y]).tobytes(), bool(b > y)))
+                rows.append((int(doc[a]), value[a:x].tobytes(), np.unique(value[x:y]).tobytes(), np.unique(value[y:b]).tobytes()))
         return pa.Table.from_batches([_batch(rows, INFO)])
 
     usable = source.filter("doc_id is not null and text is not null")
     dealt = usable.mapInArrow(spread, "bucket int, h binary, ids binary, keys binary").groupBy("bucket").applyInArrow(
         decide, "bucket int, doc binary, kind binary, value binary"
     )
-    return dealt.groupBy("bucket").applyInArrow(gather, "doc_id long, windows binary, firsts binary, copy boolean")
+    return dealt.groupBy("bucket").applyInArrow(gather, "doc_id long, windows binary, firsts binary, copies binary")
 
 
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-INFO = pa.schema([("doc_id", pa.int64()), ("windows", pa.binary()), ("firsts", pa.binary()), ("copy", pa.bool_())])
+INFO = pa.schema([("doc_id", pa.int64()), ("windows", pa.binary()), ("firsts", pa.binary()), ("copies", pa.binary())])
 
 
 def cut_passages(source: DataFrame, found: DataFrame, width: int, with_text: bool) -> DataFrame:
@@ -120,7 +120,7 @@ def cut_passages(source: DataFrame, found: DataFrame, width: int, with_text: boo
         hashes = WordHashes()
         for batch in batches:
             rows = []
-            for doc, text, key, windows, firsts, copy in zip(*(batch.column(c) for c in ("doc_id", "text", "key", "windows", "firsts", "copy")), strict=True):
+            for doc, text, key, windows, firsts, copies in zip(*(batch.column(c) for c in ("doc_id", "text", "key", "windows", "firsts", "copies")), strict=True):
                 raw = text.as_py()
                 words = raw.encode().split() if raw else []
                 n = len(words)
@@ -134,7 +134,7 @@ def cut_passages(source: DataFrame, found: DataFrame, width: int, with_text: boo
                             passages.append(b" ".join(words[run[0] : run[-1] + width]).decode())
                 follows = np.frombuffer(firsts.as_py() or b"", dtype=np.int64).tolist()
                 row = [doc.as_py(), key.as_py(), n, None, None, None, None, None, passages, sum(p.count(" ") + 1 for p in passages)]
-                if copy.as_py():
+                if key.as_py() in np.frombuffer(copies.as_py() or b"", dtype=np.int64):
                     row[3:6] = n, sha([]), "" if with_text else None
                 elif follows:
                     row[6:8] = raw, follows

@@ -58,7 +58,7 @@ def changes(a: np.ndarray) -> np.ndarray:
 
 
 def recurring_anchors(source: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, anchors, copy): anchors of a document that another text has too; copy: a smaller document has the same text."""
+    """(doc_id, anchors, copies): anchors of a document that another text has too; copies: keys of its texts that a smaller document has too."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -93,9 +93,9 @@ def recurring_anchors(source: DataFrame, buckets: int) -> DataFrame:
         differ = np.minimum.reduceat(keys, starts) != np.maximum.reduceat(keys, starts)
         recurs = np.repeat(differ & (first != np.maximum.reduceat(ids, starts)), many)
         copies = np.repeat(~differ, many) & (ids != np.repeat(first, many))
-        again = np.unique(ids[copies])
-        doc = np.concatenate([ids[recurs], again])
-        value = np.concatenate([h[recurs], np.zeros(len(again), np.uint64)])
+        again = np.unique(np.stack([ids[copies], keys[copies]], axis=1), axis=0)
+        doc = np.concatenate([ids[recurs], again[:, 0]])
+        value = np.concatenate([h[recurs], again[:, 1].astype(np.int64).view(np.uint64)])
         kind = np.concatenate([np.zeros(recurs.sum(), np.int8), np.ones(len(again), np.int8)])
         rows = list(by_bucket((mixed(doc.view(np.uint64)) % U(buckets)).astype(np.int32), [doc, kind, value]))
         cols = [pa.array([r for r, _ in rows], pa.int32()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in range(3))]
@@ -109,11 +109,11 @@ def recurring_anchors(source: DataFrame, buckets: int) -> DataFrame:
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             x = a + int(np.searchsorted(kind[a:b], 1))
-            rows.append((int(doc[a]), value[a:x].tobytes(), b > x))
-        return table_of(rows, [("doc_id", pa.int64()), ("anchors", pa.binary()), ("copy", pa.bool_())])
+            rows.append((int(doc[a]), value[a:x].tobytes(), np.unique(value[x:b]).tobytes()))
+        return table_of(rows, [("doc_id", pa.int64()), ("anchors", pa.binary()), ("copies", pa.binary())])
 
     dealt = source.mapInArrow(spread, "bucket int, h binary, ids binary, keys binary").groupBy("bucket").applyInArrow(decide, "bucket int, doc binary, kind binary, value binary")
-    return dealt.groupBy("bucket").applyInArrow(gather, "doc_id long, anchors binary, copy boolean")
+    return dealt.groupBy("bucket").applyInArrow(gather, "doc_id long, anchors binary, copies binary")
 
 
 def table_of(rows: list, fields: list) -> pa.Table:
@@ -129,7 +129,9 @@ def chunks_of(source: DataFrame, anchors: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, key, text, own in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for doc, key, text, own, copies in zip(*batch.columns, strict=True):
+                if key.as_py() in np.frombuffer(copies.as_py(), np.int64):
+                    continue
                 raw = text.as_py().encode()
                 least = least_anchors(np.frombuffer(raw, np.uint8))
                 new = np.flatnonzero(changes(least))
@@ -148,7 +150,7 @@ def chunks_of(source: DataFrame, anchors: DataFrame) -> DataFrame:
             fields = [("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("bytes", pa.binary())]
             yield from table_of(rows, fields).to_batches() if rows else ()
 
-    asked = source.join(anchors.filter("octet_length(anchors) > 0 and not copy").select("doc_id", "anchors"), "doc_id").select("doc_id", "key", "text", "anchors")
+    asked = source.join(anchors.filter("octet_length(anchors) > 0"), "doc_id").select("doc_id", "key", "text", "anchors", "copies")
     return asked.mapInArrow(cut, "doc_id long, key long, start long, n int, digest binary, bytes binary")
 
 
@@ -387,7 +389,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 rows.append((head["digests"][16 * o : 16 * o + 16], (edges[a:b] - begins[o]).tobytes()))
         return table_of(rows, [("digest", pa.binary()), ("runs", pa.binary())])
 
-    copies = anchors.filter("copy").select("doc_id", "copy")
+    copies = anchors.filter("octet_length(copies) > 0").select("doc_id", "copies")
     placed = chunks.select("doc_id", "key", "start", "n", "digest").join(heads.select("digest", "first"), "digest")
     if repeated is not None:
         both = blocks.select("block", "sizes", "digests", F.lit(None).cast("binary").alias("at")).unionByName(
@@ -399,15 +401,15 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         placed = placed.withColumn("runs", F.lit(None).cast("binary"))
     placed = placed.filter("first < doc_id or runs is not null")
     lists = placed.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", (F.col("first") < F.col("doc_id")).alias("whole"), "runs")).alias("found"))
-    full = source.join(copies.distinct(), "doc_id", "left").join(written(lists, "found"), ["doc_id", "key"], "left")
+    full = source.join(copies, "doc_id", "left").join(written(lists, "found"), ["doc_id", "key"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, copy, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for doc, key, text, own, found in zip(*batch.columns, strict=True):
                 raw = (text.as_py() or "").encode()
                 gone = np.zeros(len(raw) + 1, dtype=np.int32)
-                if copy:
+                if key.as_py() in np.frombuffer(own.as_py() or b"", np.int64):
                     gone[0], gone[-1] = 1, -1
                 for x in found.as_py() or ():
                     runs = np.array([[0, x["n"]]]) if x["whole"] else np.frombuffer(x["runs"], np.int64).reshape(-1, 2)
@@ -415,9 +417,9 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     np.add.at(gone, x["start"] + runs[:, 1] + SIZE - 1, -1)
                 out = np.cumsum(gone[:-1]) > 0
                 kept = np.frombuffer(raw, np.uint8)[~out].tobytes()
-                rows.append((doc, len(raw), len(raw) - len(kept), int((np.diff(np.concatenate([[0], out.view(np.int8)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+                rows.append((doc.as_py(), len(raw), len(raw) - len(kept), int((np.diff(np.concatenate([[0], out.view(np.int8)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
             fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
             yield from table_of(rows, fields).to_batches() if rows else ()
 
-    done = full.select("doc_id", "text", "copy", "found").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = full.select("doc_id", "key", "text", "copies", "found").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumnRenamed("doc_id", id_col)

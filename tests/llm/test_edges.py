@@ -194,3 +194,17 @@ def test_licenses(spark):
     got = {(r.doc_id, r.license_id, r.n_license_lines, r.line_licenses) for r in scan_licenses(frame(spark, rows)).collect()}
     assert got == {(1, "MIT", 1, "MIT"), (2, None, 0, ""), (3, None, 0, ""), (None, None, 2, "CC-BY-NC-4.0,MIT"), (4, None, 0, "")}
     assert scan_licenses(frame(spark, rows)).count() == 6 and scan_licenses(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_one_id_on_two_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    df = frame(spark, [(1, a), (2, a), (2, b), (3, c)])
+    assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(df, buckets=2).collect()) == [(1, 0), (2, 0), (2, 30), (3, 0)]
+    assert sorted((r.doc_id, r.n_removed) for r in remove_repeated_bytes(df, buckets=2).collect()) == sorted([(1, 0), (2, 0), (2, len(a)), (3, 0)])
+    spark.createDataFrame([("i", a)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.benchmark_passages(spark, frame(spark, [(None, a), (None, b), (1, a), (1, c), (1, None)]), str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted([("None", b), ("1", c), ("1", "None")])
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert {(1, a), (3, c), (2, b)} <= left
