@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlattice.scratch import written
+from emberlattice.scratch import Scratch, written
 
 
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every end of the links (a, b); the component is its smallest id.
 
-    Rounds of large and small stars: every node links its larger neighbours to its smallest one, then all to the smallest, until the
-    links stand still. Each round ends as a table in the shared folder; their number grows with the logarithm of the longest chain.
+    Rounds of large and small stars: every node links its larger neighbours to its smallest one, then all to the smallest, until only
+    stars are left. Each round ends as a table in the shared folder, which replaces the one before; their number grows with the
+    logarithm of the longest chain.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    seen = (0,)
-    for _ in range(most_rounds):
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-        if state == seen or not state[0]:
+    scratch = Scratch(links.sparkSession, "links")
+    edges = scratch.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "round-0")
+    for i in range(1, most_rounds + 1):
+        if _are_stars(edges):
             break
-        seen = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(down.select("a", F.col("low").alias("b")))
-        edges = written(small.filter("a <> b").distinct(), "links")
+        edges = scratch.keep(small.filter("a <> b").distinct(), f"round-{i}")
+        scratch.drop(f"round-{i - 1}")
     else:
         raise RuntimeError("components did not settle")
-    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(edges.select("b", "b").distinct())
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one link and is no smaller end of another."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def neighbours(cells: DataFrame, connectivity: int = 8, col: str = "cx", row: str = "cy", keys=("run_id",)) -> DataFrame:

@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a finished write are of no more use: the written table stands for them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only where that is unset and the master is local."""
@@ -21,8 +26,43 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches end at 4 MB of rows where the session allows more, as long texts would fill a worker otherwise."""
+    now = spark.conf.get(BATCH, "").lower()
+    unit = {"k": 10, "m": 20, "g": 30}.get(now.removesuffix("b")[-1:], 0)
+    digits = "".join(c for c in now if c.isdigit())
+    if not digits or int(digits) << unit > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
+class Scratch:
+    """The tables of one job, in a folder of its own below the shared one. A table that a later one replaces can be dropped; those that
+    the job's result reads stay until whoever owns the shared folder clears it."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a Parquet table, read back."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.folder}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more, by the file system that Spark uses."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of the shared folder, read back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).keep(df, "table")
