@@ -1,54 +1,17 @@
-"""What the corpus operators share: tables, the shared scratch folder, word rules."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from emberlattice.scratch import small_batches
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark alone (any file system)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset and the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there and lost executors
-    recompute nothing before it. large: waits until shuffle files of the finished job are let go."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    release(spark, 2 if large else 1)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession, rounds: int = 1) -> None:
-    """Lets Spark's cleaner drop shuffle files that no live plan refers to; it learns of them when garbage is collected, and the
-    plan of a job is garbage once its last events are through."""
-    for i in range(rounds):
-        if i:
-            time.sleep(0.7)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.llm.common import shuffle_partitions, written
+from emberlattice.llm.common import shuffle_partitions
+from emberlattice.scratch import written
 from emberlattice.llm.grams import WordHashes, by_bucket, chunks, joined_blobs, mixed, rolling, windows_of
 
 #: Words of an automaton's patterns. Each window of 13 words holds one of the passage's blocks that start at multiples of 9.
@@ -291,8 +292,8 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("key", F.xxhash64("text"))
-    found = written(confirmed(source, width, buckets or 2 * shuffle_partitions(spark)), "windows", large=True)
-    cut = written(cut_passages(source, found, width, with_text), "passages", large=True)
+    found = written(confirmed(source, width, buckets or 2 * shuffle_partitions(spark)), "windows")
+    cut = written(cut_passages(source, found, width, with_text), "passages")
     passages = cut.filter("passage_words > 0").select(F.col("doc_id").alias("first"), "passage_words", F.explode("passages").alias("passage"))
     total = cut.agg(F.sum("passage_words")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
@@ -322,7 +323,7 @@ def remove_repeats(
         .cogroup(patterns.groupBy("shard", "salt"))
         .applyInArrow(locate, "doc_id long, key long, spans binary")
     )
-    spans = written(spans, "spans", large=True).groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
+    spans = written(spans, "spans").groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.llm.common import shuffle_partitions, written
+from emberlattice.llm.common import shuffle_partitions
+from emberlattice.scratch import written
 from emberlattice.llm.grams import PRIME, U, by_bucket, joined_blobs, mixed
 
 SIZE = 50  # bytes of a string
@@ -263,7 +264,7 @@ def named(sent: DataFrame, kinds: tuple, name: str, parts: int) -> tuple[DataFra
         rows = [(b, number, names[e - c : e].tobytes(), n) for b, c, e in zip(part["block"].to_pylist(), counts, ends, strict=True)]
         return table_of(rows, [("block", pa.int32()), ("part", pa.int32()), ("name", pa.binary()), ("n", pa.int64())])
 
-    own = written(sent.groupBy("part").applyInArrow(rank, "block int, part int, name binary, n long"), name, large=True)
+    own = written(sent.groupBy("part").applyInArrow(rank, "block int, part int, name binary, n long"), name)
     numbering = Names({r.part: r.n for r in own.groupBy("part").agg(F.max("n").alias("n")).collect()}, parts)
     return own.groupBy("block").agg(F.collect_list(F.struct("part", "name")).alias(name)), numbering
 
@@ -343,7 +344,7 @@ def repeated_places(blocks: DataFrame, parts: int) -> DataFrame:
 
     out = None
     for residues, lead in (((1, 2), 0), ((0, 1), 1), ((0, 2), 2)):
-        found = written(merge(residues, lead), "merged", large=True)
+        found = written(merge(residues, lead), "merged")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -363,11 +364,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     parts = buckets or shuffle_partitions(spark)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("key", F.xxhash64("text"))
     usable = source.filter(f"doc_id is not null and octet_length(text) >= {SIZE}")
-    anchors = written(recurring_anchors(usable, 2 * parts), "anchors", large=True)
-    chunks = written(chunks_of(usable, anchors), "chunks", large=True)
+    anchors = written(recurring_anchors(usable, 2 * parts), "anchors")
+    chunks = written(chunks_of(usable, anchors), "chunks")
     heads = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
     total = chunks.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    blocks = written(packed_blocks(chunks, max(1, -(-total // block_bytes))), "blocks", large=True)
+    blocks = written(packed_blocks(chunks, max(1, -(-total // block_bytes))), "blocks")
     repeated = repeated_places(blocks, parts) if total else None
 
     def spans(part: pa.Table) -> pa.Table:

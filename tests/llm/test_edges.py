@@ -4,8 +4,8 @@ import hashlib
 import random
 import re
 
-from emberlattice.llm.common import written
-from emberlattice.llm.components import connected
+from emberlattice.scratch import written
+from emberlattice.operators.graph import connected
 from emberlattice.llm.decontaminate import decontaminate
 from emberlattice.llm.licenses import scan_licenses
 from emberlattice.llm.metric_tree import top_k
@@ -90,7 +90,7 @@ def test_substrings_and_suffixes(spark):
 
 def test_jaccard(spark):
     rows = corpus(3)
-    got = jaccard_components(frame(spark, rows), chunk=2, buckets=3).collect()
+    got = jaccard_components(frame(spark, rows), chunk=2, blocks=3).collect()
     sets = {}
     for i, t in rows:
         w = words(low(t))
@@ -208,3 +208,11 @@ def test_one_id_on_two_texts(spark, tmp_path):
     assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted([("None", b), ("1", c), ("1", "None")])
     left = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
     assert {(1, a), (3, c), (2, b)} <= left
+
+
+def test_jaccard_compares_every_text_of_an_id(spark):
+    """Id 5 has two texts: one near a text of 1, one near a text of 9; the id links both."""
+    a, b = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (1, " ".join(a[:99])), (9, " ".join(b[:99])), (7, "other words stand here now"), (None, " ".join(a)), (5, None)]
+    got = jaccard_components(frame(spark, rows), chunk=4).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted([("5", "1")] * 3 + [("1", "1"), ("9", "1"), ("7", "7"), ("None", "None")])
