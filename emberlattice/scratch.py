@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Lets Arrow batches end at 4 MB of rows where the session allows more, as long texts would fill a worker otherwise."""
-    now = spark.conf.get(BATCH, "").lower()
+    now = spark.conf.get(BATCH).lower()
     unit = {"k": 10, "m": 20, "g": 30}.get(now.removesuffix("b")[-1:], 0)
     digits = "".join(c for c in now if c.isdigit())
     if not digits or int(digits) << unit > BATCH_BYTES:
