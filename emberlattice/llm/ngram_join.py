@@ -203,7 +203,9 @@ def linked(common, n, m):
     return 100 * common >= 80 * (n + m - common)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, chunk: int = 64, blocks: int | None = None) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, chunk: int = 64, blocks: int | None = None, with_text: bool = False
+) -> DataFrame:
     """Links texts whose sets of distinct shingles have a Jaccard similarity of at least 0.8 and names connected components.
 
     Equal sets collapse to one. Sets that can have a link form groups (shared_prefixes, query_groups). Every set is first compared with
@@ -215,7 +217,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns id_col, n_shingles and component_id (the smallest id of the component; the document's own if it has no link). Words are runs
     of bytes other than white space after A-Z became lower case; a text of fewer than `width` words is one shingle; null, empty
     and blank texts have none and link with nothing. Rows with a null id have a null component and link with nothing. Rows of one id with
-    different texts are each compared, and the id has the links of all of them. An empty table gives no rows; other columns are never read.
+    different texts are each compared, and the id has the links of all of them; with_text adds text_key (xxhash64 of the text) and
+    text_component, the component by this row's text alone. An empty table gives no rows; other columns are never read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -228,7 +231,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = scratch.keep(
         least.select(F.monotonically_increasing_id().alias("rep"), "digest", "rows", F.col("s.doc_id").alias("doc_id"), "s.key", "s.n", "s.prefix"), "reps"
     )
-    rows = scratch.keep(sets.select("doc_id", "n", "digest"), "rows")
+    rows = scratch.keep(sets.select("doc_id", "key", "n", "digest"), "rows")
     scratch.drop("sets")
     tokens = reps.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     kept = scratch.keep(shared_prefixes(reps, blocks or max(1, -(-int(tokens) // BUCKET_TOKENS))), "kept")
@@ -247,21 +250,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranked = placed.join(placed.groupBy("component").agg(F.count("*").alias("size")), "component")
     edges = stars.unionByName(scratch.keep(across(ranked, opened, arrays, chunk), "across"))
     scratch.drop("arrays", "opened", "members", "placed")
+    of_text = named_sets(heads, edges)
+    out = rows.join(of_text.withColumnRenamed("component_id", "named"), "digest", "left")
+    out = out.withColumn("text_component", F.when(F.col("doc_id").isNotNull(), F.coalesce("named", "doc_id"))).drop("named")
     own = rows.filter("doc_id is not null and n > 0").select("doc_id", "digest")
     several = own.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
-    if not several.isEmpty():
+    if several.isEmpty():
+        out = out.withColumn("component_id", F.col("text_component"))
+    else:
         same = own.join(several.select("doc_id", "low"), "doc_id").filter("digest <> low").select("digest", "low").distinct()
         node = heads.select("digest", "rep")
         same = same.join(node, "digest").select(F.col("rep").alias("a"), F.col("low").alias("digest")).join(node, "digest").select("a", F.col("rep").alias("b"))
-        edges = edges.unionByName(scratch.keep(same, "same"))
+        of_set = named_sets(heads, edges.unionByName(scratch.keep(same, "same")))
+        of_id = own.join(of_set, "digest").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        out = out.join(of_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "text_component"))
+    extra = [F.col("key").alias("text_key"), "text_component"] if with_text else []
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *extra)
+
+
+def named_sets(heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """(digest, component_id) of the sets that have links or several rows: the smallest id of their component."""
     final = connected(edges).withColumnRenamed("id", "rep")
     found = heads.join(final, "rep")
     names = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = found.join(names, "component").select("digest", "component_id").unionByName(
-        heads.filter("rows > 1").join(final, "rep", "left_anti").select("digest", F.col("doc_id").alias("component_id"))
-    )
-    of_id = own.join(of_set, "digest").filter("component_id <> doc_id").select("doc_id", "component_id").distinct()
-    return rows.join(of_id, "doc_id", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = heads.filter("rows > 1").join(final, "rep", "left_anti").select("digest", F.col("doc_id").alias("component_id"))
+    return found.join(names, "component").select("digest", "component_id").unionByName(alone)
 
 
 class Forest(dict):

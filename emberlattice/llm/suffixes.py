@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.llm.common import shuffle_partitions
-from emberlattice.scratch import written
 from emberlattice.llm.grams import PRIME, U, by_bucket, joined_blobs, mixed
+from emberlattice.scratch import Scratch, small_batches
 
 SIZE = 50  # bytes of a string
-SEED = 26  # bytes of the anchors that decide which strings can recur
-CHUNK = 16  # one in so many anchors ends a chunk
+SEEDS = (26, 34)  # bytes of the anchors that decide which strings can recur: among texts, then among distinct chunks of these
+CHUNK = 4  # one in so many anchors ends a chunk
+SLICE = 1 << 20  # bytes that are hashed at a time
 
 
 def runs_of_bytes(data: np.ndarray, width: int) -> np.ndarray:
@@ -41,10 +41,12 @@ def runs_of_bytes(data: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def least_anchors(data: np.ndarray) -> np.ndarray:
+def least_anchors(data: np.ndarray, seed: int) -> np.ndarray:
     """The smallest anchor hash within each string of SIZE bytes; equal strings have equal ones."""
-    h = runs_of_bytes(data, SEED)
-    width, size = SIZE - SEED + 1, 1
+    if len(data) > 2 * SLICE:
+        return np.concatenate([least_anchors(data[i : i + SLICE + SIZE - 1], seed) for i in range(0, len(data) - SIZE + 1, SLICE)])
+    h = runs_of_bytes(data, seed)
+    width, size = SIZE - seed + 1, 1
     while 2 * size <= width:
         h = np.minimum(h[: len(h) - size], h[size:])
         size *= 2
@@ -58,63 +60,86 @@ def changes(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def recurring_anchors(source: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, anchors, copies): anchors of a document that another text has too; copies: keys of its texts that a smaller document has too."""
+class Stretch:
+    """Some items of a block end to end. Places are those that SIZE bytes of an item follow, counted item after item: `least` has their least
+    anchors, `new` marks where another one begins, `first` is each item's first place."""
+
+    def __init__(self, rows: list[int], bodies: list[bytes], seed: int):
+        self.rows, self.text = np.array(rows), b"".join(bodies)
+        sizes = np.array([len(x) for x in bodies], dtype=np.int64)
+        n = sizes - SIZE + 1
+        self.begin, self.first = np.cumsum(sizes) - sizes, np.cumsum(n) - n
+        inside = np.zeros(len(self.text) + 1, dtype=np.int8)
+        inside[self.begin] = 1
+        inside[self.begin + n] = -1
+        least = least_anchors(np.frombuffer(self.text, np.uint8), seed)
+        self.least = least[np.cumsum(inside, dtype=np.int8)[: len(least)] > 0]
+        self.new = changes(self.least)
+        self.new[self.first] = True
+
+    def item(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, place, side="right") - 1
+
+
+def stretches(part: pa.Table, seed: int, skip: set) -> Iterator[Stretch]:
+    """A block's items in stretches of about SLICE bytes, without those named by skip (document, item)."""
+    rows, bodies, size = [], [], 0
+    for i, (doc, item, body) in enumerate(zip(part["doc"], part["item"], part["body"], strict=True)):
+        if skip and (doc.as_py(), item.as_py()) in skip:
+            continue
+        rows.append(i)
+        bodies.append(body.as_py())
+        size += len(bodies[-1])
+        if size >= SLICE:
+            yield Stretch(rows, bodies, seed)
+            rows, bodies, size = [], [], 0
+    if rows:
+        yield Stretch(rows, bodies, seed)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            h = np.concatenate(parts)
-            many = [len(p) for p in parts]
-            rows = list(by_bucket((h % U(buckets)).astype(np.int32), [h, np.repeat(ids, many), np.repeat(keys, many)]))
-            for x in (parts, ids, keys):
-                x.clear()
-            cols = [pa.array([r for r, _ in rows], pa.int32()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in range(3))]
-            return pa.RecordBatch.from_arrays(cols, names=["bucket", "h", "ids", "keys"])
 
-        parts, ids, keys = [], [], []
-        for batch in batches:
-            for doc, text, key in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                least = least_anchors(np.frombuffer(text.as_py().encode(), np.uint8))
-                if len(least):
-                    parts.append(np.unique(least[changes(least)]))
-                    ids.append(doc.as_py())
-                    keys.append(key.as_py())
-                if sum(map(len, parts[-1:])) and len(parts) >= 4000:
-                    yield out()
-        if parts:
-            yield out()
+def recurring_anchors(items: DataFrame, notes: DataFrame, seed: int, buckets: int) -> DataFrame:
+    """(block, h) blobs: the anchors of a block's items that items of another document have too.
+
+    A block sends each of its anchors with the smallest and the largest document that has it, so that an anchor of a third of all
+    documents costs two entries a block.
+    """
+
+    def spread(part: pa.Table, skipped: pa.Table) -> pa.Table:
+        docs = part["doc"].to_numpy()
+        h, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for x in stretches(part, seed, skip_of(skipped)):
+            at = np.flatnonzero(x.new)
+            h.append(x.least[at])
+            owner.append(docs[x.rows][x.item(at)])
+        h, owner = np.concatenate(h), np.concatenate(owner)
+        order = np.lexsort((owner, h))
+        starts = np.flatnonzero(changes(h[order]))
+        ends = np.concatenate([starts[1:], [len(order)]])[: len(starts)] - 1
+        keep = np.unique(np.concatenate([order[starts], order[ends]]))
+        rows = list(by_bucket((h[keep] % U(buckets)).astype(np.int32), [h[keep], owner[keep]])) if len(keep) else []
+        block = part["block"][0].as_py() if part.num_rows else 0
+        return table_of([(b, block, *x) for b, x in rows], [("bucket", pa.int32()), ("block", pa.int32()), ("h", pa.binary()), ("docs", pa.binary())])
 
     def decide(part: pa.Table) -> pa.Table:
+        block = np.repeat(part["block"].to_numpy(), [len(x.as_py()) // 8 for chunk in part["h"].chunks for x in chunk])
         h = joined_blobs(part["h"], np.uint64)
         order = np.argsort(h, kind="stable")
-        h, ids, keys = h[order], joined_blobs(part["ids"], np.int64)[order], joined_blobs(part["keys"], np.int64)[order]
+        h, docs, block = h[order], joined_blobs(part["docs"], np.int64)[order], block[order]
         starts = np.flatnonzero(changes(h))
-        many = np.diff(np.concatenate([starts, [len(h)]]))
-        first = np.minimum.reduceat(ids, starts)
-        differ = np.minimum.reduceat(keys, starts) != np.maximum.reduceat(keys, starts)
-        recurs = np.repeat(differ & (first != np.maximum.reduceat(ids, starts)), many)
-        copies = np.repeat(~differ, many) & (ids != np.repeat(first, many))
-        again = np.unique(np.stack([ids[copies], keys[copies]], axis=1), axis=0)
-        doc = np.concatenate([ids[recurs], again[:, 0]])
-        value = np.concatenate([h[recurs], again[:, 1].astype(np.int64).view(np.uint64)])
-        kind = np.concatenate([np.zeros(recurs.sum(), np.int8), np.ones(len(again), np.int8)])
-        rows = list(by_bucket((mixed(doc.view(np.uint64)) % U(buckets)).astype(np.int32), [doc, kind, value]))
-        cols = [pa.array([r for r, _ in rows], pa.int32()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in range(3))]
-        return pa.Table.from_arrays(cols, names=["bucket", "doc", "kind", "value"])
-
-    def gather(part: pa.Table) -> pa.Table:
-        doc, kind, value = joined_blobs(part["doc"], np.int64), joined_blobs(part["kind"], np.int8), joined_blobs(part["value"], np.uint64)
-        order = np.lexsort((kind, doc))
-        doc, kind, value = doc[order], kind[order], value[order]
-        cuts = [*np.flatnonzero(changes(doc)).tolist(), len(doc)]
-        rows = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            x = a + int(np.searchsorted(kind[a:b], 1))
-            rows.append((int(doc[a]), value[a:x].tobytes(), np.unique(value[x:b]).tobytes()))
-        return table_of(rows, [("doc_id", pa.int64()), ("anchors", pa.binary()), ("copies", pa.binary())])
+        recurs = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts)
+        keep = np.repeat(recurs, np.diff(np.concatenate([starts, [len(h)]])))
+        rows = by_bucket(block[keep], [h[keep]]) if keep.any() else ()
+        return table_of([(b, x[0]) for b, x in rows], [("block", pa.int32()), ("h", pa.binary())])
 
-    dealt = source.mapInArrow(spread, "bucket int, h binary, ids binary, keys binary").groupBy("bucket").applyInArrow(decide, "bucket int, doc binary, kind binary, value binary")
-    return dealt.groupBy("bucket").applyInArrow(gather, "doc_id long, anchors binary, copies binary")
+    sent = items.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(spread, "bucket int, block int, h binary, docs binary")
+    return sent.groupBy("bucket").applyInArrow(decide, "block int, h binary")
+
+
+NOTES = "block int, h binary, doc long, item binary"
+
+
+def skip_of(notes: pa.Table) -> set:
+    return {(d, i) for d, i in zip(notes["doc"].to_pylist(), notes["item"].to_pylist(), strict=True) if d is not None}
 
 
 def table_of(rows: list, fields: list) -> pa.Table:
@@ -123,40 +148,51 @@ def table_of(rows: list, fields: list) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def chunks_of(source: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, key, start, n, digest, bytes): stretches of n places whose strings can recur, with the SIZE - 1 bytes behind them,
-    cut where the content says so, so that copies of a passage fall into equal chunks."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, key, text, own, copies in zip(*batch.columns, strict=True):
-                if key.as_py() in np.frombuffer(copies.as_py(), np.int64):
-                    continue
-                raw = text.as_py().encode()
-                least = least_anchors(np.frombuffer(raw, np.uint8))
-                new = np.flatnonzero(changes(least))
-                known = np.isin(least[new], np.frombuffer(own.as_py(), np.uint64))
-                may = np.repeat(known, np.diff(np.concatenate([new, [len(least)]])))
-                ends = new[mixed(least[new]) % U(CHUNK) == 0]
-                edge = np.zeros(len(least) + 1, dtype=bool)
-                edge[ends] = True
-                edge[:-1] |= changes(may)
-                edge[-1] = True
-                cuts = np.flatnonzero(edge)
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    if may[a]:
-                        part = raw[a : b + SIZE - 1]
-                        rows.append((doc.as_py(), key.as_py(), a, b - a, xxhash.xxh3_128_digest(part), part))
-            fields = [("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("bytes", pa.binary())]
-            yield from table_of(rows, fields).to_batches() if rows else ()
-
-    asked = source.join(anchors.filter("octet_length(anchors) > 0"), "doc_id").select("doc_id", "key", "text", "anchors", "copies")
-    return asked.mapInArrow(cut, "doc_id long, key long, start long, n int, digest binary, bytes binary")
+def chunks_of(items: DataFrame, notes: DataFrame, seed: int) -> DataFrame:
+    """(doc, item, start, n, digest, body): stretches of n places of an item whose strings can recur (notes has the anchors that do), cut
+    where the content says so, so that copies of a passage fall into equal chunks. The body, with the SIZE - 1 bytes behind the
+    places, stands once a block and digest."""
+
+    def cut(part: pa.Table, told: pa.Table) -> pa.Table:
+        own = np.unique(joined_blobs(told["h"].drop_null(), np.uint64))
+        docs, items_of = part["doc"].to_numpy() if part.num_rows else None, part["item"]
+        rows, seen = [], {}
+        for x in stretches(part, seed, skip_of(told)) if len(own) else ():
+            at = np.flatnonzero(x.new)
+            h = x.least[at]
+            known = own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
+            may = np.repeat(known, np.diff(np.concatenate([at, [len(x.least)]])))
+            edge = changes(may)
+            edge[at[mixed(h) % U(CHUNK) == 0]] = True
+            edge[x.first] = True
+            begins = np.flatnonzero(edge)
+            ends = np.concatenate([begins[1:], [len(may)]])
+            keep = may[begins]
+            begins, ends = begins[keep], ends[keep]
+            item = x.item(begins)
+            places, offsets = (begins - x.first[item]).tolist(), (x.begin[item] + begins - x.first[item]).tolist()
+            for row, start, offset, n in zip(x.rows[item].tolist(), places, offsets, (ends - begins).tolist(), strict=True):
+                body = x.text[offset : offset + n + SIZE - 1]
+                digest = hashlib.blake2b(body, digest_size=16).digest()
+                least = seen.get(digest)
+                if least is None or docs[row] < least:
+                    seen[digest] = docs[row]
+                rows.append((row, start, n, digest, body if least is None else None))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+        at = pa.array(cols[0], pa.int64())
+        data = [part["doc"].take(at), part["item"].take(at), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True))]
+        return pa.Table.from_arrays(data, names=["doc", "item", "start", "n", "digest", "body"])
+
+    return items.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(cut, "doc long, item binary, start long, n int, digest binary, body binary")
+
+
+def distinct_chunks(chunks: DataFrame) -> DataFrame:
+    """(item, doc, body): each chunk once, with the smallest document that has it."""
+    return chunks.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("body", ignorenulls=True).alias("body")).withColumnRenamed("digest", "item")
 
 
 class Block:
-    """Some distinct chunks end to end. Places are counted over the block; `sampled` marks those of the difference cover {1, 2} mod 3,
+    """Some distinct chunks end to end. Places are counted over the block; those of the difference cover {1, 2} mod 3 are sampled,
     counted from each chunk's begin."""
 
     def __init__(self, row: dict):
@@ -165,26 +201,35 @@ class Block:
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.text = np.frombuffer(row["text"], np.uint8)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        self.chunk = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.place = np.arange(len(self.text)) - self.begins[self.chunk]
-        self.left = self.sizes[self.chunk] - self.place  # bytes from here to the chunk's end
+        self.chunk = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.place = (np.arange(len(self.text)) - self.begins[self.chunk]).astype(np.int32)
+        self.left = self.sizes[self.chunk].astype(np.int32) - self.place  # bytes from here to the chunk's end
 
     def places(self, residues: tuple[int, ...], length: int) -> np.ndarray:
         """Places of the residues from which `length` bytes lie in their chunk."""
         return np.flatnonzero(np.isin(self.place % 3, residues) & (self.left >= length))
 
+    def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of whole strings so that equal ones stand together by rising document, where a new string begins, and the documents."""
+        at = np.flatnonzero(self.left >= SIZE)
+        docs = self.docs[self.chunk[at]]
+        order = np.lexsort((docs, runs_of_bytes(self.text, SIZE)[at]))
+        at, docs = at[order], docs[order]
+        new = np.zeros(len(at), dtype=bool)
+        for j in (*range(0, SIZE - 8, 8), SIZE - 8):
+            new |= changes(big_endian(self.text, at + j))  # equal hashes are no proof
+        return at, np.flatnonzero(new), docs
+
 
-def packed_blocks(chunks: DataFrame, blocks: int) -> DataFrame:
-    """(block, docs, sizes, text): distinct chunks, each with the smallest document that has it, dealt to blocks."""
-    own = chunks.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("bytes").alias("bytes"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int"))
+def packed_blocks(items: DataFrame, blocks: int) -> DataFrame:
+    """(block, docs, sizes, text, digests): distinct chunks, those of one document in one block, end to end."""
+    own = items.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int"))
 
     def pack(part: pa.Table) -> pa.Table:
-        order = np.argsort(np.array(part["digest"].to_pylist(), dtype="S16"), kind="stable")
-        texts = part["bytes"].to_pylist()
+        digests, texts = part["item"].to_pylist(), part["body"].to_pylist()
+        order = sorted(range(len(digests)), key=digests.__getitem__)
         texts = [texts[i] for i in order]
-        digests = part["digest"].to_pylist()
-        docs = part["doc_id"].to_numpy()[order].astype(np.int64)
+        docs = part["doc"].to_numpy()[order].astype(np.int64)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         row = (part["block"][0].as_py(), docs.tobytes(), sizes.tobytes(), b"".join(texts), b"".join(digests[i] for i in order))
         return table_of([row], [("block", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("digests", pa.binary())])
@@ -238,15 +283,29 @@ class Names:
     def part_of(self, names: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, names.astype(np.uint64), side="right") - 1
 
-    def settled(self, found: list[dict], parts: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-        """Names by place: a partition answers in the order in which the block's places of that partition were sent."""
-        out = np.zeros(size, dtype=self.kind)
+    def settled(self, found: list[dict], sent: Triples, size: int) -> np.ndarray:
+        """Names by place: a partition answers in the order in which the block's triples of that partition were sent."""
+        names = np.zeros(len(sent.starts), dtype=self.kind)
         for x in found:
-            out[at[parts == x["part"]]] = (self.first[x["part"]] + np.frombuffer(x["name"], np.uint32)).astype(self.kind)
+            names[sent.parts == x["part"]] = (self.first[x["part"]] + np.frombuffer(x["name"], np.uint32)).astype(self.kind)
+        out = np.zeros(size, dtype=self.kind)
+        out[sent.at[sent.order]] = np.repeat(names, np.diff(np.concatenate([sent.starts, [len(sent.order)]])))
         return out
 
 
-def named(sent: DataFrame, kinds: tuple, name: str, parts: int) -> tuple[DataFrame, Names]:
+class Triples:
+    """A block's keys at some places; each distinct one is sent once, to the range partition that part_of tells for its first part."""
+
+    def __init__(self, at: np.ndarray, keys: list[np.ndarray], part_of):
+        self.at = at
+        self.order = np.lexsort(keys[::-1])
+        new = reduce(np.logical_or, (changes(k[self.order]) for k in keys))
+        self.starts = np.flatnonzero(new)
+        self.keys = [k[self.order][self.starts] for k in keys]
+        self.parts = part_of(self.keys[0])
+
+
+def named(sent: DataFrame, kinds: tuple, name: str, parts: int, scratch: Scratch) -> tuple[DataFrame, Names]:
     """Sorts the triples (keys of the given kinds) within range partitions and names them by rank: rows (block, found), found a list of
     (part, name) with ranks in the order sent; and the numbering."""
 
@@ -254,9 +313,7 @@ def named(sent: DataFrame, kinds: tuple, name: str, parts: int) -> tuple[DataFra
         keys = [joined_blobs(part[f"k{i}"], k) for i, k in enumerate(kinds)]
         counts = [len(x.as_py()) // np.dtype(kinds[0]).itemsize for chunk in part["k0"].chunks for x in chunk]
         order = np.lexsort(keys[::-1])
-        new = changes(keys[0][order])
-        for k in keys[1:]:
-            new |= changes(k[order])
+        new = reduce(np.logical_or, (changes(k[order]) for k in keys))
         names = np.empty(len(order), dtype=np.uint32)
         names[order] = (np.cumsum(new) - 1).astype(np.uint32)
         ends = np.cumsum(counts).tolist()
@@ -264,47 +321,47 @@ def named(sent: DataFrame, kinds: tuple, name: str, parts: int) -> tuple[DataFra
         rows = [(b, number, names[e - c : e].tobytes(), n) for b, c, e in zip(part["block"].to_pylist(), counts, ends, strict=True)]
         return table_of(rows, [("block", pa.int32()), ("part", pa.int32()), ("name", pa.binary()), ("n", pa.int64())])
 
-    own = written(sent.groupBy("part").applyInArrow(rank, "block int, part int, name binary, n long"), name)
+    own = scratch.keep(sent.groupBy("part").applyInArrow(rank, "block int, part int, name binary, n long"), name)
     numbering = Names({r.part: r.n for r in own.groupBy("part").agg(F.max("n").alias("n")).collect()}, parts)
     return own.groupBy("block").agg(F.collect_list(F.struct("part", "name")).alias(name)), numbering
 
 
-def repeated_places(blocks: DataFrame, parts: int) -> DataFrame:
-    """(block, at) blobs: places of blocks whose SIZE bytes also start in a chunk of a smaller document.
+def repeated_places(blocks: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+    """(block, at) blobs: a place for each string of a block, with its smallest document there, that also starts in a chunk of a smaller one.
 
     Sampled places get names of their triples of bytes (the bytes themselves), then of triples of these (9 bytes), then of triples of those (27
     bytes), each by a distributed sort. Strings of SIZE bytes are then pairs of such names and a few bytes. Of the three residues any two have a form
     that starts with names at sampled places, so three merges, one for each two residues, compare all suffixes: in each, equal neighbours
-    of the sorted order get the smallest document of their run.
+    of the sorted order get the smallest document of their run. A block sends equal keys once: what recurs within it is settled there (hits).
     """
     cut = splitters(blocks, parts)
     own = blocks.select("block", "docs", "sizes", "text")
 
-    def leading(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def bytes_of(b: Block) -> Triples:
         at = b.places((1, 2), 9)
-        k0 = big_endian(b.text, at)
-        return at, k0, np.searchsorted(cut, k0, side="right")
+        return Triples(at, [big_endian(b.text, at), b.text[at + 8]], lambda k: np.searchsorted(cut, k, side="right"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
-                at, k0, to = leading(b)
-                yield from messages(to, b.number, [k0, b.text[at + 8]])
+                x = bytes_of(Block(row))
+                yield from messages(x.parts, row["block"], x.keys)
 
-    nine, of_nine = named(own.mapInArrow(first, MESSAGE_SCHEMA), (np.uint64, np.uint8), "nine", parts)
+    nine, of_nine = named(own.mapInArrow(first, MESSAGE_SCHEMA), (np.uint64, np.uint8), "nine", parts, scratch)
+
+    def names_of(b: Block, row: dict) -> Triples:
+        name = of_nine.settled(row["nine"], bytes_of(b), len(b.text))
+        at = b.places((1, 2), 27)
+        return Triples(at, [name[at], name[at + 9], name[at + 18]], of_nine.part_of)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
-                at, _, to = leading(b)
-                name = of_nine.settled(row["nine"], to, at, len(b.text))
-                at = b.places((1, 2), 27)
-                yield from messages(of_nine.part_of(name[at]), b.number, [name[at], name[at + 9], name[at + 18]])
+                x = names_of(Block(row), row)
+                yield from messages(x.parts, row["block"], x.keys)
 
     with_nine = own.join(nine, "block")
-    long, of_long = named(with_nine.mapInArrow(second, MESSAGE_SCHEMA), (of_nine.kind,) * 3, "long", parts)
+    long, of_long = named(with_nine.mapInArrow(second, MESSAGE_SCHEMA), (of_nine.kind,) * 3, "long", parts, scratch)
     joined = with_nine.join(long, "block")
 
     def merge(residues: tuple[int, ...], lead: int) -> DataFrame:
@@ -314,26 +371,25 @@ def repeated_places(blocks: DataFrame, parts: int) -> DataFrame:
             for batch in batches:
                 for row in batch.to_pylist():
                     b = Block(row)
-                    at, _, to = leading(b)
-                    name = of_nine.settled(row["nine"], to, at, len(b.text))
-                    at = b.places((1, 2), 27)
-                    name = of_long.settled(row["long"], of_nine.part_of(name[at]), at, len(b.text))
-                    at = b.places(residues, SIZE)
+                    name = of_long.settled(row["long"], names_of(b, row), len(b.text))
+                    at, starts, docs = b.strings()
+                    at, docs = at[starts], docs[starts]
+                    here = np.isin(b.place[at] % 3, residues)
+                    at, docs = at[here], docs[here]
                     one, two = name[at + lead], name[at + lead + 21]
                     few = np.zeros(len(at), np.uint16)
                     for j in [*range(lead), *range(lead + 48, SIZE)]:
                         few = (few << np.uint16(8)) | b.text[at + j]
-                    yield from messages(of_long.part_of(one), b.number, [one, two, few, b.docs[b.chunk[at]], at.astype(np.uint32)])
+                    yield from messages(of_long.part_of(one), b.number, [one, two, few, docs, at.astype(np.uint32)])
 
         def compare(part: pa.Table) -> pa.Table:
-            k0, k1, few = (joined_blobs(part[f"k{i}"], k) for i, k in enumerate((of_long.kind, of_long.kind, np.uint16)))
-            order = np.lexsort((few, k1, k0))
-            starts = np.flatnonzero(changes(k0[order]) | changes(k1[order]) | changes(few[order]))
-            del k0, k1, few
+            keys = [joined_blobs(part[f"k{i}"], k) for i, k in enumerate((of_long.kind, of_long.kind, np.uint16))]
+            order = np.lexsort(keys[::-1])
+            starts = np.flatnonzero(reduce(np.logical_or, (changes(k[order]) for k in keys)))
+            del keys
             docs = joined_blobs(part["k3"], np.int64)[order]
             many = np.diff(np.concatenate([starts, [len(docs)]]))
             later = docs > np.repeat(np.minimum.reduceat(docs, starts), many)
-            del docs
             counts = [len(x.as_py()) // 4 for chunk in part["k4"].chunks for x in chunk]
             blocks_of = np.repeat(part["block"].to_numpy(), counts)[order][later]
             at = joined_blobs(part["k4"], np.uint32)[order][later]
@@ -342,85 +398,133 @@ def repeated_places(blocks: DataFrame, parts: int) -> DataFrame:
 
         return joined.mapInArrow(send, MESSAGE_SCHEMA).groupBy("part").applyInArrow(compare, "block int, at binary")
 
-    out = None
-    for residues, lead in (((1, 2), 0), ((0, 1), 1), ((0, 2), 2)):
-        found = written(merge(residues, lead), "merged")
-        out = found if out is None else out.unionByName(found)
-    return out
+    merges = (((1, 2), 0), ((0, 1), 1), ((0, 2), 2))
+    found = [scratch.keep(merge(residues, lead), f"merged-{lead}") for residues, lead in merges]
+    scratch.drop("nine", "long")
+    return reduce(DataFrame.unionByName, found)
+
+
+def hits(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(item, runs): for each distinct chunk the runs of its places whose strings also start in a smaller document than its own first one."""
+
+    def settle(block: pa.Table, told: pa.Table) -> pa.Table:
+        fields = [("item", pa.binary()), ("runs", pa.binary())]
+        if not block.num_rows:
+            return table_of([], fields)
+        row = block.to_pylist()[0]
+        b = Block(row)
+        at, starts, docs = b.strings()
+        many = np.diff(np.concatenate([starts, [len(at)]]))
+        told_at = joined_blobs(told["at"], np.uint32)
+        later = np.repeat(np.isin(at[starts], told_at), many) | (docs > np.repeat(docs[starts], many))
+        hit = np.zeros(len(b.text), dtype=bool)
+        hit[at[later]] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
+        owner = b.chunk[edges[:, 0]]
+        rows = []
+        cuts = [*np.flatnonzero(changes(owner)).tolist(), len(owner)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y > x:
+                o = int(owner[x])
+                rows.append((row["digests"][16 * o : 16 * o + 16], (edges[x:y] - b.begins[o]).astype(np.int64).tobytes()))
+        return table_of(rows, fields)
+
+    return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(settle, "item binary, runs binary")
+
+
+def lifted(chunks: DataFrame, heads: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc, item, found): what is repeated of the items that the chunks were cut from; whole: a smaller document has the chunk."""
+    placed = chunks.select("doc", "item", "start", "n", "digest").join(heads.select(F.col("item").alias("digest"), F.col("doc").alias("first")), "digest")
+    placed = placed.join(runs.withColumnRenamed("item", "digest"), "digest", "left").filter("first < doc or runs is not null")
+    return placed.groupBy("doc", "item").agg(F.collect_list(F.struct("start", "n", (F.col("first") < F.col("doc")).alias("whole"), "runs")).alias("found"))
+
+
+def runs_in(found: list[dict]) -> np.ndarray:
+    """Begins and ends of repeated places of an item."""
+    none = np.zeros((0, 2), np.int64)
+    return np.concatenate([none, *(x["start"] + (np.array([[0, x["n"]]]) if x["whole"] else np.frombuffer(x["runs"], np.int64).reshape(-1, 2)) for x in found)])
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, buckets: int | None = None) -> DataFrame:
+def repeated_in(items: DataFrame, size: int, notes: DataFrame, seeds: tuple[int, ...], scratch: Scratch, block_bytes: int) -> DataFrame:
+    """(doc, item, found): the places of the items whose strings also start in a smaller document's item.
+
+    The stretches of each item that can recur fall into chunks, equal chunks collapse to that of the smallest document; the same is done
+    with these for the next seed, and what is left is sorted.
+    """
+    seed, *rest = seeds
+    spark = items.sparkSession
+    blocks = max(1, -(-size // (4 * block_bytes)))
+    items = items.withColumn("block", F.pmod(F.xxhash64("doc", "item"), F.lit(blocks)).cast("int"))
+    notes = notes.select(F.pmod(F.xxhash64("doc", "item"), F.lit(blocks)).cast("int").alias("block"), F.lit(None).cast("binary").alias("h"), "doc", "item")
+    anchors = scratch.keep(recurring_anchors(items, notes, seed, blocks), f"anchors-{seed}")
+    told = anchors.select("block", "h", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("item")).unionByName(notes)
+    chunks = scratch.keep(chunks_of(items, told, seed), f"chunks-{seed}")
+    scratch.drop(f"anchors-{seed}")
+    heads = scratch.keep(distinct_chunks(chunks), f"heads-{seed}")
+    size = heads.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    none = spark.createDataFrame([], "doc long, item binary")
+    if not size:
+        runs = spark.createDataFrame([], "item binary, runs binary")
+    elif rest:
+        inner = repeated_in(heads, size, none, tuple(rest), scratch, block_bytes)
+
+        def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                runs = [runs_in(x).astype(np.int64).tobytes() for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["item", "runs"])
+
+        runs = inner.select("item", "found").mapInArrow(flat, "item binary, runs binary")
+    else:
+        blocks = scratch.keep(packed_blocks(heads, max(1, -(-size // block_bytes))), "blocks")
+        runs = hits(blocks, repeated_places(blocks, max(1, -(-size // (2 * block_bytes))), scratch))
+    found = scratch.keep(lifted(chunks, heads, runs), f"found-{seed}")
+    scratch.drop(f"chunks-{seed}", f"heads-{seed}", *(() if rest else ("blocks", "merged-0", "merged-1", "merged-2")))
+    return found
+
+
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """Removes bytes covered by a string of SIZE bytes that also starts in a document with a smaller id.
 
-    Strings are judged on the input and never cross documents. Only strings whose smallest anchor occurs in two different texts can recur;
-    the stretches of such places are cut into chunks by content, equal chunks collapse to that of the smallest document (a later document's
-    chunk is repeated as a whole), and suffixes of the distinct chunks are sorted and merged (repeated_places). Anchors are 64-bit hashes: equal strings
-    always have equal ones, so none is missed; chunks are told apart by 128 bits; suffixes are compared exactly.
+    Strings are judged on the input and never cross documents. Equal texts collapse to that of the smallest id (a later copy goes as a
+    whole). Only strings whose smallest anchor occurs in two documents can recur; the stretches of such places are cut into chunks by content,
+    equal chunks collapse likewise, and suffixes of distinct chunks are sorted and merged (repeated_places). Anchors are 64-bit hashes: equal strings
+    always have equal ones, so none is missed; texts are told apart by SHA-256 and chunks by 128 bits of BLAKE2; suffixes are compared exactly.
 
     Returns id_col, n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes). Ids are whole numbers. Null and empty texts have no bytes; rows with
     a null id are kept as they are; rows of one id don't remove from one another; an empty table gives no rows. Other columns are never read.
     """
     spark = docs.sparkSession
-    parts = buckets or shuffle_partitions(spark)
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("key", F.xxhash64("text"))
-    usable = source.filter(f"doc_id is not null and octet_length(text) >= {SIZE}")
-    anchors = written(recurring_anchors(usable, 2 * parts), "anchors")
-    chunks = written(chunks_of(usable, anchors), "chunks")
-    heads = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
-    total = chunks.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    blocks = written(packed_blocks(chunks, max(1, -(-total // block_bytes))), "blocks")
-    repeated = repeated_places(blocks, parts) if total else None
-
-    def spans(part: pa.Table) -> pa.Table:
-        """Runs of repeated places of each chunk of a block."""
-        head = part.filter(pc.is_valid(part["sizes"])).to_pylist()[0]
-        sizes = np.frombuffer(head["sizes"], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        hit = np.zeros(int(sizes.sum()), dtype=bool)
-        for x in part["at"].to_pylist():
-            if x is not None:
-                hit[np.frombuffer(x, np.uint32)] = True
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
-        owner = np.searchsorted(begins, edges[:, 0], side="right") - 1
-        rows = []
-        cuts = [*np.flatnonzero(changes(owner)).tolist(), len(owner)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                o = int(owner[a])
-                rows.append((head["digests"][16 * o : 16 * o + 16], (edges[a:b] - begins[o]).tobytes()))
-        return table_of(rows, [("digest", pa.binary()), ("runs", pa.binary())])
-
-    copies = anchors.filter("octet_length(copies) > 0").select("doc_id", "copies")
-    placed = chunks.select("doc_id", "key", "start", "n", "digest").join(heads.select("digest", "first"), "digest")
-    if repeated is not None:
-        both = blocks.select("block", "sizes", "digests", F.lit(None).cast("binary").alias("at")).unionByName(
-            repeated.select("block", F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("digests"), "at")
-        )
-        found = both.groupBy("block").applyInArrow(spans, "digest binary, runs binary")
-        placed = placed.join(found, "digest", "left")
+    small_batches(spark)
+    scratch = Scratch(spark, "suffixes")
+    source = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
+    source = source.withColumn("item", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    usable = source.filter(f"doc is not null and octet_length(text) >= {SIZE}")
+    same = usable.groupBy("item").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    copies = scratch.keep(usable.select("doc", "item").join(same, "item").filter("doc > first").select("doc", "item").distinct(), "copies")
+    total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = usable.select("doc", "item", F.col("text").cast("binary").alias("body"))
+    full = source.join(copies.withColumn("copy", F.lit(True)), ["doc", "item"], "left")
+    if total:
+        full = full.join(repeated_in(items, total, copies, SEEDS, scratch, block_bytes), ["doc", "item"], "left")
     else:
-        placed = placed.withColumn("runs", F.lit(None).cast("binary"))
-    placed = placed.filter("first < doc_id or runs is not null")
-    lists = placed.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", (F.col("first") < F.col("doc_id")).alias("whole"), "runs")).alias("found"))
-    full = source.join(copies, "doc_id", "left").join(written(lists, "found"), ["doc_id", "key"], "left")
+        full = full.withColumn("found", F.expr("cast(null as array<struct<start: bigint, n: int, whole: boolean, runs: binary>>)"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, key, text, own, found in zip(*batch.columns, strict=True):
+            for doc, text, copy, found in zip(*batch.columns, strict=True):
                 raw = (text.as_py() or "").encode()
                 gone = np.zeros(len(raw) + 1, dtype=np.int32)
-                if key.as_py() in np.frombuffer(own.as_py() or b"", np.int64):
+                if copy.as_py():
                     gone[0], gone[-1] = 1, -1
-                for x in found.as_py() or ():
-                    runs = np.array([[0, x["n"]]]) if x["whole"] else np.frombuffer(x["runs"], np.int64).reshape(-1, 2)
-                    np.add.at(gone, x["start"] + runs[:, 0], 1)
-                    np.add.at(gone, x["start"] + runs[:, 1] + SIZE - 1, -1)
+                runs = runs_in(found.as_py() or [])
+                np.add.at(gone, runs[:, 0], 1)
+                np.add.at(gone, runs[:, 1] + SIZE - 1, -1)
                 out = np.cumsum(gone[:-1]) > 0
                 kept = np.frombuffer(raw, np.uint8)[~out].tobytes()
                 rows.append((doc.as_py(), len(raw), len(raw) - len(kept), int((np.diff(np.concatenate([[0], out.view(np.int8)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
             fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
             yield from table_of(rows, fields).to_batches() if rows else ()
 
-    done = full.select("doc_id", "key", "text", "copies", "found").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = full.select("doc", "text", "copy", "found").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumnRenamed("doc_id", id_col)

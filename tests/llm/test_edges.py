@@ -81,7 +81,7 @@ def test_substrings_and_suffixes(spark):
         want = []
         for (i, b), g in zip(items, covered(items, 50), strict=True):
             want.append((str(i), len(b), len(g), sum(k - 1 not in g for k in g), sha(bytes(x for k, x in enumerate(b) if k not in g))))
-        got = remove_repeated_bytes(df, block_bytes=2000, buckets=3).collect()
+        got = remove_repeated_bytes(df, block_bytes=500).collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
     empty = frame(spark, rows).limit(0)
     assert remove_repeats(empty).count() == 0 and remove_repeated_bytes(empty).count() == 0
@@ -202,7 +202,7 @@ def test_one_id_on_two_texts(spark, tmp_path):
     a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
     df = frame(spark, [(1, a), (2, a), (2, b), (3, c)])
     assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(df, buckets=2).collect()) == [(1, 0), (2, 0), (2, 30), (3, 0)]
-    assert sorted((r.doc_id, r.n_removed) for r in remove_repeated_bytes(df, buckets=2).collect()) == sorted([(1, 0), (2, 0), (2, len(a)), (3, 0)])
+    assert sorted((r.doc_id, r.n_removed) for r in remove_repeated_bytes(df).collect()) == sorted([(1, 0), (2, 0), (2, len(a)), (3, 0)])
     spark.createDataFrame([("i", a)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     left = corpus_pipeline.benchmark_passages(spark, frame(spark, [(None, a), (None, b), (1, a), (1, c), (1, None)]), str(tmp_path)).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted([("None", b), ("1", c), ("1", "None")])
