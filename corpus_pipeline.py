@@ -21,35 +21,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of an id with different texts only the one that was compared goes."""
-    groups = jaccard_components(docs, width=5)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    keyed = docs.withColumn("own_key", F.xxhash64("text"))
-    worded = keyed.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(gone, "doc_id", "left_semi")
-    compared = worded.groupBy("doc_id").agg(F.min("own_key").alias("own_key"))
-    return keyed.join(compared, ["doc_id", "own_key"], "left_anti").select(docs.columns)
+    """The document with the smallest id of each group of near duplicates. Of an id with different texts those rows go whose own text is
+    near one of a smaller id. Rows without words, with a null text or a null id stay; repeated rows stay or go together; an empty table stays
+    empty. Other columns are carried along, whatever their names."""
+    groups = jaccard_components(docs, width=5, with_text=True).filter("text_component <> doc_id")
+    gone = groups.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    names = docs.columns
+    own = docs.select(F.struct(*(docs[c] for c in names)).alias("row"))
+    matches = (F.col("row.doc_id") == F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_key"))
+    return own.join(gone, matches, "left_anti").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without words that a smaller document's windows of 13 words cover; texts without such words stay as they are."""
+    """All documents, without words that a smaller document's windows of 13 words cover; texts without such words stay as they are, null and
+    empty ones and rows with a null id among them. Each text of a repeated id is cut by its own decisions; an empty table stays empty. Other
+    columns are carried along, whatever their names; n_chars follows the text."""
     changed = (
         remove_repeats(docs, width=13, with_text=True)
-        .filter("kept_text is not null")
+        .filter("kept_text is not null and doc_id is not null")
         .select(F.col("doc_id").alias("changed_id"), F.col("text_key").alias("changed_key"), "kept_text")
         .dropDuplicates(["changed_id", "changed_key"])
     )
-    own = docs.withColumn("changed_key", F.xxhash64("text")).join(changed.withColumnRenamed("changed_id", "doc_id"), ["doc_id", "changed_key"], "left")
-    text = F.coalesce("kept_text", "text")
-    out = {"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return own.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    own = own.join(changed, (F.col("row.doc_id") == F.col("changed_id")) & (F.xxhash64("row.text") == F.col("changed_key")), "left")
+    cut = F.col("kept_text").isNotNull()
+    out = {"text": F.coalesce("kept_text", "row.text"), "n_chars": F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return own.select(*((out[c] if c in out else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. A row goes for its own text, also where its id is null or repeated; null and empty texts
+    stay; an empty table stays empty. Other columns are carried along, whatever their names."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10, with_key=True)
-    hit = found.filter("contaminated").select(F.col("doc_id").alias("hit_doc_id"), F.col("text_key").alias("hit_text_digest"))
-    own = docs.withColumn("own_text_digest", text_digest("text"))
-    return own.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_doc_id")) & (F.col("own_text_digest") == F.col("hit_text_digest")), "left_anti").select(docs.columns)
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"))
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return own.join(hit, F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (text_digest("row.text") == F.col("hit_key")), "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
