@@ -18,7 +18,7 @@ from emberlattice.scratch import Scratch, small_batches
 SIZE = 50  # bytes of a string
 SEEDS = (26, 34)  # bytes of the anchors that decide which strings can recur: among texts, then among distinct chunks of these
 CHUNK = 4  # one in so many anchors ends a chunk
-SLICE = 1 << 20  # bytes that are hashed at a time
+SLICE = 1 << 17  # bytes that are hashed at a time
 
 
 def runs_of_bytes(data: np.ndarray, width: int) -> np.ndarray:
@@ -26,18 +26,23 @@ def runs_of_bytes(data: np.ndarray, width: int) -> np.ndarray:
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    level, size, power = data.astype(np.uint64) + U(1), 1, PRIME
+    level, size, power = data.astype(np.uint64) + U(1), 1, int(PRIME)
     out, done = None, 0
     rest = width
     while rest:
         if rest & 1:
             part = level[done : done + n]
-            out = part.copy() if out is None else out * power + part
+            if out is None:
+                out = part.copy()
+            else:
+                out *= U(power)
+                out += part
             done += size
         rest >>= 1
         if rest:
-            level = level[: len(level) - size] * power + level[size:]
-            size, power = 2 * size, power * power
+            longer = level[: len(level) - size] * U(power)
+            longer += level[size:]
+            level, size, power = longer, 2 * size, power * power % (1 << 64)
     return mixed(out)
 
 
@@ -60,6 +65,30 @@ def changes(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def ordered(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the entries by unsigned keys, the first key first, and which entries of the order differ from the one before."""
+    whole, bits = keys[0].astype(np.uint64), 8 * keys[0].itemsize
+    for k in keys[1:]:
+        more = 8 * k.itemsize
+        if bits + more > 64:
+            whole = ranks(whole)
+            bits = int(whole.max()).bit_length() if len(whole) else 0
+        if bits + more > 64:
+            k = ranks(k)
+            more = 64 - bits
+        whole, bits = (whole << U(more)) | k.astype(np.uint64), bits + more
+    order = np.argsort(whole)
+    return order, changes(whole[order])
+
+
+def ranks(a: np.ndarray) -> np.ndarray:
+    """The number of smaller distinct entries."""
+    order = np.argsort(a)
+    out = np.empty(len(a), dtype=np.uint64)
+    out[order] = np.cumsum(changes(a[order])) - 1
+    return out
+
+
 class Stretch:
     """Some items of a block end to end. Places are those that SIZE bytes of an item follow, counted item after item: `least` has their least
     anchors, `new` marks where another one begins, `first` is each item's first place."""
@@ -112,10 +141,13 @@ def recurring_anchors(items: DataFrame, notes: DataFrame, seed: int, buckets: in
             h.append(x.least[at])
             owner.append(docs[x.rows][x.item(at)])
         h, owner = np.concatenate(h), np.concatenate(owner)
-        order = np.lexsort((owner, h))
+        order = np.argsort(h)
         starts = np.flatnonzero(changes(h[order]))
-        ends = np.concatenate([starts[1:], [len(order)]])[: len(starts)] - 1
-        keep = np.unique(np.concatenate([order[starts], order[ends]]))
+        if len(order):
+            docs_of, many = owner[order], np.diff(np.concatenate([starts, [len(order)]]))
+            low, high = (np.repeat(f.reduceat(docs_of, starts), many) for f in (np.minimum, np.maximum))
+            order = order[(docs_of == low) | (docs_of == high)]
+        keep = np.sort(order)
         rows = list(by_bucket((h[keep] % U(buckets)).astype(np.int32), [h[keep], owner[keep]])) if len(keep) else []
         block = part["block"][0].as_py() if part.num_rows else 0
         return table_of([(b, block, *x) for b, x in rows], [("bucket", pa.int32()), ("block", pa.int32()), ("h", pa.binary()), ("docs", pa.binary())])
@@ -123,7 +155,7 @@ def recurring_anchors(items: DataFrame, notes: DataFrame, seed: int, buckets: in
     def decide(part: pa.Table) -> pa.Table:
         block = np.repeat(part["block"].to_numpy(), [len(x.as_py()) // 8 for chunk in part["h"].chunks for x in chunk])
         h = joined_blobs(part["h"], np.uint64)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, docs, block = h[order], joined_blobs(part["docs"], np.int64)[order], block[order]
         starts = np.flatnonzero(changes(h))
         recurs = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts)
@@ -213,7 +245,8 @@ class Block:
         """Places of whole strings so that equal ones stand together by rising document, where a new string begins, and the documents."""
         at = np.flatnonzero(self.left >= SIZE)
         docs = self.docs[self.chunk[at]]
-        order = np.lexsort((docs, runs_of_bytes(self.text, SIZE)[at]))
+        _, by_doc = np.unique(self.docs, return_inverse=True)
+        order, _ = ordered([runs_of_bytes(self.text, SIZE)[at], by_doc.astype(np.uint32)[self.chunk[at]]])
         at, docs = at[order], docs[order]
         new = np.zeros(len(at), dtype=bool)
         for j in (*range(0, SIZE - 8, 8), SIZE - 8):
@@ -298,8 +331,7 @@ class Triples:
 
     def __init__(self, at: np.ndarray, keys: list[np.ndarray], part_of):
         self.at = at
-        self.order = np.lexsort(keys[::-1])
-        new = reduce(np.logical_or, (changes(k[self.order]) for k in keys))
+        self.order, new = ordered(keys)
         self.starts = np.flatnonzero(new)
         self.keys = [k[self.order][self.starts] for k in keys]
         self.parts = part_of(self.keys[0])
@@ -312,8 +344,7 @@ def named(sent: DataFrame, kinds: tuple, name: str, parts: int, scratch: Scratch
     def rank(part: pa.Table) -> pa.Table:
         keys = [joined_blobs(part[f"k{i}"], k) for i, k in enumerate(kinds)]
         counts = [len(x.as_py()) // np.dtype(kinds[0]).itemsize for chunk in part["k0"].chunks for x in chunk]
-        order = np.lexsort(keys[::-1])
-        new = reduce(np.logical_or, (changes(k[order]) for k in keys))
+        order, new = ordered(keys)
         names = np.empty(len(order), dtype=np.uint32)
         names[order] = (np.cumsum(new) - 1).astype(np.uint32)
         ends = np.cumsum(counts).tolist()
@@ -364,44 +395,41 @@ def repeated_places(blocks: DataFrame, parts: int, scratch: Scratch) -> DataFram
     long, of_long = named(with_nine.mapInArrow(second, MESSAGE_SCHEMA), (of_nine.kind,) * 3, "long", parts, scratch)
     joined = with_nine.join(long, "block")
 
-    def merge(residues: tuple[int, ...], lead: int) -> DataFrame:
-        """Compares places of two residues by `lead` bytes, the names `lead` further on and 21 behind those, and the bytes left."""
-
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    b = Block(row)
-                    name = of_long.settled(row["long"], names_of(b, row), len(b.text))
-                    at, starts, docs = b.strings()
-                    at, docs = at[starts], docs[starts]
-                    here = np.isin(b.place[at] % 3, residues)
-                    at, docs = at[here], docs[here]
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of two residues meet by `lead` bytes, the names `lead` further on and 21 behind those, and the bytes left."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block(row)
+                name = of_long.settled(row["long"], names_of(b, row), len(b.text))
+                whole, starts, every = b.strings()
+                for number, (residues, lead) in enumerate(MERGES):
+                    here = np.isin(b.place[whole[starts]] % 3, residues)
+                    at, docs = whole[starts][here], every[starts][here]
                     one, two = name[at + lead], name[at + lead + 21]
                     few = np.zeros(len(at), np.uint16)
                     for j in [*range(lead), *range(lead + 48, SIZE)]:
                         few = (few << np.uint16(8)) | b.text[at + j]
-                    yield from messages(of_long.part_of(one), b.number, [one, two, few, docs, at.astype(np.uint32)])
-
-        def compare(part: pa.Table) -> pa.Table:
-            keys = [joined_blobs(part[f"k{i}"], k) for i, k in enumerate((of_long.kind, of_long.kind, np.uint16))]
-            order = np.lexsort(keys[::-1])
-            starts = np.flatnonzero(reduce(np.logical_or, (changes(k[order]) for k in keys)))
-            del keys
-            docs = joined_blobs(part["k3"], np.int64)[order]
-            many = np.diff(np.concatenate([starts, [len(docs)]]))
-            later = docs > np.repeat(np.minimum.reduceat(docs, starts), many)
-            counts = [len(x.as_py()) // 4 for chunk in part["k4"].chunks for x in chunk]
-            blocks_of = np.repeat(part["block"].to_numpy(), counts)[order][later]
-            at = joined_blobs(part["k4"], np.uint32)[order][later]
-            rows = [(b, x[0]) for b, x in by_bucket(blocks_of, [at])] if len(at) else []
-            return table_of(rows, [("block", pa.int32()), ("at", pa.binary())])
-
-        return joined.mapInArrow(send, MESSAGE_SCHEMA).groupBy("part").applyInArrow(compare, "block int, at binary")
-
-    merges = (((1, 2), 0), ((0, 1), 1), ((0, 2), 2))
-    found = [scratch.keep(merge(residues, lead), f"merged-{lead}") for residues, lead in merges]
+                    yield from messages(number * parts + of_long.part_of(one), b.number, [one, two, few, docs, at.astype(np.uint32)])
+
+    def compare(part: pa.Table) -> pa.Table:
+        order, new = ordered([joined_blobs(part[f"k{i}"], k) for i, k in enumerate((of_long.kind, of_long.kind, np.uint16))])
+        starts = np.flatnonzero(new)
+        docs = joined_blobs(part["k3"], np.int64)[order]
+        many = np.diff(np.concatenate([starts, [len(docs)]]))
+        later = docs > np.repeat(np.minimum.reduceat(docs, starts), many)
+        counts = [len(x.as_py()) // 4 for chunk in part["k4"].chunks for x in chunk]
+        blocks_of = np.repeat(part["block"].to_numpy(), counts)[order][later]
+        at = joined_blobs(part["k4"], np.uint32)[order][later]
+        rows = [(b, x[0]) for b, x in by_bucket(blocks_of, [at])] if len(at) else []
+        return table_of(rows, [("block", pa.int32()), ("at", pa.binary())])
+
+    found = scratch.keep(joined.mapInArrow(send, MESSAGE_SCHEMA).groupBy("part").applyInArrow(compare, "block int, at binary"), "merged")
     scratch.drop("nine", "long")
-    return reduce(DataFrame.unionByName, found)
+    return found
+
+
+#: Residues that a merge compares, and how many bytes lead to a sampled place for both.
+MERGES = (((1, 2), 0), ((0, 1), 1), ((0, 2), 2))
 
 
 def hits(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -445,11 +473,11 @@ def runs_in(found: list[dict]) -> np.ndarray:
     return np.concatenate([none, *(x["start"] + (np.array([[0, x["n"]]]) if x["whole"] else np.frombuffer(x["runs"], np.int64).reshape(-1, 2)) for x in found)])
 
 
-def repeated_in(items: DataFrame, size: int, notes: DataFrame, seeds: tuple[int, ...], scratch: Scratch, block_bytes: int) -> DataFrame:
+def repeated_in(items: DataFrame, size: int, notes: DataFrame, seeds: tuple[int, ...], scratch: Scratch, block_bytes: int, cut=lambda: None) -> DataFrame:
     """(doc, item, found): the places of the items whose strings also start in a smaller document's item.
 
     The stretches of each item that can recur fall into chunks, equal chunks collapse to that of the smallest document; the same is done
-    with these for the next seed, and what is left is sorted.
+    with these for the next seed, and what is left is sorted. cut is called once the items are read for the last time.
     """
     seed, *rest = seeds
     spark = items.sparkSession
@@ -460,13 +488,17 @@ def repeated_in(items: DataFrame, size: int, notes: DataFrame, seeds: tuple[int,
     told = anchors.select("block", "h", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("item")).unionByName(notes)
     chunks = scratch.keep(chunks_of(items, told, seed), f"chunks-{seed}")
     scratch.drop(f"anchors-{seed}")
-    heads = scratch.keep(distinct_chunks(chunks), f"heads-{seed}")
-    size = heads.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    cut()
+    bodies = scratch.keep(distinct_chunks(chunks), f"bodies-{seed}")
+    heads = scratch.keep(bodies.select("item", "doc"), f"heads-{seed}")
+    chunks = scratch.keep(chunks.drop("body"), f"placed-{seed}")
+    scratch.drop(f"chunks-{seed}")
+    size = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     none = spark.createDataFrame([], "doc long, item binary")
     if not size:
         runs = spark.createDataFrame([], "item binary, runs binary")
     elif rest:
-        inner = repeated_in(heads, size, none, tuple(rest), scratch, block_bytes)
+        inner = repeated_in(bodies, size, none, tuple(rest), scratch, block_bytes, lambda: scratch.drop(f"bodies-{seed}"))
 
         def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -475,10 +507,11 @@ def repeated_in(items: DataFrame, size: int, notes: DataFrame, seeds: tuple[int,
 
         runs = inner.select("item", "found").mapInArrow(flat, "item binary, runs binary")
     else:
-        blocks = scratch.keep(packed_blocks(heads, max(1, -(-size // block_bytes))), "blocks")
+        blocks = scratch.keep(packed_blocks(bodies, max(1, -(-size // block_bytes))), "blocks")
+        scratch.drop(f"bodies-{seed}")
         runs = hits(blocks, repeated_places(blocks, max(1, -(-size // (2 * block_bytes))), scratch))
     found = scratch.keep(lifted(chunks, heads, runs), f"found-{seed}")
-    scratch.drop(f"chunks-{seed}", f"heads-{seed}", *(() if rest else ("blocks", "merged-0", "merged-1", "merged-2")))
+    scratch.drop(f"placed-{seed}", f"heads-{seed}", *(() if rest else ("blocks", "merged")))
     return found
 
 
@@ -514,6 +547,9 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
             rows = []
             for doc, text, copy, found in zip(*batch.columns, strict=True):
                 raw = (text.as_py() or "").encode()
+                if not copy.as_py() and not found.as_py():
+                    rows.append((doc.as_py(), len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
+                    continue
                 gone = np.zeros(len(raw) + 1, dtype=np.int32)
                 if copy.as_py():
                     gone[0], gone[-1] = 1, -1
