@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlattice.scratch import small_batches
+
 FEATURES = [
     "log_bytes", "log_words", "mean_word", "distinct", "top_word", "repeats", "upper", "symbols", "digits", "stops", "bars", "shouts", "line_words",
     "repeated_lines", "beyond_ascii", "long_words",
@@ -54,23 +56,14 @@ def statistics(text: str | None) -> list[float]:
         math.sqrt(raw.count(b"!") / n),
         math.log1p(n / len(lines)),
         math.sqrt(1 - len(set(lines)) / len(lines)),
-        math.sqrt(max(0, size - len(raw.translate(None, ASCII)) and len(raw.translate(None, ASCII))) / letters),
+        math.sqrt(len(raw.translate(None, ASCII)) / letters),
         math.sqrt(sum(len(w) > 24 for w in counts) / len(counts)),
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the statistics of every whole text; narrow rows, so that labels meet these and not the texts."""
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch.column(1)], dtype=np.float64).reshape(-1)
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x))], names=["doc_id", "x"])
-
-    return source.mapInArrow(run, f"doc_id {kind}, x array<double>")
+def features(texts) -> np.ndarray:
+    """A row of statistics for each text."""
+    return np.array([statistics(t.as_py()) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
 
 
 @dataclass
@@ -94,25 +87,30 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
-def fit(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", shrinkage: float = 0.1) -> Discriminant:
-    """Fits on all labelled rows that statistics has: tasks reduce them to counts, sums and products a class, a fixed number of
-    numbers. Class covariances are drawn towards the pooled one and that towards its mean variance. Null labels or ids
-    teach nothing; repeated labels count each; without rows of both classes every score is the smoothed share of label 1."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = 0.1, most: int = 50_000
+) -> Discriminant:
+    """Fits on at most `most` labelled rows, those whose ids have the smallest hashes, with the whole texts of docs. The labels taken are
+    broadcast (16 bytes each), so only these texts are looked at and nothing but their moments is shuffled: tasks reduce them to counts, sums
+    and products a class, a fixed number of numbers. Class covariances are drawn towards the pooled one and that towards its mean
+    variance. Null labels or ids teach nothing; repeated labels count each; without rows of both classes every score is the smoothed share of
+    label 1."""
     own = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
+    taken = own.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(taken), "doc_id").select("text", "y")
     d = len(FEATURES)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + d + d * d))
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
+            x, y = features(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
             for c in (0, 1):
                 part = x[y == c]
                 total[c] += np.concatenate([[len(part)], part.sum(axis=0), (part.T @ part).reshape(-1)])
         at = np.arange(total.size)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1))], names=["at", "v"])
 
-    sums = statistics.join(own, "doc_id").select("x", "y").mapInArrow(moments, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    sums = texts.mapInArrow(moments, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
     total = np.zeros(2 * (1 + d + d * d))
     for r in sums:
         total[r["at"]] = r["v"]
@@ -140,33 +138,28 @@ def fit(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     return Discriminant(centre, scale, classes, float(prior))
 
 
-def score(statistics: DataFrame, model: Discriminant) -> DataFrame:
-    """doc_id and score (0 to 1; higher: label 1 likelier) of each row of document_statistics()."""
-    kind = statistics.schema["doc_id"].dataType.simpleString()
-    shared = statistics.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(x))], names=["doc_id", "score"])
-
-    return statistics.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, score double")
-
-
 def held_out(doc_id) -> F.Column:
     """Rows whose labels are kept for measuring: crc32 of the id as text, modulo 5, is 0 (a null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, stored=lambda df: df) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """id_col, held_out, score and predicted (1 if score >= threshold) of every document, learned from labels of rows that
-    aren't held out. stored: how to keep the statistics between fitting and scoring (a table in the shared folder).
+    aren't held out.
 
     Null and empty texts have all statistics zero and a score; null or repeated ids keep a row each; an empty table gives no rows.
     """
-    known = stored(document_statistics(docs, id_col, text_col))
-    model = fit(known, labels.filter(~held_out(labels[id_col])), id_col)
-    scored = score(known, model)
+    small_batches(docs.sparkSession)
+    model = fit(docs, labels.filter(~held_out(labels[id_col])), id_col, text_col)
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(features(batch.column(1))))], names=["doc_id", "score"])
+
+    scored = source.mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select(
         F.col("doc_id").alias(id_col), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
@@ -174,14 +167,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns as they are, whose score is at least the threshold. Scores come from the text where it is
-    read, so nothing but narrow statistics of labelled rows is shuffled. Null and empty texts are scored like all others."""
-    model = fit(document_statistics(docs, id_col, text_col), labels.filter(~held_out(labels[id_col])), id_col)
+    read. Null and empty texts are scored like all others; rows with null or repeated ids are judged by their own text."""
+    small_batches(docs.sparkSession)
+    model = fit(docs, labels.filter(~held_out(labels[id_col])), id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch.column(at)], dtype=np.float64).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(shared.value.scores(x) >= threshold))
+            yield batch.filter(pa.array(shared.value.scores(features(batch.column(at))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return classify(docs, labels, threshold=0.3, stored=lambda df: written(df, "statistics"))
+    return classify(docs, labels, threshold=0.3)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,22 +13,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlattice.llm.common import shuffle_partitions
-from emberlattice.scratch import written
 from emberlattice.llm.grams import WordHashes, by_bucket, chunks, joined_blobs, mixed, rolling, windows_of
+from emberlattice.scratch import Scratch, small_batches
 
 #: Words of an automaton's patterns. Each window of 13 words holds one of the passage's blocks that start at multiples of 9.
 BLOCK = 5
-FIRST, FOLLOWS, COPY = 0, 1, 2
+FIRST, FOLLOWS = 0, 1
+BUCKET_BYTES = 8 << 20  # of texts whose windows one task holds at a time
 GAP = re.compile(rb"[\x20\x09-\x0D]+")
 
 
-def confirmed(source: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Which documents hold windows that recur: a row (doc_id, windows, firsts, copies) for each of them.
+def confirmed(usable: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Which documents hold windows that recur: a row (doc_id, windows, firsts) for each of them.
 
     windows: hashes of windows that start in this document, in no smaller one, and in another text; firsts: ids of documents
-    for which that holds of windows of this one; copies: keys of its texts that a smaller document has too. Window hashes are dealt to buckets
-    as blobs, so that a common window costs a number in a blob and no bucket holds more rows than tasks; what a bucket finds goes
+    for which that holds of windows of this one. Window hashes are dealt to buckets as blobs, so that a common window costs a number in a blob and no bucket holds more rows than tasks; what a bucket finds goes
     on as one blob for each bucket of documents.
     """
 
@@ -58,7 +57,7 @@ def confirmed(source: DataFrame, width: int, buckets: int) -> DataFrame:
         first = np.minimum.reduceat(ids, starts)
         again = first != np.maximum.reduceat(ids, starts)
         differ = np.minimum.reduceat(keys, starts) != np.maximum.reduceat(keys, starts)
-        recurs, copies = differ & again, ~differ & again
+        recurs = differ & again
         ends = [(first[recurs], np.full(recurs.sum(), FIRST), h[starts][recurs].view(np.int64))]
         del h, starts
         pick = np.flatnonzero(np.repeat(recurs, many))
@@ -67,10 +66,6 @@ def confirmed(source: DataFrame, width: int, buckets: int) -> DataFrame:
         later = doc != of
         doc, of = unique_pairs(doc[later], of[later])
         ends.append((doc, np.full(len(doc), FOLLOWS), of))
-        pick = np.flatnonzero(np.repeat(copies, many))
-        pick = pick[ids[pick] != np.repeat(first[copies], many[copies])]
-        doc, key = unique_pairs(ids[pick], keys[pick])
-        ends.append((doc, np.full(len(doc), COPY), key))
         doc, kind, value = (np.concatenate(x) for x in zip(*ends, strict=True))
         rows = list(by_bucket((mixed(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), [doc, kind.astype(np.int8), value]))
         cols = [pa.array([r for r, _ in rows], pa.int32()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in range(3))]
@@ -84,15 +79,14 @@ def confirmed(source: DataFrame, width: int, buckets: int) -> DataFrame:
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
-                x, y = a + np.searchsorted(kind[a:b], [FOLLOWS, COPY])
-                rows.append((int(doc[a]), value[a:x].tobytes(), np.unique(value[x:y]).tobytes(), np.unique(value[y:b]).tobytes()))
+                x = a + int(np.searchsorted(kind[a:b], FOLLOWS))
+                rows.append((int(doc[a]), value[a:x].tobytes(), np.unique(value[x:b]).tobytes()))
         return pa.Table.from_batches([_batch(rows, INFO)])
 
-    usable = source.filter("doc_id is not null and text is not null")
     dealt = usable.mapInArrow(spread, "bucket int, h binary, ids binary, keys binary").groupBy("bucket").applyInArrow(
         decide, "bucket int, doc binary, kind binary, value binary"
     )
-    return dealt.groupBy("bucket").applyInArrow(gather, "doc_id long, windows binary, firsts binary, copies binary")
+    return dealt.groupBy("bucket").applyInArrow(gather, "doc_id long, windows binary, firsts binary")
 
 
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,15 +97,22 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-INFO = pa.schema([("doc_id", pa.int64()), ("windows", pa.binary()), ("firsts", pa.binary()), ("copies", pa.binary())])
+INFO = pa.schema([("doc_id", pa.int64()), ("windows", pa.binary()), ("firsts", pa.binary())])
+
 
+def whole_copies(usable: DataFrame) -> DataFrame:
+    """(doc_id, copies): SHA-256 of those texts of a document that a smaller one has too; only digests and ids are shuffled."""
+    own = usable.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    same = own.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    return own.join(same, "sha").filter("doc_id > least").groupBy("doc_id").agg(F.collect_set("sha").alias("copies"))
 
-def cut_passages(source: DataFrame, found: DataFrame, width: int, with_text: bool) -> DataFrame:
+
+def cut_passages(source: DataFrame, found: DataFrame, copies: DataFrame, width: int, with_text: bool) -> DataFrame:
     """A row per document: its passages that recur (runs of FIRST windows, each window once) and whose passages it follows.
 
     Documents that need no scan have their digest at once; the others keep their text.
     """
-    together = source.join(found, "doc_id", "left")
+    together = source.join(found, "doc_id", "left").join(copies, "doc_id", "left")
     schema = (
         "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, kept_text string, text string, firsts array<long>, "
         "passages array<string>, passage_words long"
@@ -135,7 +136,7 @@ def cut_passages(source: DataFrame, found: DataFrame, width: int, with_text: boo
                             passages.append(b" ".join(words[run[0] : run[-1] + width]).decode())
                 follows = np.frombuffer(firsts.as_py() or b"", dtype=np.int64).tolist()
                 row = [doc.as_py(), key.as_py(), n, None, None, None, None, None, passages, sum(p.count(" ") + 1 for p in passages)]
-                if key.as_py() in np.frombuffer(copies.as_py() or b"", dtype=np.int64):
+                if n >= width and copies.is_valid and hashlib.sha256(raw.encode()).hexdigest() in copies.as_py():
                     row[3:6] = n, sha([]), "" if with_text else None
                 elif follows:
                     row[6:8] = raw, follows
@@ -273,9 +274,9 @@ def remove_repeats(
     text_col: str = "text",
     width: int = 13,
     with_text: bool = False,
-    buckets: int | None = None,
     shard_words: int = 400_000,
     scan_bytes: int = 16 << 20,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """Removes words covered by a window of `width` words that also starts in a document with a smaller id.
 
@@ -284,16 +285,23 @@ def remove_repeats(
     shard_words words, each an Aho-Corasick automaton; every document that holds a window of a shard's passages streams through
     that shard, which finds all occurrences and compares them word by word. Hot shards are split by document.
 
-    Window hashes have 64 bits; two windows that differ but share one could only hide a passage, never remove a word.
+    Window hashes have 64 bits; two windows that differ but share one could only hide a passage, never remove a word. A text that a smaller
+    document has too, by SHA-256, goes as a whole; its windows are no passages of their own.
 
     Returns id_col, text_key (xxhash64 of the text), n_words, n_removed, kept_sha256 and, with with_text, kept_text (null: the text
     is as before). Ids are whole numbers. Null and empty texts have no words; a row with a null id is kept as it is, as no id is
     smaller or larger; rows of one id don't remove from one another; an empty table gives no rows. Other columns are never read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "passages")
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("key", F.xxhash64("text"))
-    found = written(confirmed(source, width, buckets or 2 * shuffle_partitions(spark)), "windows")
-    cut = written(cut_passages(source, found, width, with_text), "passages")
+    usable = source.filter("doc_id is not null and text is not null")
+    size = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = scratch.keep(confirmed(usable, width, max(1, -(-size // bucket_bytes))), "windows")
+    copies = scratch.keep(whole_copies(usable), "copies")
+    cut = scratch.keep(cut_passages(source, found, copies, width, with_text), "cut")
+    scratch.drop("windows", "copies")
     passages = cut.filter("passage_words > 0").select(F.col("doc_id").alias("first"), "passage_words", F.explode("passages").alias("passage"))
     total = cut.agg(F.sum("passage_words")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
@@ -323,7 +331,7 @@ def remove_repeats(
         .cogroup(patterns.groupBy("shard", "salt"))
         .applyInArrow(locate, "doc_id long, key long, spans binary")
     )
-    spans = written(spans, "spans").groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
+    spans = scratch.keep(spans, "spans").groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

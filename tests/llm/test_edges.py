@@ -74,7 +74,7 @@ def test_substrings_and_suffixes(spark):
         df = frame(spark, rows)
         items = [(i, words(t)) for i, t in rows]
         want = sorted((str(i), len(w), len(g), sha(" ".join(x for k, x in enumerate(w) if k not in g).encode())) for (i, w), g in zip(items, covered(items, 13), strict=True))
-        got = remove_repeats(df, with_text=True, shard_words=100, scan_bytes=3000, buckets=5).collect()
+        got = remove_repeats(df, with_text=True, shard_words=100, scan_bytes=3000, bucket_bytes=2000).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
         assert all(sha(" ".join(words(r.kept_text)).encode()) == r.kept_sha256 for r in got if r.kept_text is not None)
         items = [(i, (t or "").encode()) for i, t in rows]
@@ -201,7 +201,7 @@ def test_one_id_on_two_texts(spark, tmp_path):
 
     a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
     df = frame(spark, [(1, a), (2, a), (2, b), (3, c)])
-    assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(df, buckets=2).collect()) == [(1, 0), (2, 0), (2, 30), (3, 0)]
+    assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(df, bucket_bytes=50).collect()) == [(1, 0), (2, 0), (2, 30), (3, 0)]
     assert sorted((r.doc_id, r.n_removed) for r in remove_repeated_bytes(df).collect()) == sorted([(1, 0), (2, 0), (2, len(a)), (3, 0)])
     spark.createDataFrame([("i", a)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     left = corpus_pipeline.benchmark_passages(spark, frame(spark, [(None, a), (None, b), (1, a), (1, c), (1, None)]), str(tmp_path)).collect()

@@ -102,7 +102,7 @@ def test_stages_equal_brute_force(spark):
 def test_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r[0]: r[1] for r in duckdb.sql(f"select doc_id, quality from '{sf}/labels.parquet'").fetchall()}
-    rows = classify(table(spark, sf, "documents"), table(spark, sf, "labels"), stored=lambda d: written(d, "s")).collect()
+    rows = classify(table(spark, sf, "documents"), table(spark, sf, "labels")).collect()
     judged = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert len(judged) > 500 and sum(a == b for a, b in judged) / len(judged) > 0.98
     assert all(0 <= r.score <= 1 for r in rows)
