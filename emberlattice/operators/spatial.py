@@ -113,7 +113,8 @@ def segments(shapes: DataFrame, keys=("layer",)) -> DataFrame:
 
 
 def nearest_distance(points: DataFrame, shapes: DataFrame, size: float, x: str = "longitude", y: str = "latitude", id_col: str = "point_id") -> DataFrame:
-    """(id_col, layer, distance): least planar distance from each point to each layer's lines, points and polygons, 0 inside a polygon.
+    """(id_col, layer, distance): least planar distance from each point to each layer's lines, points and polygons, 0 inside a polygon and
+    not in its holes.
 
     Points meet the edges of the nine tiles around them; who has no distance within what these cover tries again with tiles of
     twice the size. A layer without shapes gives no rows (read it as 0).
@@ -130,11 +131,14 @@ def nearest_distance(points: DataFrame, shapes: DataFrame, size: float, x: str =
         return empty
     xs, ys = [*box[:4], span[0], span[1]], [*box[4:], span[2], span[3]]
     widest = max(max(xs) - min(xs), max(ys) - min(ys))
-    areas = shapes.filter("geom_type = 'polygon'").select("layer", F.explode("parts").alias("ring")).filter(F.size("ring") > 3)
+    areas = shapes.filter("geom_type = 'polygon'").select("layer", "feature_id", F.explode("parts").alias("ring")).filter(F.size("ring") > 3)
     areas = areas.withColumn("rx", F.transform("ring", lambda p: p["x"])).withColumn("ry", F.transform("ring", lambda p: p["y"]))
-    areas = areas.select("layer", "ring", tiles_of_box(F.array_min("rx"), F.array_min("ry"), F.array_max("rx"), F.array_max("ry"), size).alias("t")).select("layer", "ring", "t.tx", "t.ty")
+    boxed = tiles_of_box(F.array_min("rx"), F.array_min("ry"), F.array_max("rx"), F.array_max("ry"), size).alias("t")
+    areas = areas.select("layer", "feature_id", "ring", boxed).select("layer", "feature_id", "ring", "t.tx", "t.ty")
     at = own.withColumn("tx", tile(F.col("x"), size)).withColumn("ty", tile(F.col("y"), size))
-    inside = written(at.join(areas, ["tx", "ty"]).filter(inside_ring(F.col("x"), F.col("y"), "ring")).select("id", "layer").distinct(), "inside")
+    # a hole's ring lies inside an outer one: an odd number of a shape's rings around a point means inside
+    within = at.join(areas, ["tx", "ty"]).filter(inside_ring(F.col("x"), F.col("y"), "ring")).groupBy("id", "layer", "feature_id").count()
+    inside = written(within.filter("count % 2 = 1").select("id", "layer").distinct(), "inside")
     all_layers = F.explode(F.array(*(F.lit(v) for v in layers)))
     asking = own.withColumn("layer", all_layers).join(inside, ["id", "layer"], "left_anti")
     done = inside.select("id", "layer", F.lit(0.0).alias("distance"))

@@ -166,6 +166,14 @@ def cluster_shapes(df: DataFrame, d: float = 100.0, keys=KEYS) -> DataFrame:
     return shape.join(rim, [*keys, "hotspot_id"]).join(means, [*keys, "hotspot_id"])
 
 
+def mean_of_hundredths(value):
+    """Mean of two-decimal values, rounded to two decimals and ties to even, from whole hundredths: the order of summation can't move a tie."""
+    total, n = F.sum(F.rint(value * 100).cast("long")), F.count(value)
+    low, rest = F.floor(total / n), F.pmod(total, n)
+    up = (2 * rest > n) | ((2 * rest == n) & (F.pmod(low, F.lit(2)) == 1))
+    return F.when(n > 0, (low + up.cast("long")) / 100)
+
+
 def registry(df: DataFrame, cell: float = 100.0, keys=KEYS) -> DataFrame:
     """One row a cluster for the registry; a box grows half a cell outward."""
     x, y = F.col("utm_x_m"), F.col("utm_y_m")
@@ -182,7 +190,7 @@ def registry(df: DataFrame, cell: float = 100.0, keys=KEYS) -> DataFrame:
         r(F.max("lst_day_celsius"), 2).alias("peak_lst"),
         r(F.avg("suhii_day_celsius"), 2).alias("mean_suhii"),
         r(F.avg("heat_persistence_index"), 3).alias("mean_heat_persistence"),
-        r(F.coalesce(F.avg("hotspot_confidence_score"), F.lit(0.0)), 2).alias("mean_hotspot_confidence_score"),
+        F.coalesce(mean_of_hundredths(F.col("hotspot_confidence_score")), F.lit(0.0)).alias("mean_hotspot_confidence_score"),
     )
 
 

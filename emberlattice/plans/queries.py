@@ -598,10 +598,15 @@ def _(spark, d):
     return T.cluster_shapes(clustered(spark, d)).select("hotspot_id", "area_m2", "perimeter_m", r4("centroid_x").alias("centroid_x"), r4("centroid_y").alias("centroid_y"), "lo_x", "hi_y")
 
 
-REGISTRY = """SELECT hotspot_id, count(*) * 10000.0::DOUBLE AS cluster_area_m2, 2 * ((max(utm_x_m) - min(utm_x_m) + 100) + (max(utm_y_m) - min(utm_y_m) + 100)) AS cluster_perimeter_m,
-    count(*) AS cluster_size_pixels, round_even(avg(utm_x_m), 2) AS cluster_centroid_x, round_even(avg(utm_y_m), 2) AS cluster_centroid_y, round_even(avg(lst_day_celsius), 2) AS mean_lst, round_even(max(lst_day_celsius), 2) AS peak_lst,
-    round_even(avg(suhii_day_celsius), 2) AS mean_suhii, round_even(avg(heat_persistence_index), 3) AS mean_heat_persistence, round_even(avg(hotspot_confidence_score), 2) AS mean_hotspot_confidence_score
-    FROM scored WHERE hotspot_id IS NOT NULL GROUP BY hotspot_id"""
+REGISTRY = """SELECT * EXCLUDE (hundredths, n), coalesce((CASE WHEN 2 * (hundredths % n) > n OR (2 * (hundredths % n) = n AND hundredths // n % 2 = 1)
+        THEN hundredths // n + 1 ELSE hundredths // n END) / 100, 0) AS mean_hotspot_confidence_score FROM (
+    SELECT hotspot_id, count(*) * 10000.0::DOUBLE AS cluster_area_m2,
+        2 * ((max(utm_x_m) - min(utm_x_m) + 100) + (max(utm_y_m) - min(utm_y_m) + 100)) AS cluster_perimeter_m, count(*) AS cluster_size_pixels,
+        round_even(avg(utm_x_m), 2) AS cluster_centroid_x, round_even(avg(utm_y_m), 2) AS cluster_centroid_y,
+        round_even(avg(lst_day_celsius), 2) AS mean_lst, round_even(max(lst_day_celsius), 2) AS peak_lst,
+        round_even(avg(suhii_day_celsius), 2) AS mean_suhii, round_even(avg(heat_persistence_index), 3) AS mean_heat_persistence,
+        sum(round_even(hotspot_confidence_score * 100, 0)::BIGINT)::BIGINT AS hundredths, count(hotspot_confidence_score) AS n
+    FROM scored WHERE hotspot_id IS NOT NULL GROUP BY hotspot_id)"""
 
 
 @query("agg_7_registry", w(SCORED, REGISTRY))

@@ -97,6 +97,18 @@ def test_nearest_and_counts(spark):
     assert {r.point_id: r.building_density for r in S.building_density(pts, boxes).collect()} == {"a": 0.6, "b": 0.1, "z": 0.0}
 
 
+
+def test_holes_are_outside(spark):
+    """A lake with an island and a second part: on the island the shore is near, on the island's edge it is at 0."""
+    box = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
+    parts = [[{"x": x * 1.0, "y": y * 1.0} for x, y in r] for r in (box(0, 10), box(4, 7), box(20, 22))]
+    shapes = spark.createDataFrame([("water", 1, "polygon", parts)], "layer string, feature_id long, geom_type string, parts array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([("island", 5.5, 5.0), ("lake", 2.0, 2.0), ("edge", 4.0, 5.0), ("part", 21.0, 21.0), ("land", 13.0, 5.0)], "point_id string, longitude double, latitude double")
+    for size in (1.0, 6.0, 40.0):
+        got = {r.point_id: r.distance for r in S.nearest_distance(points, shapes, size).collect()}
+        assert got == {"island": 1.0, "lake": 0.0, "edge": 0.0, "part": 0.0, "land": 3.0}
+
+
 def test_clusters_ranks_scores(spark):
     rows = [("r", i, x, y, hot, 40.0, 5.0, 0.7) for i, (x, y, hot) in enumerate(((0.0, 0.0, True), (100.0, 0.0, True), (5000.0, 5000.0, True), (9000.0, 0.0, False)))]
     df = spark.createDataFrame(rows, "run_id string, point_id int, utm_x_m double, utm_y_m double, is_validated_hotspot boolean, lst_day_celsius double, suhii_day_celsius double, heat_persistence_index double")
