@@ -395,14 +395,15 @@ def repeated_places(blocks: DataFrame, parts: int, scratch: Scratch) -> DataFram
     long, of_long = named(with_nine.mapInArrow(second, MESSAGE_SCHEMA), (of_nine.kind,) * 3, "long", parts, scratch)
     joined = with_nine.join(long, "block")
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch], numbers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
         """Places of two residues meet by `lead` bytes, the names `lead` further on and 21 behind those, and the bytes left."""
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
                 name = of_long.settled(row["long"], names_of(b, row), len(b.text))
                 whole, starts, every = b.strings()
-                for number, (residues, lead) in enumerate(MERGES):
+                for number in numbers:
+                    residues, lead = MERGES[number]
                     here = np.isin(b.place[whole[starts]] % 3, residues)
                     at, docs = whole[starts][here], every[starts][here]
                     one, two = name[at + lead], name[at + lead + 21]
@@ -423,7 +424,11 @@ def repeated_places(blocks: DataFrame, parts: int, scratch: Scratch) -> DataFram
         rows = [(b, x[0]) for b, x in by_bucket(blocks_of, [at])] if len(at) else []
         return table_of(rows, [("block", pa.int32()), ("at", pa.binary())])
 
-    found = scratch.keep(joined.mapInArrow(send, MESSAGE_SCHEMA).groupBy("part").applyInArrow(compare, "block int, at binary"), "merged")
+    def merged(*numbers: int) -> DataFrame:
+        sent = joined.mapInArrow(lambda batches: send(batches, numbers), MESSAGE_SCHEMA)
+        return scratch.keep(sent.groupBy("part").applyInArrow(compare, "block int, at binary"), f"merged-{numbers[0]}")
+
+    found = merged(0, 1).unionByName(merged(2))  # all three at once would take half as much disk again
     scratch.drop("nine", "long")
     return found
 
@@ -511,7 +516,7 @@ def repeated_in(items: DataFrame, size: int, notes: DataFrame, seeds: tuple[int,
         scratch.drop(f"bodies-{seed}")
         runs = hits(blocks, repeated_places(blocks, max(1, -(-size // (2 * block_bytes))), scratch))
     found = scratch.keep(lifted(chunks, heads, runs), f"found-{seed}")
-    scratch.drop(f"placed-{seed}", f"heads-{seed}", *(() if rest else ("blocks", "merged")))
+    scratch.drop(f"placed-{seed}", f"heads-{seed}", *(() if rest else ("blocks", "merged-0", "merged-2")))
     return found
 
 
@@ -546,7 +551,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             rows = []
             for doc, text, copy, found in zip(*batch.columns, strict=True):
-                raw = (text.as_py() or "").encode()
+                raw = text.as_py() or b""
                 if not copy.as_py() and not found.as_py():
                     rows.append((doc.as_py(), len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
                     continue
@@ -562,5 +567,5 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
             fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
             yield from table_of(rows, fields).to_batches() if rows else ()
 
-    done = full.select("doc", "text", "copy", "found").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = full.select("doc", F.col("text").cast("binary"), "copy", "found").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumnRenamed("doc_id", id_col)
