@@ -36,6 +36,7 @@ class Hotspots:
     cell_m: float = 100.0
     connectivity: int = 8
     save_stages: bool = False
+    stage_folder: str | None = None
 
 
 def proximity(points: DataFrame, shapes: DataFrame, size: float, keys=("point_id",)) -> DataFrame:
@@ -117,6 +118,14 @@ def write_features(features: DataFrame, folder: str) -> None:
     Q.null_counts(own, [c for c in own.columns if c != "run_id"]).write.mode("overwrite").json(f"{folder}/validation.json")
 
 
+def save_stage(stage: DataFrame, name: str, settings: Hotspots) -> None:
+    """A stage's output without geometry, if the settings ask for it."""
+    if settings.save_stages:
+        if not settings.stage_folder:
+            raise ValueError("save_stages needs a stage_folder")
+        stage.drop("geometry").write.mode("overwrite").parquet(f"{settings.stage_folder}/{name}.parquet")
+
+
 def build_hotspots(features: DataFrame, settings: Hotspots = Hotspots()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Layer, registry and report of the features of any number of runs; raises at a gate that fails."""
     if "utm_x_m" not in features.columns:
@@ -126,10 +135,13 @@ def build_hotspots(features: DataFrame, settings: Hotspots = Hotspots()) -> tupl
         features = placed.withColumns({"utm_x_m": x, "utm_y_m": y}).drop("mid_lon", "mid_lat")
     aligned = written(T.align(features), "aligned")
     Q.require(Q.alignment_gate(aligned), "alignment")
+    save_stage(aligned, "aligned", settings)
     points = written(T.nighttime(T.anomaly(T.delineate(aligned))), "points")
     Q.require(Q.mask_summary(points), "delineation")
     Q.require(Q.night_summary(points), "night")
+    save_stage(points, "points", settings)
     hot = written(T.hotspots(points, settings.k, settings.tile_m), "hotspots")
+    save_stage(hot, "hotspots", settings)
     scored = T.score(T.percentiles(T.label_clusters(hot, settings.cell_m, settings.connectivity)))
     layer = written(T.final_layer(scored.withColumn("geometry", X.wkb_point(F.col("longitude"), F.col("latitude")))), "layer")
     clusters = written(T.registry(layer, settings.cell_m), "registry")

@@ -124,6 +124,14 @@ def write_geojson(df: DataFrame, path: str, geometry: Column | None = None) -> N
     df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), properties.alias("properties"))).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_collections(df: DataFrame, path: str, geometry: Column, each: int = 1000) -> None:
+    """Feature collections of features with near ids, a file each, with feature_id as property: what read_geojson takes."""
+    one = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct("feature_id").alias("properties"))
+    own = df.groupBy(F.floor(F.col("feature_id") / each).alias("part")).agg(F.collect_list(one).alias("features"))
+    text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.col("features")))
+    own.select(text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def polygon(ring: Column) -> Column:
     return F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
 
@@ -140,6 +148,18 @@ def read_weather_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("date string, " + ", ".join(f"{c} double" for c, _ in WEATHER.values())).csv(path, header=True)
 
 
+def write_weather_csv(days: DataFrame, path: str) -> None:
+    """Weather with a header, in the columns that read_weather_csv takes."""
+    from emberlattice.sources.catalogue import WEATHER
+
+    days.select("date", *(c for c, _ in WEATHER.values())).write.mode("overwrite").csv(path, header=True)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A validation report, a JSON object a line; a later one replaces it."""
+    report.write.mode("overwrite").json(path)
+
+
 def file_records(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, checksum) of landed files: SHA-256 in the JVM."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("checksum"))

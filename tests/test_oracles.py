@@ -3,6 +3,7 @@ import functools
 import pytest
 
 from emberlattice.plans import queries
+from emberlattice.plans import landed  # noqa: F401  registers its queries
 from emberlattice.plans.queries import QUERIES, SQL
 from emberlattice.scratch import written
 from tests.oracle import compare
