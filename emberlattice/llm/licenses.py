@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlattice.llm.license_texts import TEXTS
+
 #: Known notices and licence texts by SPDX id (public texts).
 KNOWN = [
     ("MIT", "Released under the MIT License."),
@@ -27,29 +29,14 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-        "copyright notice and this permission notice appear in all copies.\n\n"
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
-        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
-        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
-        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    ),
-    (
-        "MIT",
-        "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
-        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, '
-        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-        "conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
-        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
-        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
-        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
-        "THE SOFTWARE.",
-    ),
+    *((name, f"{title}\n\n{text}") for name, titles, text in TEXTS for title in titles),
 ]
 
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that opens with the word or a sign and names a year, a sign or a holder's rights; a sentence of a licence that wraps at "copyright" stays.
+COPYRIGHT_LINE = (
+    r"(^|\n)[^\p{L}\p{N}\n]*(copyright[^\n]*(\(c\)|©|\p{N}{4}|[<\[]year|yyyy|all rights reserved)"
+    r"|\(c\)[^\n]*(\p{N}{4}|[<\[]year|all rights reserved)|©|all rights reserved)[^\n]*"
+)
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 
 #: Spellings that count as one (fixed pairs, applied in this order).
@@ -87,12 +74,13 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     Returns id_col, digest, license_id (null: the entire text is no known licence), n_license_lines (lines that are one) and
     line_licenses (their ids, sorted and comma-joined). A null text has the digest of an empty one; texts and lines whose canonical form is empty match
     nothing; rows with null or repeated ids keep a result each; an empty table gives no rows. Other columns are never read.
-    Without `known` the built-in list is used, which is small enough for Spark to broadcast; a larger one is joined by shuffle.
+    Without `known` the built-in list is used, a row a text of this module, which is broadcast; another one is joined as Spark sees fit.
     """
     spark = docs.sparkSession
     if known is None:
-        known = spark.createDataFrame(KNOWN, "license_id string, text string")
-    digests = known_digests(known)
+        digests = F.broadcast(known_digests(spark.createDataFrame(KNOWN, "license_id string, text string")))
+    else:
+        digests = known_digests(known)
     source = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     lines = (
         source.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("at", "line"))

@@ -7,6 +7,7 @@ import re
 from emberlattice.scratch import written
 from emberlattice.operators.graph import connected
 from emberlattice.llm.decontaminate import decontaminate
+from emberlattice.llm.license_texts import TEXTS
 from emberlattice.llm.licenses import scan_licenses
 from emberlattice.llm.metric_tree import top_k
 from emberlattice.llm.ngram_join import jaccard_components
@@ -216,3 +217,21 @@ def test_jaccard_compares_every_text_of_an_id(spark):
     rows = [(5, " ".join(a)), (5, " ".join(b)), (1, " ".join(a[:99])), (9, " ".join(b[:99])), (7, "other words stand here now"), (None, " ".join(a)), (5, None)]
     got = jaccard_components(frame(spark, rows), chunk=4).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted([("5", "1")] * 3 + [("1", "1"), ("9", "1"), ("7", "7"), ("None", "None")])
+
+
+def test_whole_licence_texts_in_other_wrappings(spark):
+    """Each known text is found below its title and a copyright line, wrapped at any width, and a changed one isn't."""
+    import textwrap
+
+    rows, want = [], {}
+    for name, titles, text in TEXTS:
+        for title in titles:
+            for width in (30, 46, 80, 10_000):
+                body = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+                rows.append((len(rows), f"{title}\nCopyright (c) 2021, A. Holder. All rights reserved.\n\n{body}"))
+                want[rows[-1][0]] = name
+        rows.append((len(rows), text.replace("software", "hardware", 1).replace("modification", "change", 1).replace("SOFTWARE", "HARDWARE", 1)))
+        want[rows[-1][0]] = None
+    rows.append((len(rows), "word " * 400_000 + "\nCopyright 2020"))
+    want[rows[-1][0]] = None
+    assert {r.doc_id: r.license_id for r in scan_licenses(frame(spark, rows)).collect()} == want
