@@ -42,6 +42,26 @@ def _(spark, d):
     )
 
 
+@query("src_1_boundary", w(A.SHAPES, "SELECT feature_id::VARCHAR AS k, round(x, 6) AS lo_x, round(y, 6) AS lo_y, round(x + w, 6) AS hi_x, round(y + h, 6) AS hi_y FROM shapes WHERE layer = 'parks'"))
+def _(spark, d):
+    """Parks as boundaries: feature collections of polygons."""
+    path = f"{landing(spark, 'boundary')}/boundary.geojson"
+    X.write_collections(A.shapes(spark, d).filter("layer = 'parks'"), path, X.polygon(c("parts")[0]))
+    ring = c("parts")[0]
+    corners = {"lo_x": ring[0]["x"], "lo_y": ring[0]["y"], "hi_x": ring[2]["x"], "hi_y": ring[2]["y"]}
+    return X.read_geojson(spark, path).select(c("tags")["feature_id"].alias("k"), *(F.round(v, 6).alias(n) for n, v in corners.items()))
+
+
+@query("src_3_first_candidate", w(A.CELLS, "SELECT point_id, land_cover_code AS cover, round(longitude, 6) AS x, round(latitude, 6) AS y FROM cells"))
+def _(spark, d):
+    """The first candidate isn't there; the second one has a geometry and no coordinates."""
+    folder = landing(spark, "candidates")
+    own = A.cells(spark, d).withColumn("geometry", X.wkb_point(c("longitude"), c("latitude")))
+    own.select("point_id", "land_cover_code", "geometry").write.parquet(f"{folder}/features.parquet")
+    found = X.read_first(spark, [f"{folder}/missing.parquet", f"{folder}/features.parquet"])
+    return found.select("point_id", c("land_cover_code").alias("cover"), F.round("longitude", 6).alias("x"), F.round("latitude", 6).alias("y"))
+
+
 @query("src_2_vector_layers", w(A.SHAPES, """SELECT layer, feature_id::VARCHAR AS k, CASE WHEN layer = 'roads' THEN 'line' ELSE 'polygon' END AS geom_type,
     CASE WHEN layer = 'roads' THEN 2 ELSE 5 END AS corners, round(x, 6) AS x, round(y, 6) AS y FROM shapes"""))
 def _(spark, d):
