@@ -54,8 +54,9 @@ def clip_points(points: DataFrame, boundary: DataFrame, x: str = "longitude", y:
     return points.join(boundary.select(*keys, "ring"), list(keys)).filter(inside_ring(F.col(x), F.col(y), "ring")).drop("ring")
 
 
-def clip_polygons(shapes: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
-    """Polygons cut to a convex boundary, edge by edge; parts outside vanish, shapes without a part left too. Lines and points pass."""
+def clip_shapes(shapes: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """Shapes cut to a convex boundary: polygons edge by edge, lines segment by segment (a line that leaves and comes back gives a part for
+    each stay), points by where they lie; parts outside vanish, shapes without a part left too. A null list of parts passes."""
     area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
     edge = [p for i, p in enumerate(ring) if i == 0 or p != ring[0]]
     edge = edge if area > 0 else edge[::-1]
@@ -74,15 +75,47 @@ def clip_polygons(shapes: DataFrame, ring: list[tuple[float, float]]) -> DataFra
             points = out
         return points
 
+    def closed(points: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+        new = cut(points[:-1])
+        return [[*new, new[0]]] if len(set(new)) > 2 else []
+
+    def stays(points: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+        sides = [[(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for x, y in points] for a, b in zip(edge, edge[1:] + edge[:1], strict=True)]
+        out: list[list[tuple[float, float]]] = []
+        for i, (p, q) in enumerate(zip(points, points[1:], strict=False)):
+            first, last = 0.0, 1.0
+            for side in sides:
+                s, t = side[i], side[i + 1]
+                if s < 0 and t < 0:
+                    first = 2.0
+                elif s < 0:
+                    first = max(first, s / (s - t))
+                elif t < 0:
+                    last = min(last, s / (s - t))
+            if first < last:
+                start, end = ((p[0] + w * (q[0] - p[0]), p[1] + w * (q[1] - p[1])) if 0 < w < 1 else (q if w else p) for w in (first, last))
+                if first == 0 and out and out[-1][-1] == start:
+                    out[-1].append(end)
+                else:
+                    out.append([start, end])
+        return out
+
+    def within(points: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+        edges = list(zip(edge, edge[1:] + edge[:1], strict=True))
+        own = [(x, y) for x, y in points if all((b[0] - a[0]) * (y - a[1]) >= (b[1] - a[1]) * (x - a[0]) for a, b in edges)]
+        return [own] if own else []
+
+    rules = {"polygon": closed, "line": stays, "point": within}
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             kept = []
             for kind, parts in zip(frame["geom_type"], frame["parts"], strict=True):
-                if kind != "polygon" or parts is None:
+                if kind not in rules or parts is None:
                     kept.append(parts)
                     continue
-                new = [cut([(v["x"], v["y"]) for v in p][:-1]) for p in parts]
-                kept.append([[{"x": x, "y": y} for x, y in [*p, p[0]]] for p in new if len(p) > 2])
+                new = [part for p in parts for part in rules[kind]([(v["x"], v["y"]) for v in p])]
+                kept.append([[{"x": x, "y": y} for x, y in p] for p in new])
             frame = frame.assign(parts=kept)
             yield frame[[p is None or len(p) > 0 for p in kept]]
 

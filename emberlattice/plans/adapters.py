@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -143,17 +143,23 @@ BUILDINGS = """buildings AS (
 
 
 def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A box for each region, as long as its number of nations asks."""
-    own = table(spark, sf_dir, "nation").groupBy("n_regionkey").count()
-    x, y = 80.0 + F.col("n_regionkey") * 0.5, F.lit(13.0)
-    w = 0.01 + F.col("count") * 0.003
+    """A box for each run of 50 customers, as wide as their number asks."""
+    own = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("k")).count()
+    x, y = box_corner(F.col("k"))
+    w = 0.01 + F.col("count") * 0.0004
     v = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-    return own.select(F.concat(F.lit("r"), F.col("n_regionkey")).alias("run_id"), F.array(v(x, y), v(x + w, y), v(x + w, y + 0.02), v(x, y + 0.02), v(x, y)).alias("ring"))
+    return own.select(F.concat(F.lit("r"), F.col("k")).alias("run_id"), F.array(v(x, y), v(x + w, y), v(x + w, y + 0.02), v(x, y + 0.02), v(x, y)).alias("ring"))
+
+
+def box_corner(k: Column) -> tuple[Column, Column]:
+    """Lower left corner of a run's box."""
+    return 80.0 + (k % 100) * 0.5, 13.0 + (F.floor(k / 100) % 100) * 0.25
 
 
 BOUNDARY = """boundary AS (
-    SELECT 'r' || n_regionkey AS run_id, 80.0::DOUBLE + n_regionkey * 0.5::DOUBLE AS x0, 13.0::DOUBLE AS y0, x0 + (0.01::DOUBLE + count(*) * 0.003::DOUBLE) AS x1, y0 + 0.02::DOUBLE AS y1
-    FROM nation GROUP BY n_regionkey
+    SELECT 'r' || k AS run_id, 80.0::DOUBLE + (k % 100) * 0.5::DOUBLE AS x0, 13.0::DOUBLE + (k // 100 % 100) * 0.25::DOUBLE AS y0,
+        x0 + (0.01::DOUBLE + count(*) * 0.0004::DOUBLE) AS x1, y0 + 0.02::DOUBLE AS y1
+    FROM (SELECT c_custkey // 50 AS k FROM customer) GROUP BY k
 )"""
 
 

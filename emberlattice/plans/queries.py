@@ -272,10 +272,12 @@ def _(spark, d):
     return A.cells(spark, d).groupBy("gy").agg(F.concat_ws(", ", *box).alias("box"))
 
 
-@query("prj_32_place_text", "SELECT n_nationkey, concat_ws(', ', nullif(n_name, ''), nullif(CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE r_name END, ''), nullif(CASE WHEN n_nationkey % 4 <> 0 THEN 'EARTH' END, '')) AS place FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query("prj_32_place_text", """SELECT c_custkey, concat_ws(', ', nullif(n_name, ''), nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE r_name END, ''),
+    nullif(CASE WHEN c_custkey % 4 <> 0 THEN 'EARTH' END, '')) AS place
+    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def _(spark, d):
-    own = A.table(spark, d, "nation").join(A.table(spark, d, "region"), c("r_regionkey") == c("n_regionkey"))
-    k = c("n_nationkey")
+    own = A.table(spark, d, "customer").join(A.table(spark, d, "nation"), c("n_nationkey") == c("c_nationkey")).join(A.table(spark, d, "region"), c("r_regionkey") == c("n_regionkey"))
+    k = c("c_custkey")
     return own.select(k, E.place_text(c("n_name"), F.when(k % 3 == 0, "").otherwise(c("r_name")), F.when(k % 4 != 0, "EARTH")).alias("place"))
 
 
@@ -456,9 +458,17 @@ def _(spark, d):
     return V.clean(A.shapes(spark, d)).select("feature_id", "layer", "geom_type")
 
 
-@query("geo_12_clip_polygons", None)
+@query("geo_12_clip_polygons", w(A.SHAPES, """, room AS (SELECT *, 80.15003::DOUBLE - x AS rx, 13.05003::DOUBLE - y AS ry FROM shapes), share AS (
+    SELECT *, CASE WHEN layer = 'roads' THEN least(1, rx / w, ry / h) * w ELSE least(w, rx) END AS sx, CASE WHEN layer = 'roads' THEN least(1, rx / w, ry / h) * h ELSE least(h, ry) END AS sy
+    FROM room WHERE rx > 0 AND ry > 0
+) SELECT feature_id, layer, 1::BIGINT AS pieces, round(x, 6) AS lo_x, round(y, 6) AS lo_y, round(x + sx, 6) AS hi_x, round(y + sy, 6) AS hi_y FROM share"""))
 def _(spark, d):
-    return V.clip_polygons(A.shapes(spark, d), [(80.1, 13.0), (80.15, 13.0), (80.15, 13.05), (80.1, 13.05)]).select("feature_id", "layer", "parts")
+    cut = V.clip_shapes(A.shapes(spark, d), [(80.1, 13.0), (80.15003, 13.0), (80.15003, 13.05003), (80.1, 13.05003)])
+    over = lambda f, n: F.round(f(F.transform(F.flatten("parts"), lambda v: v[n])), 6)
+    return cut.select(
+        "feature_id", "layer", F.size("parts").cast("long").alias("pieces"),
+        over(F.array_min, "x").alias("lo_x"), over(F.array_min, "y").alias("lo_y"), over(F.array_max, "x").alias("hi_x"), over(F.array_max, "y").alias("hi_y"),
+    )
 
 
 @query("geo_13_centroid", w(A.BOUNDARY, "SELECT run_id, round((x0 + x1) / 2, 4) AS longitude, round((y0 + y1) / 2, 4) AS latitude FROM boundary"))
@@ -466,11 +476,14 @@ def _(spark, d):
     return V.centroid(A.boundary(spark, d)).select("run_id", r4("longitude").alias("longitude"), r4("latitude").alias("latitude"))
 
 
-@query("flt_1_point_in_polygon", w(A.BOUNDARY, ", pts AS (SELECT 'r' || (c_custkey % 5) AS run_id, c_custkey, 80.0::DOUBLE + (c_custkey % 5) * 0.5::DOUBLE + (c_custkey % 97) * 0.0004::DOUBLE + 0.00005::DOUBLE AS px, 13.0::DOUBLE + (c_custkey % 89) * 0.0003::DOUBLE + 0.00005::DOUBLE AS py FROM customer) SELECT run_id, c_custkey FROM pts JOIN boundary USING (run_id) WHERE px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1").replace("boundary AS (", "boundary AS (", 1))
+@query("flt_1_point_in_polygon", w(A.BOUNDARY, """, pts AS (
+    SELECT 'r' || (c_custkey // 50) AS run_id, c_custkey, (c_custkey % 97) * 0.0004::DOUBLE + 0.00005::DOUBLE AS dx, (c_custkey % 89) * 0.0003::DOUBLE + 0.00005::DOUBLE AS dy FROM customer
+) SELECT run_id, c_custkey FROM pts JOIN boundary USING (run_id) WHERE x0 + dx BETWEEN x0 AND x1 AND y0 + dy BETWEEN y0 AND y1"""))
 def _(spark, d):
     k = c("c_custkey")
+    x, y = A.box_corner(F.floor(k / 50))
     pts = A.table(spark, d, "customer").select(
-        F.concat(F.lit("r"), k % 5).alias("run_id"), k, (80.0 + (k % 5) * 0.5 + (k % 97) * 0.0004 + 0.00005).alias("longitude"), (13.0 + (k % 89) * 0.0003 + 0.00005).alias("latitude")
+        F.concat(F.lit("r"), F.floor(k / 50)).alias("run_id"), k, (x + ((k % 97) * 0.0004 + 0.00005)).alias("longitude"), (y + ((k % 89) * 0.0003 + 0.00005)).alias("latitude")
     )
     return V.clip_points(pts, A.boundary(spark, d)).select("run_id", "c_custkey")
 

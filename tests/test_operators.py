@@ -162,12 +162,27 @@ def test_vector_clean_clip_project(spark):
     ]
     df = spark.createDataFrame(rows, f"feature_id long, geom_type string, parts array<{RING}>, srid int")
     assert sorted(r.feature_id for r in V.clean(df).collect()) == [1, 2, 7, 8]
-    cut = {r.feature_id: r.parts for r in V.clip_polygons(df.filter("feature_id < 3"), [(1, 1), (1, 9), (9, 9), (9, 1)]).collect()}
+    cut = {r.feature_id: r.parts for r in V.clip_shapes(df.filter("feature_id < 3"), [(1, 1), (1, 9), (9, 9), (9, 1)]).collect()}
     assert {(p.x, p.y) for p in cut[1][0]} == {(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)} and {(p.x, p.y) for p in cut[2][0]} == {(3.0, 3.0), (4.0, 3.0), (4.0, 4.0), (3.0, 4.0)}
     moved = {r.feature_id: r.parts for r in V.reproject(df.filter("feature_id in (7, 8)"), 32644).collect()}
     assert abs(moved[7][0][0].x - 500000) < 1e-6 and abs(moved[7][0][0].y) < 1e-6 and moved[8][0][0].x == 5.0
 
 
+def test_clip_lines_and_points(spark):
+    rows = [
+        (1, "line", [[(0.0, 2.0), (2.0, 2.0), (4.0, 2.0), (4.0, 12.0), (6.0, 12.0), (6.0, 3.0)]]),  # enters, leaves, comes back
+        (2, "line", [[(0.0, 0.0), (10.0, 0.5)]]),
+        (3, "line", [[(9.0, 9.0), (12.0, 12.0)]]),  # touches a corner only
+        (4, "point", [[(5.0, 5.0)]]), (5, "point", [[(0.0, 5.0), (1.0, 1.0)]]), (6, "point", [[(0.0, 0.0)]]),
+        (7, "polygon", [[(9.0, 1.0), (12.0, 1.0), (12.0, 3.0), (9.0, 3.0), (9.0, 1.0)]]),  # beside the boundary, sharing an edge
+        (8, "line", None), (9, "line", [[(3.0, 3.0)]]), (10, "line", []),
+    ]
+    df = spark.createDataFrame(rows, f"feature_id long, geom_type string, parts array<{RING}>")
+    clipped = V.clip_shapes(df, [(1, 1), (9, 1), (9, 9), (1, 9)])
+    cut = {r.feature_id: r.parts and [[(p.x, p.y) for p in part] for part in r.parts] for r in clipped.collect()}
+    assert cut == {1: [[(1.0, 2.0), (2.0, 2.0), (4.0, 2.0), (4.0, 9.0)], [(6.0, 9.0), (6.0, 3.0)]], 4: [[(5.0, 5.0)]], 5: [[(1.0, 1.0)]], 8: None}
+
+
 def geojson(kind, coordinates):
     return {"type": "Feature", "geometry": {"type": kind, "coordinates": coordinates}, "properties": {"a": "1"}}
 
