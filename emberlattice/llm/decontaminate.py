@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlattice.scratch import Scratch
+
 #: Bytes of words (after A-Z became lower case): digits, letters and everything beyond ASCII.
 WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 SHINGLE = 3
@@ -43,6 +45,8 @@ class Windows:
             self.items.append(item)
             for i in range(max(1, len(words) - width + 1)):
                 owners[number.setdefault(tuple(words[i : i + width]), len(number))].add(own)
+        if len(self.vocabulary) + 1 >= 1 << 21:
+            raise ValueError("a block of items has over 2^21 different words: ask for smaller block_bytes")
         self.length = np.array([len(w) for w in number], dtype=np.int64)
         self.words = np.zeros((len(number), width), dtype=np.int64)
         for i, w in enumerate(number):
@@ -118,6 +122,22 @@ class Windows:
         return np.cumsum(hit[:-1]) > 0, {i for w in windows for i in self.owners[w]}
 
 
+def item_pieces(bench: DataFrame, width: int, most: int) -> DataFrame:
+    """(item, text): the words of each item in stretches of at most `most` windows; together they have the item's windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = bench_words(text.as_py())
+                starts = range(0, max(1, len(words) - width + 1), most) if words else ()
+                names += [item] * len(starts)
+                texts += [b" ".join(words[i : i + most + width - 1]) for i in starts]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], names=["item", "text"])
+
+    return bench.mapInArrow(cut, "item string, text string")
+
+
 def _shingle_frequency(source: DataFrame, windows) -> dict[int, int]:
     """Occurrences in all documents of the block's shingles; tasks pre-aggregate, the answer has a row a shingle at most."""
 
@@ -145,12 +165,14 @@ def decontaminate(
     item_text_col: str = "text",
     width: int = 10,
     block_bytes: int = 4 << 20,
+    piece_windows: int = 20_000,
     with_key: bool = False,
 ) -> DataFrame:
     """Words of documents that lie in any occurrence of a window of any benchmark item.
 
-    Items go to the tasks in broadcast blocks of about block_bytes of text; with more items than one block holds, the
-    documents are read once a block and the blocks' findings are put together by document. Documents are never shuffled
+    Items are cut into pieces of piece_windows windows at most, of which distinct ones go to the tasks in broadcast blocks of
+    about block_bytes, so neither a long item nor a repeated one makes a block larger. With more pieces than one block holds,
+    the documents are read once a block and the blocks' findings are put together by document. Documents are never shuffled
     for one block. Windows are compared word by word, so hits are exact.
 
     Returns id_col, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (array of start, end in words) and
@@ -162,15 +184,18 @@ def decontaminate(
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     bench = items.select(items[item_col].cast("string").alias("item"), items[item_text_col].alias("text"))
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    scratch = Scratch(spark, "decontaminate")
+    pieces = scratch.keep(item_pieces(bench, width, piece_windows).distinct(), "pieces")
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     parts = []
     for b in range(blocks):
-        own = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+        own = pieces if blocks == 1 else pieces.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         block = Windows([(r.item, r.text) for r in own.collect()], width)
         counted = spark.sparkContext.broadcast(block)
         block.prefixes(_shingle_frequency(source, counted))
         parts.append(_scan(source, spark.sparkContext.broadcast(block), kind, keyed=with_key or blocks > 1))
+    scratch.drop("pieces")
     if blocks == 1:
         found = parts[0]
     else:

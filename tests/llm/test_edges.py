@@ -6,7 +6,7 @@ import re
 
 from emberlattice.scratch import written
 from emberlattice.operators.graph import connected
-from emberlattice.llm.decontaminate import decontaminate
+from emberlattice.llm.decontaminate import decontaminate, item_pieces
 from emberlattice.llm.license_texts import TEXTS
 from emberlattice.llm.licenses import scan_licenses
 from emberlattice.llm.metric_tree import top_k
@@ -146,6 +146,12 @@ def test_jaccard_joins_loose_families(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pieces_of_items(spark):
+    bench = spark.createDataFrame([("a", "w " * 50)] * 20 + [("b", "One, two!"), ("c", None), (None, "É é 日本"), ("d", "!")], "item string, text string")
+    got = item_pieces(bench, 10, 7).distinct().collect()
+    assert sorted((r.item or "", r.text) for r in got) == sorted([("a", "w " * 15 + "w"), ("a", "w " * 14 + "w"), ("b", "one two"), ("", "É é 日本")])
+
+
 def test_decontamination(spark):
     rows = corpus(4)
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
@@ -162,8 +168,8 @@ def test_decontamination(spark):
                     found.add(item)
         names = sorted(str(x) for x in found if x is not None)
         want.append((str(i), len(w), len(hit), len(names), sha(",".join(names).encode()), bool(hit)))
-    for block in (1 << 20, 100):
-        got = decontaminate(frame(spark, rows), bench, block_bytes=block).collect()
+    for block, piece in ((1 << 20, 20_000), (100, 20_000), (200, 3)):
+        got = decontaminate(frame(spark, rows), bench, block_bytes=block, piece_windows=piece).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
     assert decontaminate(frame(spark, rows), bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate(frame(spark, rows).limit(0), bench).count() == 0
