@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlattice.functions import expressions as E
-from emberlattice.operators.thermal import CLUSTER_COLUMNS, FORBIDDEN_COLUMNS, KEYS, LAYER_COLUMNS, MANDATORY_COLUMNS
+from emberlattice.operators.thermal import CLUSTER_COLUMNS, FORBIDDEN_COLUMNS, KEYS, LAYER_COLUMNS, MANDATORY_COLUMNS, quantiles
 
 #: Keys of a complete metadata record (fixed contract).
 METADATA_KEYS = [
@@ -43,9 +43,14 @@ def anomaly_summary(df: DataFrame, keys=KEYS) -> DataFrame:
     out = {}
     for t in ("day", "night"):
         c = f"suhii_{t}_celsius"
-        out |= {f"urban_mean_{t}": F.avg(urban(c)), f"urban_max_{t}": F.max(urban(c)), f"urban_p95_{t}": F.percentile(urban(c), 0.95)}
+        out |= {f"urban_mean_{t}": F.avg(urban(c)), f"urban_max_{t}": F.max(urban(c))}
     positive = F.coalesce(out["urban_mean_day"] > 0, F.lit(False)) | F.coalesce(out["urban_mean_night"] > 0, F.lit(False))
-    return df.groupBy(*keys).agg(*(F.round(v, 4).alias(k) for k, v in out.items()), F.when(positive, "PASSED").otherwise("PASSED_WITH_NO_ANOMALY").alias("status"))
+    means = df.groupBy(*keys).agg(*(F.round(v, 4).alias(k) for k, v in out.items()), F.when(positive, "PASSED").otherwise("PASSED_WITH_NO_ANOMALY").alias("status"))
+    tops = [f"urban_p95_{t}" for t in ("day", "night")]
+    top = quantiles(df, {n: urban(f"suhii_{n.rsplit('_', 1)[-1]}_celsius") for n in tops}, 0.95, keys)
+    top = top.select(*(F.col(k).alias(f"of_{k}") for k in keys), *(F.round(n, 4).alias(n) for n in tops))
+    joined = means.join(top, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys], "left")
+    return joined.select(*keys, *(f"urban_{v}_{t}" for t in ("day", "night") for v in ("mean", "max", "p95")), "status")
 
 
 def night_summary(df: DataFrame, keys=KEYS) -> DataFrame:

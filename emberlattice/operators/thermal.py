@@ -194,11 +194,42 @@ def registry(df: DataFrame, cell: float = 100.0, keys=KEYS) -> DataFrame:
     )
 
 
+def ranked_values(df: DataFrame, value: str, keys) -> DataFrame:
+    """(keys, value, ties, before, n): how many rows hold each value that isn't null, how many hold smaller ones, and how many there are for the
+    keys. Values are dealt to range partitions, which sum up within, and a small table has what lies before each; no key is sorted in one task."""
+    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties"))
+    ranged = written(values.repartitionByRange(*keys, value).withColumn("part", F.spark_partition_id()), "values")
+    every = Window.partitionBy(*keys)
+    before = every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*keys, "part").agg(F.sum("ties").alias("own"))
+    parts = parts.select(*(F.col(k).alias(f"of_{k}") for k in keys), F.col("part").alias("of_part"), F.sum("own").over(every).alias("n"), F.coalesce(F.sum("own").over(before), F.lit(0)).alias("ahead"))
+    local = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("within", F.coalesce(F.sum("ties").over(local), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+    return within.join(parts, [F.col("part") == F.col("of_part"), *same]).select(*keys, value, "ties", (F.col("ahead") + F.col("within")).alias("before"), "n")
+
+
+def quantiles(df: DataFrame, values: dict[str, Column], share: float, keys=KEYS) -> DataFrame:
+    """(keys, a column for each of values): the quantile at the share, interpolated, of what isn't null; null without any value. Keys
+    without any value at all have no row."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("name"), v.cast("double").alias("value")) for name, v in values.items()))
+    flat = df.select(*keys, F.explode(pairs).alias("pair")).select(*keys, "pair.*")
+    ranked = ranked_values(flat, "value", [*keys, "name"]).withColumn("at", (F.col("n") - 1) * share)
+    first, last = F.col("before"), F.col("before") + F.col("ties") - 1
+    low, high = (first <= F.floor("at")) & (last >= F.floor("at")), (first <= F.ceil("at")) & (last >= F.ceil("at"))
+
+    def between(name: str) -> Column:
+        pick = lambda when, c: F.max(F.when(when & (F.col("name") == name), F.col(c)))
+        below, above, at = pick(low, "value"), pick(high, "value"), pick(low, "at")
+        return F.when(below == above, below).otherwise((F.ceil(at) - at) * below + (at - F.floor(at)) * above)
+
+    return ranked.filter(low | high).groupBy(*keys).agg(*(between(name).alias(name) for name in values))
+
+
 def percentiles(df: DataFrame, mask_water: bool = True, mask_non_urban: bool = False, keys=KEYS) -> DataFrame:
     """Adds temperature_rank (1: coldest), city_temperature_percentile and temperature_total_pixels over valid points of each run.
 
-    Ranks come from counts of each value: values are dealt to range partitions, which sum up within, and a small table has what lies before
-    each; no run is sorted in one task. Points that don't count have null ranks; the total is on every row.
+    Ranks come from counts of each value (ranked_values). Points that don't count have null ranks; the total is on every row.
     """
     valid = F.col("lst_day_celsius").isNotNull() & ~F.isnan("lst_day_celsius")
     if mask_water:
@@ -206,13 +237,8 @@ def percentiles(df: DataFrame, mask_water: bool = True, mask_non_urban: bool = F
     if mask_non_urban:
         valid &= F.coalesce(F.col("is_urban"), F.lit(False))
     marked = df.withColumn("valid", valid)
-    values = marked.filter("valid").groupBy(*keys, "lst_day_celsius").agg(F.count("*").alias("ties"))
-    ranged = written(values.repartitionByRange(*keys, "lst_day_celsius").withColumn("part", F.spark_partition_id()), "values")
-    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy(*keys, "part").agg(F.sum("ties").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0))).drop("own")
-    local = Window.partitionBy(*keys, "part").orderBy("lst_day_celsius").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = ranged.withColumn("within", F.coalesce(F.sum("ties").over(local), F.lit(0))).join(parts, [*keys, "part"])
-    ranks = ranks.select(*keys, "lst_day_celsius", (F.col("before") + F.col("within") + 1).alias("temperature_rank"), "ties")
+    ranks = ranked_values(marked.filter("valid"), "lst_day_celsius", keys)
+    ranks = ranks.select(*keys, "lst_day_celsius", (F.col("before") + 1).alias("temperature_rank"), "ties")
     total = marked.groupBy(*keys).agg(F.sum(F.col("valid").cast("long")).alias("temperature_total_pixels"))
     joined = marked.join(ranks, [*keys, "lst_day_celsius"], "left").join(total, list(keys))
     middle = F.col("temperature_rank") + (F.col("ties") - 1) / 2.0

@@ -130,7 +130,7 @@ def build_hotspots(features: DataFrame, settings: Hotspots = Hotspots()) -> tupl
     """Layer, registry and report of the features of any number of runs; raises at a gate that fails."""
     if "utm_x_m" not in features.columns:
         srid = P.utm_srid(F.col("mid_lon"), F.col("mid_lat"))
-        placed = T.per_run(features, [F.median("longitude").alias("mid_lon"), F.median("latitude").alias("mid_lat")])
+        placed = features.join(T.quantiles(features, {"mid_lon": F.col("longitude"), "mid_lat": F.col("latitude")}, 0.5), "run_id", "left")
         x, y = P.utm(F.col("longitude"), F.col("latitude"), srid)
         features = placed.withColumns({"utm_x_m": x, "utm_y_m": y}).drop("mid_lon", "mid_lat")
     aligned = written(T.align(features), "aligned")

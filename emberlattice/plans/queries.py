@@ -418,7 +418,8 @@ def _(spark, d):
 @query("geo_5_zone_choice", f"SELECT 'median' AS how, {ZONE} AS srid FROM (SELECT median(longitude) AS lon, median(latitude) AS lat FROM (WITH {A.CELLS} SELECT * FROM cells)) UNION ALL SELECT 'mean', {ZONE} FROM (SELECT avg(longitude) AS lon, avg(latitude) AS lat FROM (WITH {A.CELLS} SELECT * FROM cells))")
 def _(spark, d):
     own = A.cells(spark, d)
-    return own.agg(F.lit("median").alias("how"), P.utm_srid(F.median("longitude"), F.median("latitude")).alias("srid")).unionByName(
+    middle = T.quantiles(own, {"lon": c("longitude"), "lat": c("latitude")}, 0.5)
+    return middle.select(F.lit("median").alias("how"), P.utm_srid(c("lon"), c("lat")).alias("srid")).unionByName(
         own.agg(F.lit("mean").alias("how"), P.utm_srid(F.avg("longitude"), F.avg("latitude")).alias("srid"))
     )
 

@@ -168,6 +168,18 @@ def test_vector_clean_clip_project(spark):
     assert abs(moved[7][0][0].x - 500000) < 1e-6 and abs(moved[7][0][0].y) < 1e-6 and moved[8][0][0].x == 5.0
 
 
+def test_quantiles_equal_sorting(spark):
+    rows = [("a" if i % 3 else None, float(i * 37 % 50) if i % 7 else None, float(i % 2)) for i in range(120)] + [("b", 4.5, None), ("c", None, None)]
+    df = spark.createDataFrame(rows, "run_id string, v double, u double")
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {r.run_id: (r.x, r.y) for r in T.quantiles(df, {"x": F.col("v"), "y": F.col("u")}, share).collect()}
+        want = {r.run_id: (r.x, r.y) for r in df.groupBy("run_id").agg(F.percentile("v", share).alias("x"), F.percentile("u", share).alias("y")).collect()}
+        assert want.pop("c") == (None, None) and got.keys() == want.keys()
+        for k, pair in want.items():
+            assert [v and round(v, 9) for v in got[k]] == [v and round(v, 9) for v in pair], (k, share)
+    assert T.quantiles(df.limit(0), {"x": F.col("v")}, 0.5).count() == 0
+
+
 def test_clip_lines_and_points(spark):
     rows = [
         (1, "line", [[(0.0, 2.0), (2.0, 2.0), (4.0, 2.0), (4.0, 12.0), (6.0, 12.0), (6.0, 3.0)]]),  # enters, leaves, comes back
