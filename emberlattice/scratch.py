@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,19 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+#: Folders of local sessions that name none, by application.
+OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset and the master is local."""
+    """The folder named by spark.checkpoint.dir; where that is unset and the master is local, a temporary one of the application, which goes
+    when Python ends. (The setting itself can't be changed once a session runs.)"""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in OWN:
+        OWN[app] = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, OWN[app], ignore_errors=True)
+    return f"file://{OWN[app]}"
 
 
 def small_batches(spark: SparkSession) -> None:
