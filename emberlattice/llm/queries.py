@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberlattice.llm.common import table
 from emberlattice.llm.decontaminate import decontaminate
+from emberlattice.llm.hard_negatives import hard_negatives
 from emberlattice.llm.licenses import scan_licenses, scan_sql
 from emberlattice.llm.metric_tree import top_k
 from emberlattice.llm.ngram_join import jaccard_components
@@ -65,6 +66,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_top_k": op8_top_k,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -173,6 +179,25 @@ SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT A
 FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP13_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+    FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": OP2_SQL,
     "op4_decontamination": OP4_SQL,
@@ -180,4 +205,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op8_top_k": OP8_SQL,
     "op9_suffix_array_dedup": OP9_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
