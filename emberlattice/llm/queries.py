@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberlattice.llm.common import table
 from emberlattice.llm.decontaminate import decontaminate
+from emberlattice.llm.divergence import audit
 from emberlattice.llm.hard_negatives import hard_negatives
 from emberlattice.llm.licenses import scan_licenses, scan_sql
 from emberlattice.llm.metric_tree import top_k
@@ -66,6 +67,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_top_k": op8_top_k,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
+    "op11_divergence": op11_divergence,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -179,6 +185,35 @@ SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT A
 FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP11_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, {LOWER.format("coalesce(text, '')")} AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+sizes AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+found AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, coalesce(f.n, 0) AS n, k.n AS lang_n FROM groups JOIN kept k USING (lang) LEFT JOIN found f USING (lang, source, term)),
+shares AS (
+    SELECT lang, source, term, counts.n, 1 + (1000000000::HUGEINT * (counts.n + 1)) // (sum(counts.n) OVER (PARTITION BY lang, source)::HUGEINT + v) AS p,
+        1 + (1000000000::HUGEINT * (lang_n + 1)) // (total + v) AS q
+    FROM counts JOIN sizes USING (lang)
+),
+sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source
+),
+found_values AS (
+    SELECT lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b USING (lang) LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source WHERE a.source <> b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank
+FROM found_values QUALIFY part = 'pair' OR rank <= 200
+"""
+
 OP13_SQL = """
 WITH v AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -205,5 +240,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op8_top_k": OP8_SQL,
     "op9_suffix_array_dedup": OP9_SQL,
+    "op11_divergence": OP11_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
