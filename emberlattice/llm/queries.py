@@ -20,6 +20,7 @@ from emberlattice.llm.quotes import reply_order
 from emberlattice.llm.substrings import remove_repeats
 from emberlattice.llm.suffixes import remove_repeated_bytes
 from emberlattice.llm.token_counts import count_tokens
+from emberlattice.llm.toxicity import learned, score_documents
 from emberlattice.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, learned(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
     "op11_divergence": op11_divergence,
+    "op12_toxicity": op12_toxicity,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
