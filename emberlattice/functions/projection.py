@@ -1,4 +1,4 @@
-"""WGS84 to UTM as column expressions (Krueger's series to the third order of the third flattening)."""
+"""WGS84 to UTM and back as column expressions (Krueger's series to the third order of the third flattening)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ A, FLAT, K0 = 6378137.0, 1 / 298.257223563, 0.9996
 N = FLAT / (2 - FLAT)
 RECTIFYING = A / (1 + N) * (1 + N**2 / 4 + N**4 / 64)
 ALPHA = (N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16, 13 * N**2 / 48 - 3 * N**3 / 5, 61 * N**3 / 240)
+BETA = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96, N**2 / 48 + N**3 / 15, 17 * N**3 / 480)
+DELTA = (2 * N - 2 * N**2 / 3 - 2 * N**3, 7 * N**2 / 3 - 8 * N**3 / 5, 56 * N**3 / 15)
 ECC = 2 * math.sqrt(N) / (1 + N)
 
 
@@ -35,6 +37,21 @@ def utm(lon: Column, lat: Column, srid: Column) -> tuple[Column, Column]:
     return 500000.0 + K0 * RECTIFYING * east, F.when(srid >= 32700, 1e7).otherwise(0.0) + K0 * RECTIFYING * north
 
 
+def utm_inverse(x: Column, y: Column, srid: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of an easting and northing in the zone of srid."""
+    xi = (y - F.when(srid >= 32700, 1e7).otherwise(0.0)) / (K0 * RECTIFYING)
+    eta = (x - 500000.0) / (K0 * RECTIFYING)
+    north, east = xi, eta
+    for j, b in enumerate(BETA, 1):
+        north = north - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(north) / F.cosh(east))
+    phi = chi
+    for j, d in enumerate(DELTA, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return (srid % 100) * 6.0 - 183.0 + F.degrees(F.atan2(F.sinh(east), F.cos(north))), F.degrees(phi)
+
+
 def utm_sql(lon: str, lat: str, srid: str) -> tuple[str, str]:
     """The same in DuckDB's SQL."""
     phi, d = f"radians({lat})", f"(radians({lon}) - radians(({srid} % 100) * 6.0::DOUBLE - 183.0::DOUBLE))"

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlattice.functions import expressions as E
+from emberlattice.functions import projection as P
+from emberlattice.operators.contour import lattice_polygons
 from emberlattice.operators.graph import lattice_components
 from emberlattice.operators.spatial import k_nearest
 from emberlattice.scratch import written
@@ -166,6 +168,15 @@ def cluster_shapes(df: DataFrame, d: float = 100.0, keys=KEYS) -> DataFrame:
     return shape.join(rim, [*keys, "hotspot_id"]).join(means, [*keys, "hotspot_id"])
 
 
+def cluster_polygons(df: DataFrame, d: float = 100.0, keys=KEYS) -> DataFrame:
+    """(keys, hotspot_id, srid, polygons): clusters as unions of their lattice cells in metres of the run's zone (that of its mean place): polygons of rings of x and y, shell first, then holes."""
+    hot = per_run(df, [F.min("utm_x_m").alias("min_x"), F.max("utm_y_m").alias("max_y"), P.utm_srid(F.avg("longitude"), F.avg("latitude")).alias("srid")], keys)
+    named = lattice_index(hot.select(*keys, "hotspot_id", "utm_x_m", "utm_y_m"), d, keys=keys).filter("hotspot_id is not null and hotspot_id <> ''")
+    origin = hot.select(*keys, "min_x", "max_y", "srid").distinct()
+    cells = named.select(*keys, "hotspot_id", "cx", "cy").distinct().join(origin, list(keys))
+    return lattice_polygons(cells, d, [*keys, "hotspot_id"]).join(origin.select(*keys, "srid"), list(keys))
+
+
 def mean_of_hundredths(value):
     """Mean of two-decimal values, rounded to two decimals and ties to even, from whole hundredths: the order of summation can't move a tie."""
     total, n = F.sum(F.rint(value * 100).cast("long")), F.count(value)

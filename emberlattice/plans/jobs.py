@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlattice.functions import expressions as E
 from emberlattice.functions import projection as P
+from emberlattice.operators import contour as K
 from emberlattice.operators import quality as Q
 from emberlattice.operators import raster as R
 from emberlattice.operators import spatial as S
@@ -158,9 +159,11 @@ def write_hotspots(layer: DataFrame, clusters: DataFrame, report: DataFrame, fol
     Q.manifest(layer, clusters).write.mode("overwrite").json(f"{folder}/metadata.json")
 
 
-def cluster_polygons(layer: DataFrame, folder: str) -> None:
-    """Clusters' boxes as polygons, a GeoJSON feature a line."""
-    own = T.cluster_shapes(layer)
-    v = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
-    ring = F.array(v("lo_x", "lo_y"), v("hi_x", "lo_y"), v("hi_x", "hi_y"), v("lo_x", "hi_y"), v("lo_x", "lo_y"))
-    X.write_geojson(own, f"{folder}/clusters.geojsonl", X.polygon(ring))
+def cluster_polygons(layer: DataFrame, folder: str, settings: Hotspots = Hotspots()) -> None:
+    """Clusters as unions of their cells in EPSG:4326, holes included, a GeoJSON feature a line with the cluster's figures as properties."""
+    figures, shapes = T.cluster_shapes(layer, settings.cell_m), K.to_degrees(T.cluster_polygons(layer, settings.cell_m))
+    own = figures.join(shapes, ["run_id", "hotspot_id"])
+    pairs = F.transform("polygons", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"]))))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), pairs.alias("coordinates"))
+    out = own.select("run_id", "hotspot_id", "area_m2", "perimeter_m", "size_pixels", F.bround("mean_lst", 2).alias("mean_lst"), F.bround("peak_lst", 2).alias("peak_lst"), geometry.alias("shape"))
+    X.write_geojson(out, f"{folder}/clusters.geojsonl", F.col("shape"), leave=("shape",))

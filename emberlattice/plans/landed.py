@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from emberlattice.functions import projection as P
 from emberlattice.operators import quality as Q
 from emberlattice.operators import thermal as T
 from emberlattice.plans import adapters as A
 from emberlattice.plans import jobs
 from emberlattice.plans import queries as heat
-from emberlattice.plans.queries import DUPLICATES, NIGHTLY, REGISTRY, SCORED, SQL, query, text_layer, w
+from emberlattice.plans.queries import CLUSTERED, DUPLICATES, NIGHTLY, REGISTRY, SCORED, SQL, query, text_layer, w
 from emberlattice.scratch import shared_folder
 from emberlattice.sources import catalogue as C
 from emberlattice.sources import files as X
@@ -119,6 +120,44 @@ def _(spark, d):
     return own.select("point_id", "is_urban", F.round("suhii_day_celsius", 4).alias("suhii_day"), "thermal_retention_class")
 
 
+@query("snk_7_cluster_polygons", w(CLUSTERED, """, beside AS MATERIALIZED (
+    SELECT a.id AS x, b.id AS y FROM scan a JOIN scan b ON abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1 AND b.gx BETWEEN a.gx - 1 AND a.gx + 1
+), reach4 AS (SELECT id, id AS root FROM scan UNION SELECT beside.y, reach4.root FROM reach4 JOIN beside ON beside.x = reach4.id),
+pieces AS (SELECT id, min(root) AS piece FROM reach4 GROUP BY id),
+cell AS (SELECT hotspot_id, gx, gy, piece FROM scan JOIN pieces USING (id) JOIN labels USING (point_id)), rim AS (
+    SELECT c.hotspot_id, count(*) AS n_sides FROM (SELECT hotspot_id, gx + dx AS gx, gy + dy AS gy FROM cell, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy)) c
+    ANTI JOIN cell USING (hotspot_id, gx, gy) GROUP BY 1
+), met AS (
+    SELECT hotspot_id, count(*) AS n, count(*) = 2 AND count(DISTINCT a) = 2 AND count(DISTINCT b) = 2 AS crossed, min(piece) = max(piece) AS same
+    FROM (SELECT hotspot_id, gx + a AS i, gy + b AS j, a, b, piece FROM cell, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(a, b)) GROUP BY hotspot_id, i, j
+), turns AS (
+    SELECT hotspot_id, count(*) FILTER (n IN (1, 3)) + 2 * count(*) FILTER (crossed) AS n_corners,
+        (count(*) FILTER (n = 1) - count(*) FILTER (n = 3) + 2 * count(*) FILTER (crossed AND NOT same) - 2 * count(*) FILTER (crossed AND same)) // 4 AS less FROM met GROUP BY hotspot_id
+) SELECT hotspot_id, count(*) AS n_cells, any_value(n_sides)::BIGINT AS n_sides, any_value(n_corners)::BIGINT AS n_corners,
+    count(DISTINCT piece) AS n_shells, (count(DISTINCT piece) - any_value(less))::BIGINT AS n_holes
+FROM cell JOIN rim USING (hotspot_id) JOIN turns USING (hotspot_id) GROUP BY hotspot_id"""))
+def _(spark, d):
+    """Clusters' outlines in degrees, read back and measured in metres: their area in cells, their rings' length in sides, corners, shells and holes."""
+    folder = landing(spark, "clusters")
+    jobs.cluster_polygons(heat.clustered(spark, d), folder)
+    back = X.read_geojson_lines(spark, f"{folder}/clusters.geojsonl").select(c("tags")["hotspot_id"].alias("hotspot_id"), F.explode("parts").alias("ring"))
+
+    def metres(p):
+        x, y = P.utm(p["x"], p["y"], F.lit(32644))
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    sides = F.arrays_zip(F.slice("m", 1, F.size("m") - 1).alias("a"), F.slice("m", 2, F.size("m") - 1).alias("b"))
+    total = lambda f: F.aggregate("sides", F.lit(0.0), lambda s, e: s + f(e["a"], e["b"]))
+    origin = lambda p, k: p[k] - c("m")[0][k]  # noqa: E731  near the ring, for precision
+    area = total(lambda a, b: (origin(a, "x") * origin(b, "y") - origin(b, "x") * origin(a, "y")) / 2)
+    length = total(lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])))
+    own = back.withColumn("m", F.transform("ring", metres)).withColumn("sides", sides).select("hotspot_id", area.alias("area"), length.alias("length"), (F.size("ring") - 1).alias("corners"))
+    return own.groupBy("hotspot_id").agg(
+        F.round(F.sum("area") / 10000.0).cast("long").alias("n_cells"), F.round(F.sum("length") / 100.0).cast("long").alias("n_sides"),
+        F.sum("corners").alias("n_corners"), F.count_if(c("area") > 0).alias("n_shells"), F.count_if(c("area") < 0).alias("n_holes"),
+    )
+
+
 @query("snk_10_validation_report", f"SELECT layer, features, nulls, repeats, CASE WHEN nulls + repeats > 0 THEN 'WARNING' ELSE 'PASSED' END AS status FROM ({DUPLICATES})")
 def _(spark, d):
     path = landing(spark, "report")

@@ -116,11 +116,11 @@ def write_points(df: DataFrame, path: str, partition: tuple[str, ...] = ("run_id
     df.withColumn("geometry", wkb_point(F.col("longitude"), F.col("latitude"))).write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
-def write_geojson(df: DataFrame, path: str, geometry: Column | None = None) -> None:
-    """One GeoJSON feature a line, with all columns but the geometry's own as properties."""
+def write_geojson(df: DataFrame, path: str, geometry: Column | None = None, leave: tuple[str, ...] = ()) -> None:
+    """One GeoJSON feature a line, with all columns as properties but binary ones and those to leave."""
     point = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
     shape = geometry if geometry is not None else point
-    properties = F.struct(*(c for c, t in df.dtypes if t != "binary"))
+    properties = F.struct(*(c for c, t in df.dtypes if t != "binary" and c not in leave))
     df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), properties.alias("properties"))).alias("value")).write.mode("overwrite").text(path)
 
 
