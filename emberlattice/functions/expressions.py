@@ -134,21 +134,39 @@ def retention_class(ratio: Column, urban: Column) -> Column:
     )
 
 
+#: Coefficients, highest power first, of the rational form below 5 * sqrt(2) (Hart and West; fixed values).
+NEAR_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+NEAR_LOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def _continued_fraction(last: float, steps: tuple[float, ...]) -> tuple[list[float], list[float]]:
+    """x + s1 / (x + s2 / ... (x + last)) as a quotient of polynomials, highest power first; steps from the innermost."""
+    top, low = [1.0, last], [1.0]
+    for k in steps:
+        shifted, scaled = [*top, 0.0], [0.0] * (len(top) + 1 - len(low)) + [k * c for c in low]
+        top, low = [a + b for a, b in zip(shifted, scaled, strict=True)], top
+    return top, low
+
+
+FAR_LOW, FAR_TOP = _continued_fraction(0.65, (4.0, 3.0, 2.0, 1.0))
+
+
 def upper_tail(z: Column) -> Column:
-    """1 - Phi(z) by the double-precision rational form of Hart and West (fixed coefficients); a missing z counts as 1."""
+    """1 - Phi(z) in double precision; a missing z counts as 1. Each branch is a quotient of polynomials, with one division and one exponential for all,
+    so that the generated code stays small."""
     x = F.abs(z)
-    e = F.exp(-x * x / 2)
-    top = F.lit(3.52624965998911e-02)
-    for c in (0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376):
-        top = top * x + c
-    low = F.lit(8.83883476483184e-02)
-    for c in (1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752):
-        low = low * x + c
-    far = x + 0.65
-    for k in (4.0, 3.0, 2.0, 1.0):
-        far = x + k / far
-    tail = F.when(x > 37, 0.0).when(x < 7.07106781186547, e * top / low).otherwise(e / far / 2.506628274631)
-    return F.coalesce(F.when(z > 0, tail).otherwise(1 - tail), F.lit(1.0))
+
+    def horner(coefficients) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    near = x < 7.07106781186547
+    top = F.when(near, horner(NEAR_TOP)).otherwise(horner(FAR_TOP))
+    low = F.when(near, horner(NEAR_LOW)).otherwise(horner([2.506628274631 * c for c in FAR_LOW]))
+    tail = F.when(x > 37, 0.0).otherwise(F.exp(-x * x / 2) * top / low)
+    return F.coalesce(F.abs(F.when(z > 0, 0.0).otherwise(1.0) - tail), F.lit(1.0))
 
 
 def significance(z: Column, p: Column) -> Column:

@@ -78,10 +78,11 @@ def rings(cells: DataFrame, keys: list[str]) -> DataFrame:
     each gap in it. No ring visits a corner twice. Repeated cells count once; a cell with a null key or place is left out.
     """
     scratch = Scratch(cells.sparkSession, "rings")
-    own = cells.select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).dropna()
-    pieces = lattice_components(own.select(*keys, F.col("i").alias("cx"), (-F.col("j")).alias("cy")), 4, keys=keys)
-    every = [*keys, "piece"]
-    placed = pieces.select(*keys, F.col("number").alias("piece"), F.col("cx").cast("long").alias("i"), (-F.col("cy")).cast("long").alias("j"))
+    own_keys = [f"key_{n}" for n in range(len(keys))]  # whatever the keys' names, none clashes
+    own = cells.select(*(F.col(k).alias(n) for k, n in zip(keys, own_keys)), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).dropna()
+    pieces = lattice_components(own.select(*own_keys, F.col("i").alias("cx"), (-F.col("j")).alias("cy")), 4, keys=own_keys)
+    every = [*own_keys, "piece"]
+    placed = pieces.select(*own_keys, F.col("number").alias("piece"), F.col("cx").cast("long").alias("i"), (-F.col("cy")).cast("long").alias("j"))
     linked = scratch.keep(followers(boundary_runs(placed, every), every), "runs")
     ranked = ranked_on_rings(linked, every, scratch).join(linked, [*every, "name"])
     si, sj, ei, ej = (F.col(c) for c in ("si", "sj", "ei", "ej"))
@@ -93,7 +94,8 @@ def rings(cells: DataFrame, keys: list[str]) -> DataFrame:
         F.sort_array(F.collect_list(F.struct(order.alias("at"), si.alias("i"), sj.alias("j")))).alias("turns"),
     )
     corners = F.transform("turns", lambda t: F.struct(t["i"].alias("i"), t["j"].alias("j")))
-    return found.select(*every, F.col("low").alias("ring"), "twice_area", "length", F.concat(corners, F.slice(corners, 1, 1)).alias("corners"))
+    named = [F.col(n).alias(k) for k, n in zip(keys, own_keys)]
+    return found.select(*named, "piece", F.col("low").alias("ring"), "twice_area", "length", F.concat(corners, F.slice(corners, 1, 1)).alias("corners"))
 
 
 def polygons(cells: DataFrame, keys: list[str]) -> DataFrame:

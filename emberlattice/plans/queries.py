@@ -62,7 +62,8 @@ def hot(spark, d):
 
 
 def clustered(spark, d):
-    return T.label_clusters(hot(spark, d))
+    """Written first: a filter on the significance would carry the whole expression of the tail down, once for every place where it stands."""
+    return T.label_clusters(T.written(hot(spark, d), "hotspots"))
 
 
 def ranked(spark, d):
@@ -690,7 +691,7 @@ query("grf_1_components_8", w(CLUSTERED, "SELECT point_id, hotspot_id FROM clust
     lambda spark, d: clustered(spark, d).filter("hotspot_id is not null").select("point_id", "hotspot_id")
 )
 query("grf_1_components_4", w(clusters_sql(4), "SELECT point_id, hotspot_id FROM clustered WHERE hotspot_id IS NOT NULL"))(
-    lambda spark, d: T.label_clusters(hot(spark, d), connectivity=4).filter("hotspot_id is not null").select("point_id", "hotspot_id")
+    lambda spark, d: T.label_clusters(T.written(hot(spark, d), "hotspots"), connectivity=4).filter("hotspot_id is not null").select("point_id", "hotspot_id")
 )
 
 # --- sources, catalogues, metadata ----------------------------------------------------------------------------------------
