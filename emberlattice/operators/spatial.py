@@ -1,4 +1,4 @@
-"""Spatial joins on tiles: nearest neighbours, nearest shapes, shapes within a distance, points in polygons."""
+"""Spatial joins on tiles: nearest shapes, shapes within a distance, points in polygons."""
 
 from __future__ import annotations
 
@@ -23,46 +23,6 @@ def covered(x: Column, y: Column, size: float) -> Column:
     return size + F.least(fx, size - fx, fy, size - fy)
 
 
-def k_nearest(points: DataFrame, k: int, size: float, x: str = "utm_x_m", y: str = "utm_y_m", id_col: str = "point_id", values=(), keys=("run_id",)) -> DataFrame:
-    """The min(n, k) points nearest to each point, itself among them, by planar distance; ties go to smaller ids.
-
-    Points meet those of the nine tiles around them. A point is settled when its k-th distance lies within what these tiles
-    cover; the others try again with tiles of twice the size, until a tile is as wide as the run.
-    Returns keys, id_col, near (id), d2 (squared distance), rank and the near point's values. Rows with a missing coordinate take no part.
-    """
-    own = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *values)
-    own = written(own, "points")
-    span = own.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max(F.greatest(F.abs("x"), F.abs("y")))).first()
-    widest = max(span[0] or 0.0, span[1] or 0.0)
-    total = own.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("want"))
-    asking = own.select(*keys, "id", "x", "y").join(total, list(keys))
-    settled = None
-    order = Window.partitionBy(*keys, "id").orderBy("d2", "near")
-    while True:
-        near = own.select(*keys, F.col("id").alias("near"), F.col("x").alias("nx"), F.col("y").alias("ny"), *values, tile(F.col("x"), size).alias("tx"), tile(F.col("y"), size).alias("ty"))
-        ask = asking.withColumn("o", around()).select("*", (tile(F.col("x"), size) + F.col("o.i")).alias("tx"), (tile(F.col("y"), size) + F.col("o.j")).alias("ty")).drop("o")
-        pairs = ask.join(near, [*keys, "tx", "ty"])
-        dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
-        best = pairs.withColumn("d2", dx * dx + dy * dy).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("want"))
-        best = best.select(*keys, "id", "x", "y", "want", "near", "d2", "rank", *values)
-        everything = size > widest
-        if not everything:
-            whole = Window.partitionBy(*keys, "id")
-            best = best.withColumn("ok", (F.count("*").over(whole) == F.col("want")) & (F.sqrt(F.max("d2").over(whole)) <= covered(F.col("x"), F.col("y"), size)))
-            best = written(best, "nearest")
-            done = best.filter("ok").drop("ok")
-        else:
-            done = best
-        settled = done if settled is None else settled.unionByName(done)
-        if everything:
-            break
-        asking = written(asking.join(best.filter("ok").select(*keys, "id").distinct(), [*keys, "id"], "left_anti"), "asking")
-        if asking.isEmpty():
-            break
-        size *= 2
-    return settled.select(*keys, F.col("id").alias(id_col), "near", "d2", "rank", *values)
-
-
 def segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Squared distance from a point to a segment (or to its one point)."""
     dx, dy = bx - ax, by - ay

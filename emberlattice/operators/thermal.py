@@ -12,7 +12,7 @@ from emberlattice.functions import expressions as E
 from emberlattice.functions import projection as P
 from emberlattice.operators.contour import lattice_polygons
 from emberlattice.operators.graph import lattice_components
-from emberlattice.operators.spatial import k_nearest
+from emberlattice.operators.neighbours import k_nearest
 from emberlattice.scratch import written
 
 KEYS = ("run_id",)
@@ -93,7 +93,7 @@ def nighttime(df: DataFrame) -> DataFrame:
     )
 
 
-def hotspots(df: DataFrame, k: int = 8, tile: float = 200.0, keys=KEYS) -> DataFrame:
+def hotspots(df: DataFrame, k: int = 8, keys=KEYS) -> DataFrame:
     """Getis-Ord Gi* by day and night over the k nearest neighbours and the point itself, significance and class.
 
     One pass over neighbours serves both. Missing values are left out of sums and moments; a deviation of 0 or none counts as 1.
@@ -101,7 +101,7 @@ def hotspots(df: DataFrame, k: int = 8, tile: float = 200.0, keys=KEYS) -> DataF
     day = "suhii_day_celsius" if "suhii_day_celsius" in df.columns else "lst_day_celsius"
     night = "suhii_night_celsius" if "suhii_night_celsius" in df.columns else "lst_night_celsius"
     source = df.select(*keys, "point_id", "utm_x_m", "utm_y_m", F.col(day).alias("v_day"), F.col(night).alias("v_night"))
-    near = k_nearest(source, k + 1, tile, values=("v_day", "v_night"), keys=keys)
+    near = k_nearest(source, k + 1, values=("v_day", "v_night"), keys=keys)
     sums = near.groupBy(*keys, "point_id").agg(F.sum("v_day").alias("s_day"), F.sum("v_night").alias("s_night"), F.count("*").alias("ks"))
     moments = source.groupBy(*keys).agg(
         F.count("*").alias("n"), *(f(f"v_{w}").alias(f"{m}_{w}") for w in ("day", "night") for m, f in (("mean", F.avg), ("sd", F.stddev_pop)))
@@ -285,8 +285,8 @@ def final_layer(df: DataFrame, keys=KEYS) -> DataFrame:
     return full.select(*keys, *(c for c in LAYER_COLUMNS if c in full.columns))
 
 
-def all_stages(cells: DataFrame, k: int = 8, tile: float = 200.0, d: float = 100.0, connectivity: int = 8) -> DataFrame:
+def all_stages(cells: DataFrame, k: int = 8, d: float = 100.0, connectivity: int = 8) -> DataFrame:
     """From aligned points to scored ones."""
     start = written(nighttime(anomaly(delineate(align(cells)))), "points")
-    hot = written(hotspots(start, k, tile), "hotspots")
+    hot = written(hotspots(start, k), "hotspots")
     return score(percentiles(label_clusters(hot, d, connectivity)))

@@ -33,7 +33,6 @@ class Grid:
 @dataclass(frozen=True)
 class Hotspots:
     k: int = 8
-    tile_m: float = 200.0
     cell_m: float = 100.0
     connectivity: int = 8
     save_stages: bool = False
@@ -141,7 +140,7 @@ def build_hotspots(features: DataFrame, settings: Hotspots = Hotspots()) -> tupl
     Q.require(Q.mask_summary(points), "delineation")
     Q.require(Q.night_summary(points), "night")
     save_stage(points, "points", settings)
-    hot = written(T.hotspots(points, settings.k, settings.tile_m), "hotspots")
+    hot = written(T.hotspots(points, settings.k), "hotspots")
     save_stage(hot, "hotspots", settings)
     scored = T.score(T.percentiles(T.label_clusters(hot, settings.cell_m, settings.connectivity)))
     layer = written(T.final_layer(scored.withColumn("geometry", X.wkb_point(F.col("longitude"), F.col("latitude")))), "layer")

@@ -13,6 +13,7 @@ from emberlattice.operators import quality as Q
 from emberlattice.operators import raster as R
 from emberlattice.operators import spatial as S
 from emberlattice.operators import thermal as T
+from emberlattice.operators.neighbours import k_nearest
 from emberlattice.operators import vector as V
 from emberlattice.operators.graph import neighbours
 from emberlattice.plans import adapters as A
@@ -524,7 +525,7 @@ def _(spark, d):
 
 @query("jn_6_nearest_neighbours", w(HOT, "SELECT point_id, count(*) AS k, sum(steps2)::BIGINT AS total, max(steps2)::BIGINT AS widest FROM near GROUP BY point_id"))
 def _(spark, d):
-    own = S.k_nearest(A.cells(spark, d), 9, 200.0)
+    own = k_nearest(A.cells(spark, d), 9)
     steps = F.round(c("d2") / 10000).cast("long")
     return own.groupBy("point_id").agg(F.count("*").alias("k"), F.sum(steps).alias("total"), F.max(steps).alias("widest"))
 

@@ -13,6 +13,7 @@ from emberlattice.operators import raster as R
 from emberlattice.operators import spatial as S
 from emberlattice.operators import thermal as T
 from emberlattice.operators import vector as V
+from emberlattice.operators.neighbours import k_nearest
 from emberlattice.operators.graph import connected, lattice_components
 from emberlattice.plans import jobs
 from emberlattice.sources import catalogue as C
@@ -72,7 +73,7 @@ def test_neighbours_against_brute_force(spark):
     pts = [(f"p{i:03}", float((i * 37) % 101) ** 1.5, float((i * 53) % 97)) for i in range(150)] + [("twin", 0.0, 0.0), ("twin2", 0.0, 0.0), ("far", 90000.0, -5.0)]
     df = spark.createDataFrame([("r", *p) for p in pts] + [("lone", "x", 1.0, 1.0), ("r", "none", None, 1.0)], "run_id string, point_id string, utm_x_m double, utm_y_m double")
     got = {}
-    for r in S.k_nearest(df, 6, 10.0).collect():
+    for r in k_nearest(df, 6).collect():
         got.setdefault(r.point_id, []).append((r["rank"], r.near))
     for name, x, y in pts:
         want = sorted(pts, key=lambda p: ((p[1] - x) ** 2 + (p[2] - y) ** 2, p[0]))[:6]
