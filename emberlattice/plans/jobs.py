@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberlattice.functions import expressions as E
@@ -64,6 +65,107 @@ def ingest(spark: SparkSession, folder: str, layers=("water", "parks", "roads",
     return every.unionByName(Q.overall(every).select(F.lit("overall").alias("name"), "status", F.concat(F.col("failed").cast("string"), F.lit(" failed")).alias("issues")))
 
 
+@dataclass(frozen=True)
+class Source:
+    """A landed source of the ingest job: how to read it, and what its metadata record says. kind: vector, weather or raster."""
+
+    name: str
+    kind: str
+    read: Callable[[SparkSession], DataFrame]
+    provider: str = "N/A"
+    license: str = "N/A"
+    resolution: str = "N/A"
+    fatal: bool = False
+
+
+def landed_sources(folder: str, layers=("water", "parks", "roads", "buildings")) -> list[Source]:
+    """What the ingest job takes from a folder: the boundary, without which it stops, vector layers, weather as JSON, and rasters as pixels with headers."""
+    layer = lambda name, **more: Source(name, "vector", lambda spark: X.read_geojson(spark, f"{folder}/{name}.geojson"), "OpenStreetMap", "ODbL", **more)
+    raster = lambda name, who, what: Source(name, "raster", lambda spark: spark.read.parquet(f"{folder}/{name}/pixels.parquet").join(spark.read.parquet(f"{folder}/{name}/headers.parquet"), "scene_id"), who, resolution=what)
+    weather = Source("weather", "weather", lambda spark: C.weather_days(spark.read.text(f"{folder}/weather.json"), json_col="value"), "NASA POWER", resolution="daily")
+    return [layer("boundary", fatal=True), *map(layer, layers), weather, raster("elevation", "Copernicus", "30 m"), raster("cover", "ESA", "10 m")]
+
+
+def observed(kind: str) -> list:
+    """The figures that a source's check needs, gathered while it is written."""
+    rows = F.count(F.lit(1)).alias("rows")
+    if kind == "vector":
+        corner, own = F.flatten("parts"), lambda v: lambda p: p[v]
+        ends = [f(g(F.transform(corner, own(v)))).alias(f"{n}_{v}") for v in ("x", "y") for n, f, g in (("lo", F.min, F.array_min), ("hi", F.max, F.array_max))]
+        return [rows, F.count_if(F.size("parts") == 0).alias("empty"), *ends]
+    if kind == "raster":
+        right, bottom = F.col("left") + F.col("width") * F.col("res_x"), F.col("top") - F.col("height") * F.col("res_y")
+        sane = (F.col("width") > 0) & (F.col("height") > 0) & F.col("left").isNotNull() & F.col("top").isNotNull()
+        each = F.lit(1.0) / (F.col("width") * F.col("height") * F.col("bands"))  # a whole scene's pixels add up to 1
+        return [rows, F.count_if(~sane).alias("empty"), F.sum(each).alias("scenes"), F.min("left").alias("lo_x"), F.max(right).alias("hi_x"), F.min(bottom).alias("lo_y"), F.max("top").alias("hi_y")]
+    return [rows]
+
+
+def checked(kind: str, found: dict) -> tuple[str, str]:
+    """Status and issues of a source by what was observed."""
+    if not found["rows"]:
+        return ("WARNING" if kind == "weather" else "FAILED"), "empty"
+    if kind == "raster" and (found["empty"] or abs(found["scenes"] - round(found["scenes"])) > 1e-6):
+        return "FAILED", "incomplete"
+    return ("WARNING", "null_geometries") if kind == "vector" and found["empty"] else ("PASSED", "")
+
+
+def run_ingest(spark: SparkSession, sources: list[Source], out: str, city: str, now: str) -> dict:
+    """Writes each source as a table below `out`, checks it, and keeps a metadata record of it; returns the run's summary.
+
+    A source's figures are observed while it is written, so checks cost no second scan; only repeated shapes are looked for in what was written (geometries
+    alone). A source that can't be read or is empty fails for itself and is listed under errors; a fatal one stops the run. The report is saved
+    as JSON lines; records (13 fields each) are appended, and the latest of each dataset counts (latest_records).
+    """
+    errors, rows, records = [], [], []
+    for s in sources:
+        path, found, status, issues = f"{out}/{s.name}.parquet", {"rows": 0}, "FAILED", "missing"
+        try:
+            figures = Observation(s.name)
+            s.read(spark).observe(figures, *observed(s.kind)).write.mode("overwrite").parquet(path)
+            found = figures.get
+            status, issues = checked(s.kind, found)
+            if status == "PASSED" and s.kind == "vector":
+                shape = F.sha2(F.to_json("parts"), 256)
+                repeats = spark.read.parquet(path).groupBy(shape.alias("shape")).count().agg(F.sum(F.col("count") - 1)).first()[0]
+                status, issues = ("WARNING", "duplicate_geometries") if repeats else (status, issues)
+            if status == "FAILED":
+                raise ValueError(f"the table is {issues}")
+        except Exception as e:  # noqa: BLE001  whatever a source's reader raises, the others go on
+            if s.fatal:
+                raise RuntimeError(f"{s.name}: the run can't go on without it") from e
+            errors.append(f"{s.name}: {str(e).splitlines()[0]}")
+        box = [found.get(k) for k in ("lo_x", "lo_y", "hi_x", "hi_y")]
+        record = {
+            "dataset_name": s.name, "source": s.kind, "provider": s.provider, "download_time": now, "projection": "EPSG:4326" if s.kind != "weather" else "N/A",
+            "bounding_box": "N/A" if None in box else ",".join(f"{v:.6f}" for v in box), "resolution": s.resolution, "license": s.license, "version": "1.0.0", "storage_path": path, "status": status,
+        }
+        records.append((s.name, now, record))
+        rows.append((s.name, status, issues, int(found["rows"])))
+    sized = {r["name"]: r for r in written_sizes(spark, out, [s.name for s in sources if not any(e.startswith(f"{s.name}:") for e in errors)])}
+    for name, _, record in records:
+        record |= {"file_size_bytes": str(sized[name]["bytes"]) if name in sized else "N/A", "checksum": sized[name]["checksum"] if name in sized else "N/A"}
+    spark.createDataFrame(records, "dataset_name string, download_time string, record map<string,string>").write.mode("append").parquet(f"{out}/metadata.parquet")
+    report = spark.createDataFrame(rows, "name string, status string, issues string, rows long")
+    X.write_report(report, f"{out}/validation_report.json")
+    done = "SUCCESS" if not errors else "COMPLETED_WITH_ERRORS"
+    return {"city": city, "status": done, "validation": Q.overall(report).first().asDict(), "errors": errors, "tables": {n: f"{out}/{n}.parquet" for n, status, *_ in rows if status != "FAILED"}, "report": f"{out}/validation_report.json"}
+
+
+def written_sizes(spark: SparkSession, out: str, names: list[str]) -> list:
+    """Bytes of each written table, and a digest of its files' digests."""
+    if not names:
+        return []
+    files = X.file_records(spark, [f"{out}/{n}.parquet/*.parquet" for n in names]).withColumn("name", F.regexp_extract("path", r"([^/]+)\.parquet/[^/]+$", 1))
+    digest = F.sha2(F.array_join(F.sort_array(F.collect_list("checksum")), ""), 256)
+    return files.groupBy("name").agg(F.sum("length").alias("bytes"), digest.alias("checksum")).collect()
+
+
+def latest_records(spark: SparkSession, out: str) -> DataFrame:
+    """(dataset_name, download_time, record): the last record of each dataset over all runs into `out`."""
+    return C.latest(spark.read.parquet(f"{out}/metadata.parquet"))
+
+
 def in_zones(shapes: DataFrame, points: DataFrame, margin_m: float) -> DataFrame:
     """(srid, feature_id, geom_type, parts): shapes in metres of each zone (srid) whose points' box, grown by the margin, theirs touches."""
     lon, lat = F.col("longitude"), F.col("latitude")

@@ -77,6 +77,47 @@ def _(spark, d):
     )
 
 
+@query("src_4_stage_inputs", w(A.CELLS, """, tried AS (SELECT * FROM (VALUES (0, 'own'), (1, 'output'), (2, 'output'), (3, 'between'), (4, 'between'), (5, 'between'), (6, 'between'), (7, 'processed'), (8, 'processed')) v(j, place))
+SELECT j AS removed, place, count(*) AS points, round(min(longitude), 6) AS x, round(max(latitude), 6) AS y FROM cells JOIN tried ON gx % 9 = j GROUP BY j, place"""))
+def _(spark, d):
+    """The last stage reads the first of its candidates: with all of them there, and with one after the other gone until the last is left."""
+    own, out = A.cells(spark, d).withColumn("geometry", X.wkb_point(c("longitude"), c("latitude"))), None
+    folders = {place: landing(spark, place) for place in ("output", "between", "processed", "own")}
+    paths = X.stage_candidates("export", *(folders[p] for p in ("output", "between", "processed")), own=f"{folders['own']}/input.parquet")
+    for j in reversed(range(len(paths))):  # the last one lands first, and each one before it takes its place
+        place = next(name for name, folder in folders.items() if paths[j].startswith(folder))
+        own.filter(c("gx") % len(paths) == j).select("point_id", "geometry", F.lit(place).alias("place")).write.parquet(paths[j])
+        one = X.read_first(spark, paths).withColumn("removed", F.lit(j))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("removed", "place").agg(F.count("*").alias("points"), F.round(F.min("longitude"), 6).alias("x"), F.round(F.max("latitude"), 6).alias("y"))
+
+
+@query("job_1_ingest", w(A.SHAPES + ", " + A.PIXELS, """, checks AS (
+    SELECT layer AS name, CASE WHEN count(*) > count(DISTINCT (x, y, w, h)) THEN 'WARNING' ELSE 'PASSED' END AS status, count(*) AS "rows" FROM shapes GROUP BY layer
+    UNION ALL SELECT 'boundary', 'PASSED', 1 UNION ALL SELECT 'buildings', 'FAILED', 0 UNION ALL SELECT 'cover', 'FAILED', 0
+    UNION ALL SELECT 'weather', 'PASSED', count(*) FROM (SELECT DISTINCT strftime(ts, '%Y%m%d') FROM events WHERE user_id = (SELECT min(user_id) FROM events))
+    UNION ALL SELECT 'elevation', CASE WHEN count(*) = any_value(width * height) THEN 'PASSED' ELSE 'FAILED' END, count(*) FROM pixels, header
+) SELECT name, status, "rows", status AS recorded, 13::BIGINT AS fields FROM checks
+UNION ALL SELECT 'run', CASE WHEN count(*) FILTER (status = 'FAILED') > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'SUCCESS' END, count(*) FILTER (status = 'FAILED'), NULL, NULL FROM checks"""))
+def _(spark, d):
+    """The ingest job over landed files: a layer and a raster are missing. Its report, its records, and the run's status with the number of errors."""
+    folder, out, shapes = landing(spark, "ingest"), landing(spark, "ingested"), A.shapes(spark, d)
+    X.write_collections(A.boundary(spark, d).filter("run_id = 'r0'").withColumn("feature_id", F.lit(0)), f"{folder}/boundary.geojson", X.polygon(c("ring")))
+    line = F.struct(F.lit("LineString").alias("type"), F.transform(c("parts")[0], lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
+    for layer in jobs.LAYERS:
+        X.write_collections(shapes.filter(c("layer") == layer), f"{folder}/{layer}.geojson", line if layer == "roads" else X.polygon(c("parts")[0]))
+    users = A.weather_documents(spark, d)
+    users.join(A.table(spark, d, "events").agg(F.min("user_id").alias("user_id")), "user_id").select("json").write.text(f"{folder}/weather.json")
+    A.pixels(spark, d).write.parquet(f"{folder}/elevation/pixels.parquet")
+    A.headers(spark, d).write.parquet(f"{folder}/elevation/headers.parquet")
+    summary = jobs.run_ingest(spark, jobs.landed_sources(folder), out, "r0", "2024-05-15T00:00:00")
+    report = spark.read.schema("name string, status string, rows long").json(summary["report"])
+    records = jobs.latest_records(spark, out).select(c("dataset_name").alias("name"), c("record")["status"].alias("recorded"), F.size("record").cast("long").alias("fields"))
+    own = report.join(records, "name", "left").select("name", "status", "rows", "recorded", "fields")
+    run = spark.createDataFrame([("run", summary["status"], len(summary["errors"]), None, None)], own.schema)
+    return own.unionByName(run)
+
+
 @query("src_7_snk_8_weather_csv", f"SELECT * EXCLUDE (user_id) FROM ({SQL['src_5_weather_days']})")
 def _(spark, d):
     path = landing(spark, "weather")

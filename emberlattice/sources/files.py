@@ -76,6 +76,30 @@ def read_first(spark: SparkSession, paths: list[str]) -> DataFrame:
     raise FileNotFoundError(f"none of {paths}")
 
 
+#: What each stage of the hotspot job reads, the first of those that are there: names in its own output folder, then in the folder of
+#: intermediate tables; all end at the features (fixed names).
+STAGE_INPUTS = {
+    "delineation": (["module_1_stage1_aligned.parquet"], ["module_1_stage1_aligned.parquet"]),
+    "anomaly": (["module_1_stage2_delineated.parquet"], ["module_1_stage2_delineated.parquet"]),
+    "night": (["module_1_stage3_suhii.parquet"], ["module_1_stage3_suhii.parquet"]),
+    "hotspots": (["module_1_stage4_nighttime.parquet"], ["module_1_stage4_nighttime.parquet"]),
+    "clusters": (["module_1_stage5_hotspots.parquet"], ["module_1_stage5_hotspots.parquet"]),
+    "percentiles": (["module_1_stage5_labeled.parquet"], ["module_1_stage5_labeled.parquet", "module_1_stage5_hotspots.parquet"]),
+    "scores": (["module_1_stage5_pct.parquet"], ["module_1_stage5_pct.parquet", "module_1_stage5_labeled.parquet"]),
+    "export": (
+        ["module_1_stage5_scored.parquet", "module_1_stage5_hotspots.parquet"],
+        ["module_1_stage5_scored.parquet", "module_1_stage5_pct.parquet", "module_1_stage5_labeled.parquet", "module_1_stage5_hotspots.parquet"],
+    ),
+}
+FEATURES = ["features.geoparquet", "features.parquet"]
+
+
+def stage_candidates(stage: str, output: str, between: str, processed: str, own: str | None = None) -> list[str]:
+    """Paths of a stage's input in the order in which they are tried; an input of its own comes first."""
+    here, there = STAGE_INPUTS[stage]
+    return [*([own] if own else []), *(f"{output}/{n}" for n in here), *(f"{between}/{n}" for n in there), *(f"{processed}/{n}" for n in FEATURES)]
+
+
 def double_bytes(c: Column) -> Column:
     """The 8 bytes of a double, high byte first, by arithmetic on its sign, exponent and fraction (0 and normal numbers)."""
     mag = F.abs(c)
@@ -160,7 +184,7 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def file_records(spark: SparkSession, path: str) -> DataFrame:
+def file_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, length, checksum) of landed files: SHA-256 in the JVM."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("checksum"))
 
