@@ -135,7 +135,7 @@ def require(report: DataFrame, what: str) -> None:
 
 
 def layer_report(layer: DataFrame, clusters: DataFrame, srid: int = 4326, keys=KEYS) -> DataFrame:
-    """The 20 checks of the final layer and registry, one map a run, from one pass over each."""
+    """The 20 checks of the final layer and registry, one map a run, from one pass over each, and one by point for those in two clusters."""
     has = set(layer.columns)
     c = F.col
     p = c("city_temperature_percentile")
@@ -155,7 +155,6 @@ def layer_report(layer: DataFrame, clusters: DataFrame, srid: int = 4326, keys=K
         "temperature_percentiles_within_0_100": n_if(land & ~p.between(0, 100)) == 0,
         "temperature_rank_valid": n_if(land & (c("temperature_rank") < 1)) == 0,
         "temperature_total_pixels_consistent": (F.min("temperature_total_pixels") == expected) & (F.max("temperature_total_pixels") == expected),
-        "single_hotspot_membership_per_point": F.lit(True),
         "confidence_scores_within_0_100": n_if(~c("hotspot_confidence_score").between(0, 100)) == 0,
         "confidence_classes_valid": F.size(F.array_except(F.collect_set("confidence_class"), F.array(*map(F.lit, CLASSES)))) == 0,
         "no_redundant_cluster_metadata_in_points": F.lit(not set(CLUSTER_COLUMNS) & has),
@@ -170,8 +169,10 @@ def layer_report(layer: DataFrame, clusters: DataFrame, srid: int = 4326, keys=K
         F.count("*").alias("clusters"),
     )
     own = layer.groupBy(*keys).agg(*(v.alias(k) for k, v in points.items()), F.count("*").alias("points"), F.count("hotspot_id").alias("hotspot_points"), expected.alias("land"))
-    joined = own.join(rows, list(keys), "left")
-    names = [*points, "hotspot_ids_unique_in_registry", "cluster_areas_positive", "cluster_perimeters_positive"]
+    single = "single_hotspot_membership_per_point"
+    member = layer.filter(c("hotspot_id").isNotNull()).groupBy(*keys, "point_id").agg((F.min("hotspot_id") == F.max("hotspot_id")).alias(single)).groupBy(*keys).agg(F.min(single).alias(single))
+    joined = own.join(rows, list(keys), "left").join(member, list(keys), "left")
+    names = [*points, single, "hotspot_ids_unique_in_registry", "cluster_areas_positive", "cluster_perimeters_positive"]
     checks = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.coalesce(c(n), F.lit(True)) for n in names)))
     out = joined.select(*keys, checks.alias("checks"), "points", F.coalesce("clusters", F.lit(0)).alias("clusters"), "hotspot_points", "land")
     return out.withColumn("valid", F.forall(F.map_values("checks"), lambda v: v))

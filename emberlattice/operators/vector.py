@@ -19,18 +19,26 @@ def not_empty(parts: str = "parts") -> Column:
 
 
 def validity(df: DataFrame, parts: str = "parts") -> DataFrame:
-    """Flags: has_geometry, finite (all coordinates are numbers), closed (rings end where they start, polygons only), enough (vertices)."""
+    """Flags: has_geometry, finite (all coordinates are numbers), closed (rings end where they start, polygons only), enough (vertices), unrepeated (no ring goes along
+    the same edge twice, in either direction; polygons only)."""
     polygon = F.col("geom_type") == "polygon"
     finite = F.forall(parts, lambda p: F.forall(p, lambda v: v["x"].isNotNull() & v["y"].isNotNull() & ~F.isnan(v["x"]) & ~F.isnan(v["y"])))
     closed = F.forall(parts, lambda p: (F.size(p) > 0) & (p[0]["x"] == F.element_at(p, -1)["x"]) & (p[0]["y"] == F.element_at(p, -1)["y"]))
     least = F.when(polygon, 4).when(F.col("geom_type") == "line", 2).otherwise(1)
     enough = F.forall(parts, lambda p: F.size(p) >= least)
-    return df.withColumns({"has_geometry": not_empty(parts), "finite": finite, "closed": closed | ~polygon, "enough": enough})
+    point = lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))
+    ends = lambda p: F.arrays_zip(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))).alias("a"), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))).alias("b"))
+    edge = lambda e: F.struct(F.least(point(e["a"]), point(e["b"])).alias("low"), F.greatest(point(e["a"]), point(e["b"])).alias("high"))
+    # edges in order: equal ones stand side by side
+    ordered = F.transform(parts, lambda p: F.sort_array(F.filter(F.transform(ends(p), edge), lambda e: e["low"] != e["high"])))
+    twice = F.exists("ordered_edges", lambda s: F.exists(F.arrays_zip(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))).alias("a"), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))).alias("b")), lambda e: e["a"] == e["b"]))
+    flagged = df.withColumns({"has_geometry": not_empty(parts), "finite": finite, "closed": closed | ~polygon, "enough": enough, "ordered_edges": ordered})
+    return flagged.withColumn("unrepeated", ~twice | ~polygon).drop("ordered_edges")
 
 
 def clean(df: DataFrame, parts: str = "parts") -> DataFrame:
     """Rows with valid, non-empty shapes."""
-    flags = ["has_geometry", "finite", "closed", "enough"]
+    flags = ["has_geometry", "finite", "closed", "enough", "unrepeated"]
     kept = validity(df, parts)
     for f in flags:
         kept = kept.filter(F.coalesce(F.col(f), F.lit(False)))

@@ -98,6 +98,21 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rough_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as boxes of which most are faulty, by their key modulo 9: none, no parts, open, three corners, not a number, a spike, a box gone round twice, sound with a point
+    twice, sound."""
+    k = F.col("p_partkey")
+    x, y = k * 1.0, k * 2.0
+    v = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    p, q, r, s = v(x, y), v(x + 1, y), v(x + 1, y + 1), v(x, y + 1)
+    one, faults = [p, q, r, s, p], {2: [p, q, r, s], 3: [p, q, p], 4: [p, q, v(F.lit(float("nan")), y), s, p], 5: [p, q, r, v(x + 2, y + 1), r, s, p], 6: [p, q, r, s, p, q, r, s, p], 7: [p, q, q, r, s, p]}
+    part = F.array(*one)
+    for fault, corners in faults.items():
+        part = F.when(k % 9 == fault, F.array(*corners)).otherwise(part)
+    parts = F.when(k % 9 == 0, F.lit(None)).when(k % 9 == 1, F.array().cast("array<array<struct<x:double,y:double>>>")).otherwise(F.array(part))
+    return table(spark, sf_dir, "part").select(k.alias("feature_id"), F.lit("polygon").alias("geom_type"), parts.alias("parts"))
+
+
 def shape_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(k.alias("point_id"), (80.1 + (k * 71 % 1009) * 0.0001 + 0.00003).alias("longitude"), (13.0 + (k * 89 % 1013) * 0.0001 + 0.00004).alias("latitude"))

@@ -456,11 +456,21 @@ def _(spark, d):
     return A.cells(spark, d).withColumn("s", s).select("point_id", c("s")[0]["x"].alias("x0"), c("s")[0]["y"].alias("y0"), c("s")[2]["x"].alias("x2"), c("s")[2]["y"].alias("y2"))
 
 
-@query("geo_11_clean_shapes", None)
+@query("geo_11_clean_shapes", "SELECT feature_id, layer, geom_type FROM (SELECT p_partkey AS feature_id, ['roads', 'water', 'parks'][(p_partkey % 3 + 1)::INTEGER] AS layer, CASE WHEN layer = 'roads' THEN 'line' ELSE 'polygon' END AS geom_type FROM part)")
 def _(spark, d):
     return V.clean(A.shapes(spark, d)).select("feature_id", "layer", "geom_type")
 
 
+@query("geo_11_faulty_shapes", """SELECT p_partkey AS feature_id, (['none', 'none', 'open', 'short', 'not a number', 'repeated edge', 'repeated edge', 'sound', 'sound'])[(p_partkey % 9 + 1)::INTEGER] AS fault,
+    p_partkey % 9 >= 7 AS kept FROM part""")
+def _(spark, d):
+    own = A.rough_shapes(spark, d)
+    bad = [("none", "has_geometry"), ("not a number", "finite"), ("open", "closed"), ("short", "enough"), ("repeated edge", "unrepeated")]
+    fault = F.coalesce(*(F.when(~c(flag), name) for name, flag in bad), F.lit("sound"))
+    kept = V.clean(own).select("feature_id", F.lit(True).alias("kept"))
+    return V.validity(own).select("feature_id", fault.alias("fault")).join(kept, "feature_id", "left").fillna(False, ["kept"])
+
+
 @query("geo_12_clip_polygons", w(A.SHAPES, """, room AS (SELECT *, 80.15003::DOUBLE - x AS rx, 13.05003::DOUBLE - y AS ry FROM shapes), share AS (
     SELECT *, CASE WHEN layer = 'roads' THEN least(1, rx / w, ry / h) * w ELSE least(w, rx) END AS sx, CASE WHEN layer = 'roads' THEN least(1, rx / w, ry / h) * h ELSE least(h, ry) END AS sy
     FROM room WHERE rx > 0 AND ry > 0

@@ -127,3 +127,31 @@ def test_clusters_are_written_with_their_holes(spark, tmp_path):
     assert back.geom_type == "polygon" and len(back.parts) == 2 and set(back.tags) == {"run_id", "hotspot_id", "area_m2", "perimeter_m", "size_pixels", "mean_lst", "peak_lst"}
     assert float(back.tags["area_m2"]) == 190000.0 and back.tags["mean_lst"] == "40.26"
     assert all(79 < p.x < 81 and 12.9 < p.y < 13.2 for part in back.parts for p in part)
+
+
+def test_repeated_edges(spark):
+    from emberlattice.operators import vector as V
+
+    v = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    rows = [
+        (1, "polygon", [v((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))], True),
+        (2, "polygon", [v((0, 0), (2, 2), (2, 0), (0, 2), (0, 0))], True),  # a bow-tie crosses itself but repeats no edge
+        (3, "polygon", [v((0, 0), (2, 2), (2, 0), (2, 2), (0, 2), (0, 0))], False),  # one that goes back
+        (4, "polygon", [v((0, 0), (2, 0), (2, 2), (0, 0)), v((0, 0), (2, 0), (2, 2), (0, 0))], True),  # in two parts
+        (5, "line", [v((0, 0), (1, 0), (0, 0))], True),
+        (6, "polygon", [v((0, 0), (2, 0), (2, 0), (2, 2), (0, 2), (0, 0))], True),
+    ]
+    df = spark.createDataFrame(rows, "feature_id int, geom_type string, parts array<array<struct<x:double,y:double>>>, want boolean")
+    assert all(r.unrepeated == r.want for r in V.validity(df).collect())
+    assert {r.feature_id for r in V.clean(df).collect()} == {1, 2, 4, 5, 6}
+
+
+def test_a_point_in_two_clusters(spark):
+    from emberlattice.operators import quality as Q
+    from emberlattice.plans import queries
+
+    layer = T.written(T.final_layer(queries.scored(spark, "/root/testdata/sf0.001").withColumn("geometry", F.lit(b"x"))), "layer")
+    twice = layer.filter("hotspot_id is not null").limit(1).withColumn("hotspot_id", F.lit("HOT_9999"))
+    for df, want in ((layer, True), (layer.unionByName(twice), False)):
+        checks = Q.layer_report(df, T.registry(layer)).first().checks
+        assert len(checks) == 20 and checks["single_hotspot_membership_per_point"] is want
