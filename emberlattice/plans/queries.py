@@ -440,9 +440,13 @@ def _(spark, d):
     return Q.utm_check(A.cells(spark, d))
 
 
-@query("geo_8_reproject", None)
+@query("geo_8_reproject", w(A.SHAPES, f""", corners AS (
+    SELECT feature_id, layer, n, x + a * w AS lon, y + b * h AS lat, 32644 AS srid
+    FROM shapes, (VALUES (true, 0, 0, 0), (true, 1, 1, 1), (false, 0, 0, 0), (false, 1, 1, 0), (false, 2, 1, 1), (false, 3, 0, 1), (false, 4, 0, 0)) v(road, n, a, b) WHERE road = (layer = 'roads')
+) SELECT feature_id, layer, srid, n, round({EAST}, 3) AS x, round({NORTH}, 3) AS y FROM corners"""))
 def _(spark, d):
-    return V.reproject(A.shapes(spark, d), 32644).select("feature_id", "layer", "srid", "parts")
+    own = V.reproject(A.shapes(spark, d), 32644).select("feature_id", "layer", "srid", F.posexplode(c("parts")[0]).alias("n", "v"))
+    return own.select("feature_id", "layer", "srid", "n", F.round("v.x", 3).alias("x"), F.round("v.y", 3).alias("y"))
 
 
 @query("geo_9_lattice_index", w(A.CELLS, "SELECT point_id, round_even((utm_x_m - min(utm_x_m) OVER ()) / 100, 0)::INTEGER AS cx, round_even((max(utm_y_m) OVER () - utm_y_m) / 100, 0)::INTEGER AS cy FROM cells"))
@@ -789,6 +793,16 @@ def _(spark, d):
     return Q.overall(layers.unionByName(Q.metadata_check(own).select(c("dataset_name").alias("name"), "status")))
 
 
+@query("dq_5_failing_validation", """SELECT count(*) AS checks, count(*) FILTER (status = 'FAILED') AS failed, CASE WHEN count(*) FILTER (status = 'FAILED') > 0 THEN 'PASSED_WITH_WARNINGS' ELSE 'PASSED' END AS status FROM (
+    SELECT CASE WHEN count(*) FILTER (o_orderkey % 10 <> 3) = 100 * ceil((max(o_orderkey) + 1) / 100.0) THEN 'PASSED' ELSE 'FAILED' END AS status FROM orders
+    UNION ALL SELECT 'PASSED' FROM (SELECT DISTINCT lang FROM documents))""")
+def _(spark, d):
+    """A raster that lacks pixels fails, the layers don't."""
+    pixels = A.pixels(spark, d).filter((c("row") * 100 + c("col")) % 10 != 3)
+    rasters = Q.raster_check(A.headers(spark, d), pixels).select(c("scene_id").alias("name"), "status")
+    return Q.overall(rasters.unionByName(Q.layer_check(text_layer(spark, d)).select(c("layer").alias("name"), "status")))
+
+
 @query("dq_6_alignment_gate", w(A.CELLS, "SELECT run_id, count(*) AS n, 0::BIGINT AS nulls, min(lst_day_celsius) >= 10 AND max(lst_day_celsius) <= 60 AND min(lst_night_celsius) >= 10 AND max(lst_night_celsius) <= 45 AS valid FROM cells GROUP BY run_id"))
 def _(spark, d):
     return Q.alignment_gate(A.cells(spark, d))
