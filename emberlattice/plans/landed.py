@@ -204,3 +204,51 @@ def _(spark, d):
     path = landing(spark, "report")
     X.write_report(Q.layer_check(text_layer(spark, d)), path)
     return spark.read.schema("layer string, features long, nulls long, repeats long, status string").json(path)
+
+
+#: Shapes lie 1.42 degrees further north, on the raster, and the grid's points take the place of the customers' spots.
+FEATURES = (
+    heat.GRADIENT
+    + """, box AS (SELECT 80.13003::DOUBLE AS x0, 14.48004::DOUBLE AS y0, x0 + (0.01::DOUBLE + count(*) * 0.00001::DOUBLE) AS x1, y0 + 0.0199::DOUBLE AS y1 FROM customer), ids AS (
+    SELECT *, unnest(range(0, ceil((x1 - x0) / (100.0::DOUBLE / 111000.0::DOUBLE))::BIGINT)) AS i, ceil((y1 - y0) / (100.0::DOUBLE / 111000.0::DOUBLE))::BIGINT AS ny FROM box
+), places AS (
+    SELECT 'pt_' || lpad((row_number() OVER (ORDER BY i, j))::VARCHAR, 6, '0') AS point_id, x0 + i * (100.0::DOUBLE / 111000.0::DOUBLE) AS longitude, y0 + j * (100.0::DOUBLE / 111000.0::DOUBLE) AS latitude,
+        floor((14.5::DOUBLE - latitude) / 0.0009::DOUBLE)::INTEGER AS r, floor((longitude - 80.1::DOUBLE) / 0.0009::DOUBLE)::INTEGER AS c FROM (SELECT *, unnest(range(0, ny)) AS j FROM ids)
+), """
+    + A.SHAPES.replace("* 53 % 1000)::DOUBLE * 0.0001::DOUBLE AS y", "* 53 % 1000)::DOUBLE * 0.0001::DOUBLE + 1.42::DOUBLE AS y").replace(
+        A.SHAPES[A.SHAPES.index("spots AS (") : A.SHAPES.index("along AS (")], "spots AS (SELECT point_id, longitude AS px, latitude AS py FROM places), "
+    )
+    + """, apart AS (SELECT point_id, layer, distance * 111000.0::DOUBLE AS m FROM distances), bands AS (
+    SELECT r, c, value, value * 0.001::DOUBLE AS red, value * 0.002::DOUBLE + 0.05::DOUBLE AS green, value * 0.003::DOUBLE AS nir, 0.3::DOUBLE - value * 0.0005::DOUBLE AS swir, value / 8 AS lst,
+        ([10, 50, 80, 30, 60])[(r * 7 + c) % 5 + 1] AS code FROM pixels
+)"""
+)
+
+
+@query("job_2_features", w(FEATURES, """SELECT point_id, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude,
+    round((SELECT max(m) FROM apart a WHERE a.point_id = p.point_id AND layer = 'water'), 2) AS distance_to_water_m, round((SELECT max(m) FROM apart a WHERE a.point_id = p.point_id AND layer = 'parks'), 2) AS distance_to_parks_m,
+    round((SELECT max(m) FROM apart a WHERE a.point_id = p.point_id AND layer = 'roads'), 2) AS distance_to_roads_m, 0.0::DOUBLE AS building_density,
+    round(coalesce(CASE WHEN value IS NOT NULL THEN least(greatest((nir - red) / (nir + red), -1), 1) END, 0.35), 4) AS ndvi, round(coalesce(CASE WHEN value IS NOT NULL THEN least(greatest((swir - nir) / (swir + nir), -1), 1) END, 0.15), 4) AS ndbi, round(coalesce(CASE WHEN value IS NOT NULL THEN least(greatest((green - nir) / (green + nir), -1), 1) END, -0.10), 4) AS ndwi,
+    round(CASE WHEN lst IS NULL OR lst < 10 THEN 33.5 ELSE least(greatest(lst, 15), 55) END, 8) AS lst_celsius, round(coalesce(elevation_m, 12), 6) AS elevation_m, round(coalesce(slope_deg, 0), 4) AS slope_deg,
+    round(coalesce(aspect_deg, 0), 4) AS aspect_deg, coalesce(code, 50) AS land_cover_code
+FROM places p LEFT JOIN bands b ON b.r = p.r AND b.c = p.c, header h LEFT JOIN terrain t ON t.r = least(greatest(p.r, 0), h.height - 1) AND t.c = least(greatest(p.c, 0), 99)"""))
+def _(spark, d):
+    """The feature job over one run: its table is written and read back."""
+    x, y = F.lit(80.13003), F.lit(14.48004)
+    far, top = x + (0.01 + c("n") * 0.00001), y + 0.0199
+    v = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    room = A.table(spark, d, "customer").agg(F.count("*").alias("n")).select(F.lit("s0").alias("run_id"), F.array(v(x, y), v(far, y), v(far, top), v(x, top), v(x, y)).alias("ring"))
+    shapes = A.shapes(spark, d).withColumn("parts", F.transform("parts", lambda p: F.transform(p, lambda q: v(q["x"], q["y"] + 1.42))))
+    pixels, heads = A.pixels(spark, d), A.headers(spark, d)
+    value = F.nullif(c("value"), F.lit(-9999.0))
+    spectral = {"red": value * 0.001, "green": value * 0.002 + 0.05, "nir": value * 0.003, "swir": 0.3 - value * 0.0005, "lst": value / 8}
+    bands = pixels.select("scene_id", "row", "col", *(e.alias(n) for n, e in spectral.items()))
+    codes = F.element_at(F.array(*map(F.lit, (10, 50, 80, 30, 60))), (c("row") * 7 + c("col")) % 5 + 1)
+    folder = landing(spark, "features")
+    jobs.write_features(jobs.build_features(room, shapes, heads, bands, pixels, pixels.withColumn("value", codes.cast("double"))), folder)
+    own = spark.read.parquet(f"{folder}/features.parquet")
+    near = {n: F.round(n, 2).alias(n) for n in ("distance_to_water_m", "distance_to_parks_m", "distance_to_roads_m")}
+    place = {n: F.round(n, 6).alias(n) for n in ("longitude", "latitude")}
+    digits = {"lst_celsius": 8, "elevation_m": 6}  # prices have so many after the point: no ties
+    rest = {n: F.round(n, digits.get(n, 4)).alias(n) for n in ("ndvi", "ndbi", "ndwi", "lst_celsius", "elevation_m", "slope_deg", "aspect_deg")}
+    return own.select("point_id", *place.values(), *near.values(), "building_density", *rest.values(), "land_cover_code")
