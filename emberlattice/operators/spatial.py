@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlattice.operators.pyramid import nearest_edges
 from emberlattice.scratch import written
 
 
@@ -12,17 +16,6 @@ def tile(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
 
 
-def around(rings: int = 1) -> Column:
-    steps = range(-rings, rings + 1)
-    return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in steps for j in steps)))
-
-
-def covered(x: Column, y: Column, size: float) -> Column:
-    """Within this distance of a point, every tile is one of the nine around it."""
-    fx, fy = F.pmod(x, F.lit(size)), F.pmod(y, F.lit(size))
-    return size + F.least(fx, size - fx, fy, size - fy)
-
-
 def segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Squared distance from a point to a segment (or to its one point)."""
     dx, dy = bx - ax, by - ay
@@ -76,48 +69,43 @@ def nearest_distance(points: DataFrame, shapes: DataFrame, size: float, x: str =
     """(id_col, layer, distance): least planar distance from each point to each layer's lines, points and polygons, 0 inside a polygon and
     not in its holes.
 
-    Points meet the edges of the nine tiles around them; who has no distance within what these cover tries again with tiles of
-    twice the size. A layer without shapes gives no rows (read it as 0).
+    Edges fill a pyramid of cells that are split by counts, so points near, in a crowd or far from everything open a few short lists (`pyramid`); `size` is
+    a hint for the cells' width. A layer without shapes gives no rows (read it as 0). Points and edges with a missing or infinite coordinate take no part; of
+    rows with one id, one counts.
     """
-    own = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropDuplicates(["id"])
-    edges = written(segments(shapes), "edges")
-    box = edges.agg(F.min("ax"), F.min("bx"), F.max("ax"), F.max("bx"), F.min("ay"), F.min("by"), F.max("ay"), F.max("by")).first()
+    finite = lambda *names: reduce(and_, ((F.abs(F.col(c)) < float("inf")) & ~F.isnan(F.col(c)) for c in names))
+    own = points.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(finite("x", "y")).dropDuplicates(["id"])
+    edges = written(segments(shapes).filter(finite("ax", "ay", "bx", "by")), "edges")
     layers = [r[0] for r in edges.select("layer").distinct().collect()]
-    empty = own.select(F.col("id").alias(id_col), F.lit("").alias("layer"), F.lit(0.0).alias("distance")).limit(0)
     if not layers:
-        return empty
-    span = own.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if span[0] is None:
-        return empty
-    xs, ys = [*box[:4], span[0], span[1]], [*box[4:], span[2], span[3]]
-    widest = max(max(xs) - min(xs), max(ys) - min(ys))
+        return own.select(F.col("id").alias(id_col), F.lit("").alias("layer"), F.lit(0.0).alias("distance")).limit(0)
+    inside = written(inside_layers(own, shapes, size), "inside")
+    asking = own.withColumn("layer", F.explode(F.array(*(F.lit(v) for v in layers)))).join(inside, ["id", "layer"], "left_anti")
+    d2 = segment_distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    done = inside.select("id", "layer", F.lit(0.0).alias("distance")).unionByName(nearest_edges(asking, edges, size, d2))
+    return done.select(F.col("id").alias(id_col), "layer", "distance")
+
+
+def inside_layers(own: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
+    """(id, layer) of the points (id, x, y) inside one of a layer's polygons. A ring lies in at most four tiles, of a width fit for its box; a point
+    asks once for each width there is."""
     areas = shapes.filter("geom_type = 'polygon'").select("layer", "feature_id", F.explode("parts").alias("ring")).filter(F.size("ring") > 3)
-    areas = areas.withColumn("rx", F.transform("ring", lambda p: p["x"])).withColumn("ry", F.transform("ring", lambda p: p["y"]))
-    boxed = tiles_of_box(F.array_min("rx"), F.array_min("ry"), F.array_max("rx"), F.array_max("ry"), size).alias("t")
-    areas = areas.select("layer", "feature_id", "ring", boxed).select("layer", "feature_id", "ring", "t.tx", "t.ty")
-    at = own.withColumn("tx", tile(F.col("x"), size)).withColumn("ty", tile(F.col("y"), size))
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    areas = areas.withColumns({"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)})
+    long = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    areas = areas.filter(long < float("inf")).withColumn("e", F.when(long > size, F.ceil(F.log2(long / size))).otherwise(0).cast("int"))
+    widths = sorted(r[0] for r in areas.select("e").distinct().collect())  # powers of two: a few dozen
+    if not widths:
+        return own.select("id", F.lit("").alias("layer")).limit(0)
+    width = F.pow(F.lit(2.0), F.col("e")) * size
+    number = lambda c: F.floor(F.col(c) / width).cast("long")
+    tx, ty = F.explode(F.sequence(number("x0"), number("x1"))), F.explode(F.sequence(number("y0"), number("y1")))
+    dealt = areas.withColumn("tx", tx).withColumn("ty", ty).select("layer", "feature_id", "ring", "x0", "y0", "x1", "y1", "e", "tx", "ty")
+    at = own.withColumn("e", F.explode(F.array(*(F.lit(e) for e in widths)))).withColumns({"tx": number("x"), "ty": number("y")})
+    pairs = at.join(dealt, ["e", "tx", "ty"]).filter("x between x0 and x1 and y between y0 and y1")
     # a hole's ring lies inside an outer one: an odd number of a shape's rings around a point means inside
-    within = at.join(areas, ["tx", "ty"]).filter(inside_ring(F.col("x"), F.col("y"), "ring")).groupBy("id", "layer", "feature_id").count()
-    inside = written(within.filter("count % 2 = 1").select("id", "layer").distinct(), "inside")
-    all_layers = F.explode(F.array(*(F.lit(v) for v in layers)))
-    asking = own.withColumn("layer", all_layers).join(inside, ["id", "layer"], "left_anti")
-    done = inside.select("id", "layer", F.lit(0.0).alias("distance"))
-    while True:
-        near = edges.select("*", tiles_of_box(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), size).alias("t")).select("layer", "ax", "ay", "bx", "by", "t.tx", "t.ty")
-        ask = asking.withColumn("o", around()).select("id", "layer", "x", "y", (tile(F.col("x"), size) + F.col("o.i")).alias("tx"), (tile(F.col("y"), size) + F.col("o.j")).alias("ty"))
-        d2 = segment_distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-        best = ask.join(near, ["layer", "tx", "ty"]).groupBy("id", "layer", "x", "y").agg(F.sqrt(F.min(d2)).alias("distance"))
-        everything = size > widest
-        if everything:
-            done = done.unionByName(best.select("id", "layer", "distance"))
-            break
-        sure = written(best.filter(F.col("distance") <= covered(F.col("x"), F.col("y"), size)).select("id", "layer", "distance"), "sure")
-        done = done.unionByName(sure)
-        asking = written(asking.join(sure, ["id", "layer"], "left_anti"), "asking")
-        if asking.isEmpty():
-            break
-        size *= 2
-    return done.select(F.col("id").alias(id_col), "layer", "distance")
+    within = pairs.filter(inside_ring(F.col("x"), F.col("y"), "ring")).groupBy("id", "layer", "feature_id").count()
+    return within.filter("count % 2 = 1").select("id", "layer").distinct()
 
 
 def within_count(points: DataFrame, boxes: DataFrame, radius: float, x: str = "utm_x_m", y: str = "utm_y_m", id_col: str = "point_id") -> DataFrame:
