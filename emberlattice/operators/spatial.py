@@ -75,14 +75,15 @@ def nearest_distance(points: DataFrame, shapes: DataFrame, size: float, x: str =
     """
     finite = lambda *names: reduce(and_, ((F.abs(F.col(c)) < float("inf")) & ~F.isnan(F.col(c)) for c in names))
     own = points.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(finite("x", "y")).dropDuplicates(["id"])
-    edges = written(segments(shapes).filter(finite("ax", "ay", "bx", "by")), "edges")
-    layers = [r[0] for r in edges.select("layer").distinct().collect()]
+    edges = written(segments(shapes).filter(finite("ax", "ay", "bx", "by")).select("layer", "ax", "ay", "bx", "by").distinct(), "edges")
+    mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
+    *box, layers = edges.agg(F.min(mx), F.min(my), F.max(mx), F.max(my), F.collect_set("layer")).first()
     if not layers:
         return own.select(F.col("id").alias(id_col), F.lit("").alias("layer"), F.lit(0.0).alias("distance")).limit(0)
     inside = written(inside_layers(own, shapes, size), "inside")
     asking = own.withColumn("layer", F.explode(F.array(*(F.lit(v) for v in layers)))).join(inside, ["id", "layer"], "left_anti")
     d2 = segment_distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    done = inside.select("id", "layer", F.lit(0.0).alias("distance")).unionByName(nearest_edges(asking, edges, size, d2))
+    done = inside.select("id", "layer", F.lit(0.0).alias("distance")).unionByName(nearest_edges(asking, edges, tuple(box), len(layers), size, d2))
     return done.select(F.col("id").alias(id_col), "layer", "distance")
 
 

@@ -95,6 +95,6 @@ def test_lists_are_short(spark):
     rng = np.random.default_rng(3)
     a = rng.random((4000, 2)) * 0.1
     edges = S.segments(table(spark, np.stack([a, a + 1e-4], axis=1)))
-    held = pyramid.held_edges(edges, 1.0, 1, float(a.min()), float(a.min()), Scratch(spark, "test"))
+    held, lowest = pyramid.held_edges(edges, 1.0, 1, float(a.min()), float(a.min()), Scratch(spark, "test"))
     sizes = held.groupBy("e", "cx", "cy").count()
-    assert held.count() == 4000 and sizes.agg({"count": "max"}).first()[0] <= pyramid.LEAF
+    assert lowest < -1 and held.count() == 4000 and sizes.agg({"count": "max"}).first()[0] <= pyramid.LEAF
