@@ -6,8 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlattice.sources.collections import feature_texts
+
 FEATURE = "struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
-GEOJSON = f"type string, features array<{FEATURE}>"
 POINT = "array<double>"
 RING = "array<array<double>>"
 
@@ -18,12 +19,12 @@ def xy(rings: Column) -> Column:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(feature_id, geom_type, parts, tags) of a feature collection, or of lines of single features; geometries stay arrays of points.
+    """(feature_id, geom_type, parts, tags) of feature collections; geometries stay arrays of points. feature_id counts a file's features from 0.
 
-    Raises if the file is not there.
+    A file is read by as many tasks as it has stretches. A feature that can't be parsed has no parts and no tags. Raises if the file is not there or isn't whole.
     """
-    whole = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
-    return features(whole.select(F.posexplode("features").alias("feature_id", "f")))
+    found = feature_texts(spark, path).select(F.col("n").alias("feature_id"), F.from_json("text", FEATURE).alias("f"))
+    return features(found.filter("f.type is null or f.type = 'Feature'"))
 
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +49,7 @@ def read_layers(spark: SparkSession, folder: str, names=("water", "parks", "road
     for name in names:
         try:
             one = read_geojson(spark, f"{folder}/{name}.geojson").withColumn("layer", F.lit(name))
-        except AnalysisException:
+        except (AnalysisException, ValueError):
             continue
         out = one if out is None else out.unionByName(one)
     if out is None:
