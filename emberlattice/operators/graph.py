@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlattice.scratch import Scratch, written
+from emberlattice.scratch import Scratch, dealt, written
 
 
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -45,7 +45,7 @@ def neighbours(cells: DataFrame, connectivity: int = 8, col: str = "cx", row: st
     shifted = cells.select(*keys, col, row).distinct().withColumn("o", F.explode(offsets))
     shifted = shifted.select(*keys, F.col(col), F.col(row), (F.col(col) + F.col("o.i")).alias("to_col"), (F.col(row) + F.col("o.j")).alias("to_row"))
     other = cells.select(*keys, F.col(col).alias("to_col"), F.col(row).alias("to_row")).distinct()
-    return shifted.join(other, [*keys, "to_col", "to_row"])
+    return dealt(shifted).join(dealt(other), [*keys, "to_col", "to_row"])
 
 
 def lattice_components(cells: DataFrame, connectivity: int = 8, col: str = "cx", row: str = "cy", keys=("run_id",)) -> DataFrame:
@@ -67,7 +67,7 @@ def lattice_components(cells: DataFrame, connectivity: int = 8, col: str = "cx",
     blocks = lambda lo, hi: F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block)))
     left = runs.withColumn("blk", blocks(F.col("lo") - reach, F.col("hi") + reach))
     right = below.withColumn("blk", blocks(F.col("lo2"), F.col("hi2")))
-    touching = left.join(right, [*keys, "r", "blk"]).filter((F.col("lo2") <= F.col("hi") + reach) & (F.col("hi2") >= F.col("lo") - reach))
+    touching = dealt(left).join(dealt(right), [*keys, "r", "blk"]).filter((F.col("lo2") <= F.col("hi") + reach) & (F.col("hi2") >= F.col("lo") - reach))
     found = connected(touching.select(F.col("run").alias("a"), "b").distinct())
     labelled = runs.join(found.withColumnRenamed("id", "run"), "run", "left").withColumn("component", F.coalesce("component", "run"))
     heads = labelled.select(*keys, "component").distinct()

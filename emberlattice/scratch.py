@@ -70,6 +70,12 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is dealt by its keys and never broadcast: Spark sees the size of the files that a table comes from, not that rows were
+    exploded or that a file packs them well, and would send millions of them to the driver."""
+    return df.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of the shared folder, read back."""
     return Scratch(df.sparkSession, name).keep(df, "table")
