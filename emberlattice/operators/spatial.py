@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlattice.operators.pyramid import nearest_edges
-from emberlattice.scratch import written
+from emberlattice.scratch import dealt, written
 
 
 def tile(c: Column, size: float) -> Column:
@@ -101,9 +101,9 @@ def inside_layers(own: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
     width = F.pow(F.lit(2.0), F.col("e")) * size
     number = lambda c: F.floor(F.col(c) / width).cast("long")
     tx, ty = F.explode(F.sequence(number("x0"), number("x1"))), F.explode(F.sequence(number("y0"), number("y1")))
-    dealt = areas.withColumn("tx", tx).withColumn("ty", ty).select("layer", "feature_id", "ring", "x0", "y0", "x1", "y1", "e", "tx", "ty")
+    tiled = areas.withColumn("tx", tx).withColumn("ty", ty).select("layer", "feature_id", "ring", "x0", "y0", "x1", "y1", "e", "tx", "ty")
     at = own.withColumn("e", F.explode(F.array(*(F.lit(e) for e in widths)))).withColumns({"tx": number("x"), "ty": number("y")})
-    pairs = at.join(dealt, ["e", "tx", "ty"]).filter("x between x0 and x1 and y between y0 and y1")
+    pairs = dealt(at).join(dealt(tiled), ["e", "tx", "ty"]).filter("x between x0 and x1 and y between y0 and y1")
     # a hole's ring lies inside an outer one: an odd number of a shape's rings around a point means inside
     within = pairs.filter(inside_ring(F.col("x"), F.col("y"), "ring")).groupBy("id", "layer", "feature_id").count()
     return within.filter("count % 2 = 1").select("id", "layer").distinct()
@@ -114,7 +114,7 @@ def within_count(points: DataFrame, boxes: DataFrame, radius: float, x: str = "u
     the radius of each point; points with none are not there. Tiles as wide as the radius, each shape in all tiles it touches when grown by it."""
     grown = boxes.select("feature_id", "lo_x", "lo_y", "hi_x", "hi_y", tiles_of_box(F.col("lo_x") - radius, F.col("lo_y") - radius, F.col("hi_x") + radius, F.col("hi_y") + radius, 2 * radius).alias("t"))
     at = points.select(F.col(id_col), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumn("tx", tile(F.col("x"), 2 * radius)).withColumn("ty", tile(F.col("y"), 2 * radius))
-    pairs = at.join(grown.select("*", "t.tx", "t.ty").drop("t"), ["tx", "ty"])
+    pairs = dealt(at).join(dealt(grown.select("*", "t.tx", "t.ty").drop("t")), ["tx", "ty"])
     dx = F.greatest(F.col("lo_x") - F.col("x"), F.lit(0.0), F.col("x") - F.col("hi_x"))
     dy = F.greatest(F.col("lo_y") - F.col("y"), F.lit(0.0), F.col("y") - F.col("hi_y"))
     return pairs.filter(dx * dx + dy * dy <= radius * radius).groupBy(id_col).agg(F.countDistinct("feature_id").alias("n"))
@@ -134,11 +134,11 @@ def touching_count(points: DataFrame, shapes: DataFrame, radius: float, x: str =
     xs, ys = F.transform("p", lambda v: v["x"]), F.transform("p", lambda v: v["y"])
     boxes = part.select(*keys, "feature_id", "shape", "area", "edges", F.array_min(xs).alias("lo_x"), F.array_min(ys).alias("lo_y"), F.array_max(xs).alias("hi_x"), F.array_max(ys).alias("hi_y"))
     size, most = 2 * radius, radius * radius
-    dealt = boxes.select("*", tiles_of_box(F.col("lo_x") - radius, F.col("lo_y") - radius, F.col("hi_x") + radius, F.col("hi_y") + radius, size).alias("t")).select("*", "t.tx", "t.ty").drop("t")
+    tiled = boxes.select("*", tiles_of_box(F.col("lo_x") - radius, F.col("lo_y") - radius, F.col("hi_x") + radius, F.col("hi_y") + radius, size).alias("t")).select("*", "t.tx", "t.ty").drop("t")
     px, py = F.col("x"), F.col("y")
     at = points.select(*keys, F.col(id_col), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumns({"tx": tile(px, size), "ty": tile(py, size)})
     dx, dy = F.greatest(F.col("lo_x") - px, F.lit(0.0), px - F.col("hi_x")), F.greatest(F.col("lo_y") - py, F.lit(0.0), py - F.col("hi_y"))
-    pairs = at.join(dealt, [*keys, "tx", "ty"]).filter(dx * dx + dy * dy <= most)
+    pairs = dealt(at).join(dealt(tiled), [*keys, "tx", "ty"]).filter(dx * dx + dy * dy <= most)
     near = F.exists("edges", lambda e: segment_distance2(px, py, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]) <= most)
     inside = F.col("area") & crossed(px, py, F.col("edges"))
     met = pairs.select(id_col, "feature_id", "shape", near.alias("near"), inside.cast("int").alias("inside")).groupBy(id_col, "feature_id", "shape").agg(F.max("near").alias("near"), F.sum("inside").alias("rings"))
@@ -170,4 +170,4 @@ def regular_grid(boundary: DataFrame, metres: float = 100.0, keys=("run_id",)) -
     counts = kept.groupBy(*keys, "i").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
     own = Window.partitionBy(*keys, "i").orderBy("j")
     number = F.row_number().over(own) + F.col("before")
-    return kept.join(counts, [*keys, "i"]).withColumn("point_id", F.format_string("pt_%06d", number)).select(*keys, "point_id", "longitude", "latitude", "i", "j")
+    return dealt(kept).join(dealt(counts), [*keys, "i"]).withColumn("point_id", F.format_string("pt_%06d", number)).select(*keys, "point_id", "longitude", "latitude", "i", "j")
