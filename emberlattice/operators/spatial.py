@@ -163,6 +163,8 @@ def regular_grid(boundary: DataFrame, metres: float = 100.0, keys=("run_id",)) -
     count = lambda hi, lo: F.greatest(F.ceil((hi - lo) / step), F.lit(0))
     columns = box.withColumn("nx", count(F.array_max("rx"), lo_x)).withColumn("ny", count(F.array_max("ry"), lo_y)).filter("nx > 0 and ny > 0")
     columns = columns.select(*keys, "ring", lo_x.alias("lo_x"), lo_y.alias("lo_y"), "ny", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1)).alias("i"))
+    # few bytes make many points: without a number of its own the shuffle would leave them to one task
+    columns = columns.repartition(int(boundary.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "i")
     points = columns.select(*keys, "ring", "i", (F.col("lo_x") + F.col("i") * step).alias("longitude"), "lo_y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1)).alias("j"))
     points = points.withColumn("latitude", F.col("lo_y") + F.col("j") * step)
     kept = written(points.filter(inside_ring(F.col("longitude"), F.col("latitude"), "ring")).select(*keys, "i", "j", "longitude", "latitude"), "grid")
