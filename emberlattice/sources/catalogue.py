@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlattice.operators.spatial import tiles_of_box
+from emberlattice.scratch import dealt, written
 
 #: Which tags put a feature in which layer: any value (None) or one of a list, any key (fixed contract).
 LAYER_TAGS = {
@@ -61,32 +65,60 @@ def search(catalogue: DataFrame, asks: DataFrame, keys=("ask_id",), tile: float
     """Scenes for each ask: rows of attempts (keys, attempt, collection, lo_x, lo_y, hi_x, hi_y, from_ts, to_ts, max_cloud); of an ask's attempts the
     first that finds anything counts. Null dates or cloud limits set no bound; a scene without cloud cover counts as 100.
 
-    Boxes meet by collection and tile; a pair counts in the tile that holds the lower corner of what they share, so once.
+    Boxes meet by collection and tile; a pair counts in the tile that holds the lower corner of what they share, so once. A round an attempt finds the
+    asks that it settles, by semi-joins that stop at a scene; pairs are made only for the attempt that counts, and none is shuffled.
     """
+    asks, settled = written(asks, "asks"), None
+    attempts = sorted(r[0] for r in asks.select("attempt").distinct().filter("attempt is not null").collect())  # a few
+    for attempt in attempts:
+        own = asks.filter(F.col("attempt") == attempt)
+        own = own if settled is None else own.join(settled, list(keys), "left_anti")
+        hits = written(meeting(catalogue, own, tile, "left_semi").select(*keys, "attempt").distinct(), f"settled-{attempt}")
+        settled = hits if settled is None else settled.unionByName(hits)
+    if settled is None:
+        settled = asks.select(*keys, "attempt").limit(0)
+    return meeting(catalogue, asks.join(settled, [*keys, "attempt"]), tile, "inner").select(*(f"a.{k}" for k in keys), "a.attempt", *(f"s.{n}" for n in catalogue.columns))
+
+
+def meeting(catalogue: DataFrame, asks: DataFrame, tile: float, how: str) -> DataFrame:
+    """Asks (a) joined with the scenes (s) that answer them. Scenes that no ask of their collection could take, by date or cloud, are left out before."""
+    cloud = lambda n: F.coalesce(n, F.lit(100.0))
+    bound = lambda f, n: F.when(F.count_if(F.col(n).isNull()) == 0, f(n)).alias(n)
+    widest = asks.groupBy("collection").agg(bound(F.min, "from_ts"), bound(F.max, "to_ts"), bound(F.max, "max_cloud"))
+
+    def fits(s: str, a: str) -> Column:
+        own, ask = lambda n: F.col(f"{s}.{n}"), lambda n: F.col(f"{a}.{n}")
+        limits = own("capture_ts") >= ask("from_ts"), own("capture_ts") <= ask("to_ts"), cloud(f"{s}.cloud_cover") < ask("max_cloud")
+        return reduce(and_, (F.coalesce(c, ask(n).isNull()) for c, n in zip(limits, ("from_ts", "to_ts", "max_cloud"))))
+
+    useful = catalogue.alias("s").join(F.broadcast(widest).alias("w"), (F.col("s.collection") == F.col("w.collection")) & fits("s", "w"), "left_semi")
     cover = lambda df: df.select("*", tiles_of_box(F.col("lo_x"), F.col("lo_y"), F.col("hi_x"), F.col("hi_y"), tile).alias("t"))
-    s, a = cover(catalogue).alias("s"), cover(asks).alias("a")
+    s, a = dealt(cover(useful)).alias("s"), dealt(cover(asks)).alias("a")
     same = (F.col("s.collection") == F.col("a.collection")) & (F.col("s.t.tx") == F.col("a.t.tx")) & (F.col("s.t.ty") == F.col("a.t.ty"))
-    cloud = F.coalesce("s.cloud_cover", F.lit(100.0))
     overlap = (F.col("s.lo_x") <= F.col("a.hi_x")) & (F.col("s.hi_x") >= F.col("a.lo_x")) & (F.col("s.lo_y") <= F.col("a.hi_y")) & (F.col("s.hi_y") >= F.col("a.lo_y"))
     for v in ("x", "y"):
         overlap &= F.floor(F.greatest(f"s.lo_{v}", f"a.lo_{v}") / tile) == F.col(f"s.t.t{v}")
-    when = F.coalesce(F.col("s.capture_ts") >= F.col("a.from_ts"), F.col("a.from_ts").isNull()) & F.coalesce(F.col("s.capture_ts") <= F.col("a.to_ts"), F.col("a.to_ts").isNull())
-    found = s.join(a, same).filter(overlap & when & F.coalesce(cloud < F.col("a.max_cloud"), F.col("a.max_cloud").isNull()))
-    out = found.select(*(f"a.{k}" for k in keys), "a.attempt", *(f"s.{n}" for n in catalogue.columns))
-    first = out.groupBy(*keys).agg(F.min("attempt").alias("attempt"))
-    return out.join(first, [*keys, "attempt"])
+    return a.join(s, same & overlap & fits("s", "a"), how)
+
+
+def first_found(catalogue: DataFrame, asks: DataFrame, order: list[Column], keys=("ask_id",), tile: float = 10.0) -> DataFrame:
+    """Of each ask the first scene that it finds (search), by an order of the catalogue: (keys, attempt, the scene's columns).
+
+    Scenes get numbers in that order from range partitions, so a pair is a number and the least one of an ask is kept where pairs are made: these
+    are neither sorted nor shuffled."""
+    ranged = written(catalogue.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "places")
+    least = search(ranged, asks, keys, tile).groupBy(*keys).agg(F.min("attempt").alias("attempt"), F.min("place").alias("place"))
+    return dealt(least).join(dealt(ranged), "place").select(*keys, "attempt", *catalogue.columns)
 
 
-def best_scene(found: DataFrame, keys=("ask_id",)) -> DataFrame:
+def best_scene(catalogue: DataFrame, asks: DataFrame, keys=("ask_id",)) -> DataFrame:
     """Of each ask the scene with the least cloud cover (missing: 100), then the smallest id."""
-    order = Window.partitionBy(*keys).orderBy(F.coalesce("cloud_cover", F.lit(100.0)), "scene_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
+    return first_found(catalogue, asks, [F.coalesce("cloud_cover", F.lit(100.0)), F.col("scene_id")], keys)
 
 
-def first_scene(found: DataFrame, keys=("ask_id",)) -> DataFrame:
+def first_scene(catalogue: DataFrame, asks: DataFrame, keys=("ask_id",)) -> DataFrame:
     """Of each ask the scene with the smallest id."""
-    own = found.groupBy(*keys).agg(F.min_by(F.struct(*found.columns), "scene_id").alias("s"))
-    return own.select("s.*")
+    return first_found(catalogue, asks, [F.col("scene_id")], keys)
 
 
 def largest_file(files: DataFrame, keys=("sensor",), least: int = 100_000) -> DataFrame:
