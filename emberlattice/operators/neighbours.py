@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberlattice.scratch import Scratch
+from emberlattice.scratch import Scratch, dealt
 
 #: Different positions in a leaf, at most (more only where they lie closer than the finest cells).
 LEAF = 32
 #: Cells start with about SHARE positions each and are halved up to DEPTH times.
 SHARE, DEPTH = 4, 20
+#: Points look HALO cells around; tiles are 2^TILE cells wide; so many pairs are held at a time.
+HALO, TILE, PAIRS = 2, 5, 2_000_000
 
 
 def cell(c: Column, e: Column | int) -> Column:
@@ -52,7 +58,7 @@ def placed(points: DataFrame, keys: list[str], k: int) -> DataFrame:
     of = of.withColumn("side", side).withColumn("tallest", F.when(long <= 0, F.lit(0)).otherwise(tallest))
     of = of.select(*keys, F.least("n", F.lit(k)).cast("int").alias("want"), "side", "tallest", "lo_x", "lo_y")
     fine = lambda c: F.floor((F.col(c) - F.col(f"lo_{c}")) / F.col("side") * float(1 << DEPTH)).cast("long")
-    return points.join(of, list(keys)).withColumns({"fx": fine("x"), "fy": fine("y")})
+    return points.join(F.broadcast(of), list(keys)).withColumns({"fx": fine("x"), "fy": fine("y")})
 
 
 def leaves(spots: DataFrame, keys: list[str], most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -74,23 +80,58 @@ def leaves(spots: DataFrame, keys: list[str], most: int, scratch: Scratch) -> tu
     return reduce(DataFrame.unionByName, done), crowded
 
 
-def settled(points: DataFrame, spots: DataFrame, crowded: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, near, d2, rank, v) of the points that the nine cells of exponent 0 around them answer: none of the nine is crowded, and what they
-    want lies within what they cover."""
-    nine = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("o")
-    moved = [(F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")]
-    beside = crowded.select(*keys, "cx", "cy", nine).select(*keys, *moved).distinct()
+def settled(spots: DataFrame, crowded: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, x, y, m, best) of the positions that the cells of exponent 0 around them answer: none within HALO is crowded, and what they want lies
+    within what these cover. best: (near, d2, v) in order.
+
+    Cells are dealt to tiles with those around them, so a point is shuffled about once; a tile holds at most LEAF positions a cell."""
+    round_ = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-HALO, HALO + 1) for j in range(-HALO, HALO + 1)))).alias("o")
+    beside = crowded.select(*keys, "cx", "cy", round_).select(*keys, (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).distinct().withColumn("beside", F.lit(True))
     within = lambda c: F.pmod(F.col(c) - F.col(f"lo_{c}"), F.col("side"))
-    covers = F.col("side") * (1 - 1e-9) + F.least(within("x"), F.col("side") - within("x"), within("y"), F.col("side") - within("y"))
-    at = points.select(*keys, "id", "x", "y", "want", covers.alias("covers"), cell(F.col("fx"), 0).alias("cx"), cell(F.col("fy"), 0).alias("cy"))
-    ask = at.join(beside, [*keys, "cx", "cy"], "left_anti").select(*keys, "id", "x", "y", "want", "covers", "cx", "cy", nine).select(*keys, "id", "x", "y", "want", "covers", *moved)
-    held = spots.filter("e = 0").select(*keys, "cx", "cy", F.col("x").alias("px"), F.col("y").alias("py"), F.col("id").alias("near"), "v")
-    ex, ey = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-    pairs = ask.join(held, [*keys, "cx", "cy"]).select(*keys, "id", "want", "covers", (ex * ex + ey * ey).alias("d2"), "near", "v")
-    whole = Window.partitionBy(*keys, "id")
-    best = pairs.withColumn("rank", F.row_number().over(whole.orderBy("d2", "near"))).filter(F.col("rank") <= F.col("want"))
-    ok = (F.count("*").over(whole) >= F.col("want")) & (F.sqrt(F.max("d2").over(whole)) <= F.col("covers"))
-    return best.withColumn("ok", ok).filter("ok").select(*keys, "id", "near", "d2", "rank", "v")
+    covers = F.col("side") * (HALO * (1 - 1e-9)) + F.least(within("x"), F.col("side") - within("x"), within("y"), F.col("side") - within("y"))
+    number = lambda c, d=0: F.call_function("shiftright", F.col(c) + d, F.lit(TILE))
+    tiles = lambda c: F.explode(F.sequence(number(c, -HALO), number(c, HALO)))
+    own = spots.filter("e = 0").join(beside, [*keys, "cx", "cy"], "left").withColumn("tx", tiles("cx")).withColumn("ty", tiles("cy"))
+    asks = (F.col("place") == 1) & F.col("beside").isNull() & (F.col("tx") == number("cx")) & (F.col("ty") == number("cy"))
+    own = own.select(*keys, "tx", "ty", "id", "x", "y", "m", "v", "want", "cx", "cy", covers.alias("covers"), asks.alias("asks"))
+    of = {f.name: f.dataType for f in own.schema}
+    best = T.ArrayType(T.StructType([T.StructField("near", of["id"]), T.StructField("d2", T.DoubleType()), T.StructField("v", of["v"])]))
+    schema = T.StructType([*(T.StructField(n, of[n]) for n in (*keys, "id", "x", "y", "m")), T.StructField("best", best)])
+    return own.groupBy(*keys, "tx", "ty").applyInArrow(lambda table: nearest_in_tile(table, [*keys, "id", "x", "y", "m"]), schema)
+
+
+def nearest_in_tile(table: pa.Table, names: list[str]) -> pa.Table:
+    """Answers of a tile's askers; blocks of 4 x 4 cells meet the cells around them, a few million pairs at a time."""
+    x, y, cx, cy, covers, asks = (table[n].to_numpy() for n in ("x", "y", "cx", "cy", "covers", "asks"))
+    rank, want = pc.rank(table["id"].combine_chunks()).to_numpy(), table["want"][0].as_py()
+    asking = np.flatnonzero(asks)
+    blocks = np.unique(np.stack([cx[asking] >> 2, cy[asking] >> 2], axis=1), axis=0)
+    who, near, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for bx, by in blocks * 4:
+        held = np.flatnonzero((cx >= bx - HALO) & (cx <= bx + 3 + HALO) & (cy >= by - HALO) & (cy <= by + 3 + HALO))
+        if len(held) < want:
+            continue
+        mine = asking[(cx[asking] >> 2 == bx >> 2) & (cy[asking] >> 2 == by >> 2)]
+        step = max(1, PAIRS // len(held))
+        for a in (mine[i : i + step] for i in range(0, len(mine), step)):
+            ex, ey = x[held] - x[a, None], y[held] - y[a, None]
+            d2 = ex * ex + ey * ey
+            last = np.partition(d2, want - 1, axis=1)[:, want - 1]
+            ok = np.sqrt(last) <= covers[a]
+            a, d2 = a[ok], d2[ok]
+            row, col = np.nonzero(d2 <= last[ok, None])
+            d = d2[row, col]
+            order = np.lexsort((rank[held[col]], d, row))
+            row, col, d = row[order], col[order], d[order]
+            first = np.arange(len(row)) - np.searchsorted(row, np.arange(len(a)))[row] < want
+            who.append(a)
+            near.append(held[col[first]])
+            far.append(d[first])
+    who, near = np.concatenate(who), np.concatenate(near)
+    pick = lambda n: table[n].take(pa.array(near)).combine_chunks()
+    rows = pa.StructArray.from_arrays([pick("id"), pa.array(np.concatenate(far)), pick("v")], ["near", "d2", "v"])
+    best = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * want), rows)
+    return pa.table([*(table[n].take(pa.array(who)) for n in names), best], names=[*names, "best"])
 
 
 def cells_above(own: DataFrame, keys: list[str]) -> DataFrame:
@@ -181,10 +222,12 @@ def k_nearest(points: DataFrame, k: int, x: str = "utm_x_m", y: str = "utm_y_m",
     own = scratch.keep(placed(own, inner, k), "placed")
     spots, crowded = leaves(stacked(own, inner, k, scratch), inner, max(LEAF, k), scratch)
     spots = scratch.keep(spots, "spots")
-    easy = scratch.keep(settled(own, spots, crowded, inner), "settled")
-    left = own.join(easy.filter("rank = 1").select(*inner, "id"), [*inner, "id"], "left_anti").select(*inner, "id", "x", "y")
+    answers = scratch.keep(settled(spots, crowded, inner), "settled")
+    many = answers.filter("m > 1").select(*inner, "x", "y", "best")
+    easy = answers.filter("m = 1").select(*inner, "id", "best").unionByName(own.select(*inner, "id", "x", "y").join(many, [*inner, "x", "y"]).select(*inner, "id", "best"))
+    left = dealt(own.select(*inner, "id", "x", "y")).join(dealt(answers.select(*inner, "x", "y")), [*inner, "x", "y"], "left_anti")
     left = scratch.keep(left, "unsettled")
-    rows = easy
+    best = easy
     if not left.isEmpty():
         filled = spots.filter("place = 1").groupBy(*inner, "e", "cx", "cy", "tallest").agg(F.sum("m").alias("points"))
         above = scratch.keep(cells_above(filled, inner), "above")
@@ -192,8 +235,9 @@ def k_nearest(points: DataFrame, k: int, x: str = "utm_x_m", y: str = "utm_y_m",
         found = search(first_radius(asking, spots, above, inner), spots, above, inner, scratch)
         near = found.groupBy(*inner, "x", "y", "want").agg(F.collect_list(F.struct("d2", "near", "v")).alias("best"))
         near = near.select(*inner, "x", "y", F.slice(F.sort_array("best"), 1, F.col("want")).alias("best"))
-        hard = left.join(near, [*inner, "x", "y"]).select(*inner, "id", F.posexplode("best").alias("at", "b"))
-        rows = rows.unionByName(hard.select(*inner, "id", "b.near", "b.d2", (F.col("at") + 1).alias("rank"), "b.v"))
+        pick = F.transform("best", lambda b: F.struct(b["near"].alias("near"), b["d2"].alias("d2"), b["v"].alias("v")))
+        best = best.unionByName(left.join(near, [*inner, "x", "y"]).select(*inner, "id", pick.alias("best")))
+    rows = best.select(*inner, "id", F.posexplode("best").alias("at", "b")).select(*inner, "id", "b.near", "b.d2", (F.col("at") + 1).alias("rank"), "b.v")
     return rows.select(
         *(F.col(n).alias(c) for c, n in zip(keys, inner)), F.col("id").alias(id_col), "near", "d2", "rank", *(F.col(f"v.v{i}").alias(v) for i, v in enumerate(values))
     )
