@@ -35,14 +35,14 @@ def far2(v: str, low: Column, side: Column) -> Column:
     return F.greatest(F.col(v) - low, low + side - F.col(v))
 
 
-def stacked(points: DataFrame, keys: list[str], k: int, scratch: Scratch) -> DataFrame:
+def stacked(points: DataFrame, keys: list[str], k: int, scratch: Scratch) -> tuple[DataFrame, bool]:
     """Points (keys, id, x, y, v) with m, the number of points of their position, and place among them by id; of a position only the first k stay, as no
-    search wants more of it."""
+    search wants more of it. And whether any position has more than one."""
     many = scratch.keep(points.groupBy(*keys, "x", "y").agg(F.count("*").alias("m")).filter(F.col("m") > 1), "many")
     here = Window.partitionBy(*keys, "x", "y").orderBy("id")
     first = points.join(many, [*keys, "x", "y"]).withColumn("place", F.row_number().over(here)).filter(F.col("place") <= k)
     alone = points.join(many, [*keys, "x", "y"], "left_anti").withColumns({"m": F.lit(1).cast("long"), "place": F.lit(1)})
-    return alone.unionByName(first)
+    return alone.unionByName(first), not many.isEmpty()
 
 
 def placed(points: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -80,9 +80,9 @@ def leaves(spots: DataFrame, keys: list[str], most: int, scratch: Scratch) -> tu
     return reduce(DataFrame.unionByName, done), crowded
 
 
-def settled(spots: DataFrame, crowded: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, x, y, m, best) of the positions that the cells of exponent 0 around them answer: none within HALO is crowded, and what they want lies
-    within what these cover. best: (near, d2, v) in order.
+def settled(spots: DataFrame, crowded: DataFrame, keys: list[str], sums: bool = False) -> DataFrame:
+    """(keys, id, x, y, m, best) of the positions in leaves of exponent 0. best: (near, d2, v) in order, or sums of v's fields, where the cells around answer: none
+    within HALO is crowded, and what is wanted lies within what these cover; else null.
 
     Cells are dealt to tiles with those around them, so a point is shuffled about once; a tile holds at most LEAF positions a cell."""
     round_ = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-HALO, HALO + 1) for j in range(-HALO, HALO + 1)))).alias("o")
@@ -92,16 +92,16 @@ def settled(spots: DataFrame, crowded: DataFrame, keys: list[str]) -> DataFrame:
     number = lambda c, d=0: F.call_function("shiftright", F.col(c) + d, F.lit(TILE))
     tiles = lambda c: F.explode(F.sequence(number(c, -HALO), number(c, HALO)))
     own = spots.filter("e = 0").join(beside, [*keys, "cx", "cy"], "left").withColumn("tx", tiles("cx")).withColumn("ty", tiles("cy"))
-    asks = (F.col("place") == 1) & F.col("beside").isNull() & (F.col("tx") == number("cx")) & (F.col("ty") == number("cy"))
-    own = own.select(*keys, "tx", "ty", "id", "x", "y", "m", "v", "want", "cx", "cy", covers.alias("covers"), asks.alias("asks"))
+    home = (F.col("place") == 1) & (F.col("tx") == number("cx")) & (F.col("ty") == number("cy"))
+    own = own.select(*keys, "tx", "ty", "id", "x", "y", "m", "v", "want", "cx", "cy", covers.alias("covers"), home.alias("home"), (home & F.col("beside").isNull()).alias("asks"))
     of = {f.name: f.dataType for f in own.schema}
-    best = T.ArrayType(T.StructType([T.StructField("near", of["id"]), T.StructField("d2", T.DoubleType()), T.StructField("v", of["v"])]))
+    best = of["v"] if sums else T.ArrayType(T.StructType([T.StructField("near", of["id"]), T.StructField("d2", T.DoubleType()), T.StructField("v", of["v"])]))
     schema = T.StructType([*(T.StructField(n, of[n]) for n in (*keys, "id", "x", "y", "m")), T.StructField("best", best)])
-    return own.groupBy(*keys, "tx", "ty").applyInArrow(lambda table: nearest_in_tile(table, [*keys, "id", "x", "y", "m"]), schema)
+    return own.groupBy(*keys, "tx", "ty").applyInArrow(lambda table: nearest_in_tile(table, [*keys, "id", "x", "y", "m"], sums), schema)
 
 
-def nearest_in_tile(table: pa.Table, names: list[str]) -> pa.Table:
-    """Answers of a tile's askers; blocks of 4 x 4 cells meet the cells around them, a few million pairs at a time."""
+def nearest_in_tile(table: pa.Table, names: list[str], sums: bool = False) -> pa.Table:
+    """Answers of a tile's askers, and a row without one for the rest that is at home there; blocks of 4 x 4 cells meet the cells around them, a few million pairs at a time."""
     x, y, cx, cy, covers, asks = (table[n].to_numpy() for n in ("x", "y", "cx", "cy", "covers", "asks"))
     rank, want = pc.rank(table["id"].combine_chunks()).to_numpy(), table["want"][0].as_py()
     asking = np.flatnonzero(asks)
@@ -128,10 +128,28 @@ def nearest_in_tile(table: pa.Table, names: list[str]) -> pa.Table:
             near.append(held[col[first]])
             far.append(d[first])
     who, near = np.concatenate(who), np.concatenate(near)
-    pick = lambda n: table[n].take(pa.array(near)).combine_chunks()
-    rows = pa.StructArray.from_arrays([pick("id"), pa.array(np.concatenate(far)), pick("v")], ["near", "d2", "v"])
-    best = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * want), rows)
-    return pa.table([*(table[n].take(pa.array(who)) for n in names), best], names=[*names, "best"])
+    if sums:
+        best = summed(table["v"].combine_chunks(), near.reshape(len(who), want))
+    else:
+        pick = lambda n: table[n].take(pa.array(near)).combine_chunks()
+        rows = pa.StructArray.from_arrays([pick("id"), pa.array(np.concatenate(far)), pick("v")], ["near", "d2", "v"])
+        best = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * want), rows)
+    rest = np.setdiff1d(np.flatnonzero(table["home"].to_numpy()), who)
+    best = pa.concat_arrays([best, pa.nulls(len(rest), best.type)])
+    return pa.table([*(table[n].take(pa.array(np.concatenate([who, rest]))) for n in names), best], names=[*names, "best"])
+
+
+def summed(v: pa.StructArray, near: np.ndarray) -> pa.StructArray:
+    """Each field's sum over the places in a row of near, added up in their order; what is missing is left out, and nothing but that has no sum."""
+    out = []
+    for field in v.flatten():
+        there, value = field.is_valid().to_numpy(zero_copy_only=False), field.fill_null(0.0).to_numpy(zero_copy_only=False)
+        total, found = np.zeros(len(near)), np.zeros(len(near), bool)
+        for place in near.T:
+            total += value[place]
+            found |= there[place]
+        out.append(pa.array(total, mask=~found))
+    return pa.StructArray.from_arrays(out, [f.name for f in v.type])
 
 
 def cells_above(own: DataFrame, keys: list[str]) -> DataFrame:
@@ -204,30 +222,36 @@ def search(asking: DataFrame, spots: DataFrame, above: DataFrame, keys: list[str
     return reduce(DataFrame.unionByName, found)
 
 
-def k_nearest(points: DataFrame, k: int, x: str = "utm_x_m", y: str = "utm_y_m", id_col: str = "point_id", values=(), keys=("run_id",)) -> DataFrame:
-    """The min(n, k) points nearest to each point, itself among them, by planar distance; ties go to smaller ids.
+def added(v: Column, field: str) -> Column:
+    """The sum of a field over an array of structs in its order, as SQL's sum has it."""
+    there = F.filter(F.transform(v, lambda b: b["v"][field]), lambda x: x.isNotNull())
+    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x))
 
-    Equal positions are one, with a multiplicity and their first k points, as all of them have the same neighbours. Positions fill a quadtree whose cells
-    are split until none holds more than LEAF of them, so neither a crowded place nor an empty stretch makes a task that others don't: a search opens
-    leaves and cells that its radius touches, and the radius comes from counts.
-    Returns keys, id_col, near (id), d2 (squared distance), rank and the near point's values. Rows with a missing coordinate or key, or one that isn't finite, take
-    no part; an empty table gives no rows.
-    """
+
+def nearest(points: DataFrame, k: int, x: str, y: str, id_col: str, values, keys, sums: bool) -> tuple[DataFrame, list[str]]:
+    """(key_0 .., id, best) of each point, and the names of the keys: best is the array (near, d2, v) of its nearest points, or the sums of their values."""
     scratch = Scratch(points.sparkSession, "neighbours")
     inner = [f"key_{i}" for i in range(len(keys))]  # whatever the columns' names, none clashes
     finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
-    value = F.struct(*(F.col(v).alias(f"v{i}") for i, v in enumerate(values))) if values else F.struct(F.lit(None).cast("int").alias("v0"))
+    value = F.struct(*((F.col(v).cast("double") if sums else F.col(v)).alias(f"v{i}") for i, v in enumerate(values))) if values else F.struct(F.lit(None).cast("int").alias("v0"))
     own = points.filter(finite(x) & finite(y) & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     own = own.select(*(F.col(c).alias(n) for c, n in zip(keys, inner)), F.col(id_col).alias("id"), (F.col(x).cast("double") + 0.0).alias("x"), (F.col(y).cast("double") + 0.0).alias("y"), value.alias("v")).dropna(subset=inner)
     own = scratch.keep(placed(own, inner, k), "placed")
-    spots, crowded = leaves(stacked(own, inner, k, scratch), inner, max(LEAF, k), scratch)
+    firsts, piled = stacked(own, inner, k, scratch)
+    spots, crowded = leaves(firsts, inner, max(LEAF, k), scratch)
     spots = scratch.keep(spots, "spots")
-    answers = scratch.keep(settled(spots, crowded, inner), "settled")
-    many = answers.filter("m > 1").select(*inner, "x", "y", "best")
-    easy = answers.filter("m = 1").select(*inner, "id", "best").unionByName(own.select(*inner, "id", "x", "y").join(many, [*inner, "x", "y"]).select(*inner, "id", "best"))
-    left = dealt(own.select(*inner, "id", "x", "y")).join(dealt(answers.select(*inner, "x", "y")), [*inner, "x", "y"], "left_anti")
-    left = scratch.keep(left, "unsettled")
-    best = easy
+    answers = scratch.keep(settled(spots, crowded, inner, sums), "settled")
+
+    def of_points(places: DataFrame, *rest: str) -> DataFrame:
+        """Places' rows for each of their points."""
+        out = places.filter("m = 1").select(*inner, "id", *rest) if piled else places.select(*inner, "id", *rest)
+        several = places.filter("m > 1").select(*inner, "x", "y", *(c for c in rest if c not in ("x", "y")))
+        return out.unionByName(own.select(*inner, "id", "x", "y").join(several, [*inner, "x", "y"]).select(*inner, "id", *rest)) if piled else out
+
+    best = of_points(answers.filter("best is not null"), "best")
+    # leaves below the cells of exponent 0 weren't asked for
+    left = answers.filter("best is null").drop("best").unionByName(spots.filter("place = 1 and e < 0").select(*inner, "id", "x", "y", "m"))
+    left = scratch.keep(of_points(left, "x", "y"), "unsettled")
     if not left.isEmpty():
         filled = spots.filter("place = 1").groupBy(*inner, "e", "cx", "cy", "tallest").agg(F.sum("m").alias("points"))
         above = scratch.keep(cells_above(filled, inner), "above")
@@ -236,8 +260,30 @@ def k_nearest(points: DataFrame, k: int, x: str = "utm_x_m", y: str = "utm_y_m",
         near = found.groupBy(*inner, "x", "y", "want").agg(F.collect_list(F.struct("d2", "near", "v")).alias("best"))
         near = near.select(*inner, "x", "y", F.slice(F.sort_array("best"), 1, F.col("want")).alias("best"))
         pick = F.transform("best", lambda b: F.struct(b["near"].alias("near"), b["d2"].alias("d2"), b["v"].alias("v")))
+        if sums:
+            pick = F.struct(*(added(F.col("best"), f"v{i}").alias(f"v{i}") for i in range(len(values))))
         best = best.unionByName(left.join(near, [*inner, "x", "y"]).select(*inner, "id", pick.alias("best")))
+    return best, inner
+
+
+def k_nearest(points: DataFrame, k: int, x: str = "utm_x_m", y: str = "utm_y_m", id_col: str = "point_id", values=(), keys=("run_id",)) -> DataFrame:
+    """The min(n, k) points nearest to each point, itself among them, by planar distance; ties go to smaller ids.
+
+    Equal positions are one, with a multiplicity and their first k points, as all of them have the same neighbours. Positions fill a quadtree whose cells
+    are split until none holds more than LEAF of them, so neither a crowded place nor an empty stretch makes a task that others don't: a search opens
+    leaves and cells that its radius touches, and the radius comes from counts.
+    Returns keys, id_col, near (id), d2 (squared distance), rank and the near point's values. Rows with a missing coordinate or key, or one that isn't finite, take
+    no part; an empty table gives no rows.
+    """
+    best, inner = nearest(points, k, x, y, id_col, values, keys, sums=False)
     rows = best.select(*inner, "id", F.posexplode("best").alias("at", "b")).select(*inner, "id", "b.near", "b.d2", (F.col("at") + 1).alias("rank"), "b.v")
     return rows.select(
         *(F.col(n).alias(c) for c, n in zip(keys, inner)), F.col("id").alias(id_col), "near", "d2", "rank", *(F.col(f"v.v{i}").alias(v) for i, v in enumerate(values))
     )
+
+
+def nearest_sums(points: DataFrame, k: int, values, x: str = "utm_x_m", y: str = "utm_y_m", id_col: str = "point_id", keys=("run_id",)) -> DataFrame:
+    """(keys, id_col, a column for each of values): sums over the points that k_nearest finds, in their order and without missing values. The neighbours
+    themselves are neither written nor shuffled."""
+    best, inner = nearest(points, k, x, y, id_col, values, keys, sums=True)
+    return best.select(*(F.col(n).alias(c) for c, n in zip(keys, inner)), F.col("id").alias(id_col), *(F.col(f"best.v{i}").alias(v) for i, v in enumerate(values)))

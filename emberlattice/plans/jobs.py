@@ -242,9 +242,9 @@ def build_hotspots(features: DataFrame, settings: Hotspots = Hotspots()) -> tupl
     Q.require(Q.mask_summary(points), "delineation")
     Q.require(Q.night_summary(points), "night")
     save_stage(points, "points", settings)
-    hot = written(T.hotspots(points, settings.k), "hotspots")
-    save_stage(hot, "hotspots", settings)
-    scored = T.score(T.percentiles(T.label_clusters(hot, settings.cell_m, settings.connectivity)))
+    hot = T.ranked_hotspots(points, settings.k)
+    save_stage(hot.drop("city_temperature_percentile", "temperature_rank", "temperature_total_pixels"), "hotspots", settings)
+    scored = T.labelled_scores(hot, settings.cell_m, settings.connectivity)
     layer = written(T.final_layer(scored.withColumn("geometry", X.wkb_point(F.col("longitude"), F.col("latitude")))), "layer")
     clusters = written(T.registry(layer, settings.cell_m), "registry")
     report = Q.layer_report(layer, clusters)
