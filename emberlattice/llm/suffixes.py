@@ -1,4 +1,4 @@
-"""Suffix-array dedup of byte strings: a distributed difference-cover sort of the suffixes that can recur."""
+"""Suffix-array dedup of byte strings: a distributed sort, by prefixes that triple, of the suffixes that can recur."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from emberlattice.llm.grams import PRIME, U, by_bucket, joined_blobs, mixed
 from emberlattice.scratch import Scratch, small_batches
 
 SIZE = 50  # bytes of a string
+WIDTH = 17  # bytes of the prefixes that are named first
+LEADS = (0, WIDTH, SIZE - WIDTH)  # where the names stand that cover a string
 SEEDS = (26, 34)  # bytes of the anchors that decide which strings can recur: among texts, then among distinct chunks of these
 CHUNK = 4  # one in so many anchors ends a chunk
 SLICE = 1 << 17  # bytes that are hashed at a time
@@ -148,7 +150,7 @@ def recurring_anchors(items: DataFrame, notes: DataFrame, seed: int, buckets: in
             low, high = (np.repeat(f.reduceat(docs_of, starts), many) for f in (np.minimum, np.maximum))
             order = order[(docs_of == low) | (docs_of == high)]
         keep = np.sort(order)
-        rows = list(by_bucket((h[keep] % U(buckets)).astype(np.int32), [h[keep], owner[keep]])) if len(keep) else []
+        rows = list(by_bucket(short(h[keep] % U(buckets), buckets), [h[keep], owner[keep]])) if len(keep) else []
         block = part["block"][0].as_py() if part.num_rows else 0
         return table_of([(b, block, *x) for b, x in rows], [("bucket", pa.int32()), ("block", pa.int32()), ("h", pa.binary()), ("docs", pa.binary())])
 
@@ -224,8 +226,7 @@ def distinct_chunks(chunks: DataFrame) -> DataFrame:
 
 
 class Block:
-    """Some distinct chunks end to end. Places are counted over the block; those of the difference cover {1, 2} mod 3 are sampled,
-    counted from each chunk's begin."""
+    """Some distinct chunks end to end, by rising document. Places are counted over the block."""
 
     def __init__(self, row: dict):
         self.number = row["block"]
@@ -234,35 +235,40 @@ class Block:
         self.text = np.frombuffer(row["text"], np.uint8)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.chunk = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        self.place = (np.arange(len(self.text)) - self.begins[self.chunk]).astype(np.int32)
-        self.left = self.sizes[self.chunk].astype(np.int32) - self.place  # bytes from here to the chunk's end
-
-    def places(self, residues: tuple[int, ...], length: int) -> np.ndarray:
-        """Places of the residues from which `length` bytes lie in their chunk."""
-        return np.flatnonzero(np.isin(self.place % 3, residues) & (self.left >= length))
-
-    def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of whole strings so that equal ones stand together by rising document, where a new string begins, and the documents."""
-        at = np.flatnonzero(self.left >= SIZE)
-        docs = self.docs[self.chunk[at]]
-        _, by_doc = np.unique(self.docs, return_inverse=True)
-        order, _ = ordered([runs_of_bytes(self.text, SIZE)[at], by_doc.astype(np.uint32)[self.chunk[at]]])
-        at, docs = at[order], docs[order]
-        new = np.zeros(len(at), dtype=bool)
-        for j in (*range(0, SIZE - 8, 8), SIZE - 8):
-            new |= changes(big_endian(self.text, at + j))  # equal hashes are no proof
-        return at, np.flatnonzero(new), docs
+        self.left = np.repeat((self.begins + self.sizes).astype(np.int32), self.sizes)  # bytes from here to the chunk's end
+        self.left -= np.arange(len(self.text), dtype=np.int32)
+        self.words = words_of(row["text"])
+
+    def alike(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places from which `length` bytes lie in their chunk so that equal strings stand together by rising document, and where a new string begins.
+
+        Hashes share a number with the place, so the order is the same wherever it is found again; strings whose hashes clash may stand apart and count as new."""
+        at = np.flatnonzero(self.left >= length)
+        bits = U(len(at).bit_length())
+        low = (U(1) << bits) - U(1)
+        key = runs_of_bytes(self.text, length)[at]
+        key &= ~low
+        key |= np.arange(len(at), dtype=np.uint64)
+        key.sort()
+        at, new = at[(key & low).astype(np.int64)], changes(key >> bits)
+        same = np.flatnonzero(~new)
+        here, before, differ = at[same], at[same - 1], np.zeros(len(same), dtype=bool)
+        for j in (*range(0, length - 8, 8), length - 8):
+            differ |= self.words[here + j] != self.words[before + j]  # equal hashes are no proof
+        new[same[differ]] = True
+        return at, np.flatnonzero(new)
 
 
 def packed_blocks(items: DataFrame, blocks: int) -> DataFrame:
-    """(block, docs, sizes, text, digests): distinct chunks, those of one document in one block, end to end."""
+    """(block, docs, sizes, text, digests): distinct chunks, those of one document in one block, end to end by rising document."""
     own = items.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int"))
 
     def pack(part: pa.Table) -> pa.Table:
         digests, texts = part["item"].to_pylist(), part["body"].to_pylist()
-        order = sorted(range(len(digests)), key=digests.__getitem__)
+        docs = part["doc"].to_pylist()
+        order = sorted(range(len(digests)), key=lambda i: (docs[i], digests[i]))
         texts = [texts[i] for i in order]
-        docs = part["doc"].to_numpy()[order].astype(np.int64)
+        docs = np.array(docs, dtype=np.int64)[order]
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         row = (part["block"][0].as_py(), docs.tobytes(), sizes.tobytes(), b"".join(texts), b"".join(digests[i] for i in order))
         return table_of([row], [("block", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("digests", pa.binary())])
@@ -270,11 +276,12 @@ def packed_blocks(items: DataFrame, blocks: int) -> DataFrame:
     return own.groupBy("block").applyInArrow(pack, "block int, docs binary, sizes binary, text binary, digests binary")
 
 
-def big_endian(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as a number in the order of the strings."""
-    out = np.zeros(len(at), dtype=np.uint64)
-    for j in range(8):
-        out = (out << U(8)) | text[at + j].astype(np.uint64)
+def words_of(text: bytes) -> np.ndarray:
+    """The eight bytes from each place as a number in the order of the strings (for all but the last seven places)."""
+    n = max(0, len(text) - 7)
+    out = np.empty(n, dtype=np.uint64)
+    for j in range(min(8, n)):
+        out[j::8] = np.frombuffer(text, ">u8", -(-(n - j) // 8), j)
     return out
 
 
@@ -285,9 +292,8 @@ def splitters(blocks: DataFrame, parts: int, each: int = 512) -> np.ndarray:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                at = b.places((1, 2), 9)
-                at = at[:: max(1, len(at) // each)]
-                yield pa.RecordBatch.from_arrays([pa.array(big_endian(b.text, at).view(np.int64))], names=["k"])
+                at = np.flatnonzero(b.left >= WIDTH)
+                yield pa.RecordBatch.from_arrays([pa.array(b.words[at[:: max(1, len(at) // each)]].view(np.int64))], names=["k"])
 
     found = blocks.select("block", "docs", "sizes", "text").filter("block < 256").mapInArrow(some, "k long").toPandas()["k"].to_numpy(np.int64).view(np.uint64)
     return np.quantile(np.sort(found).astype(np.float64), np.linspace(0, 1, parts + 1)[1:-1]).astype(np.uint64) if len(found) else np.zeros(0, np.uint64)
@@ -297,16 +303,21 @@ MESSAGE = [("part", pa.int32()), ("block", pa.int32()), *((k, pa.binary()) for k
 MESSAGE_SCHEMA = "part int, block int, k0 binary, k1 binary, k2 binary, k3 binary, k4 binary"
 
 
+def short(part: np.ndarray, parts: int) -> np.ndarray:
+    """Numbers of partitions in two bytes where they fit, as these are sorted by counting."""
+    return part.astype(np.uint16 if parts <= 1 << 16 else np.int32)
+
+
 def messages(part: np.ndarray, block: int, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """A block's keys for each range partition, in the order of the places they come from."""
     none = [None] * (5 - len(keys))
-    rows = list(by_bucket(part.astype(np.int32), keys))
+    rows = list(by_bucket(part, keys))
     if rows:
         yield from table_of([(p, block, *x, *none) for p, x in rows], MESSAGE).to_batches()
 
 
 class Names:
-    """Names of triples as numbers without gaps, in the order of the triples: `first` has each range partition's smallest name."""
+    """Names of strings as numbers without gaps, in the order of the strings: `first` has each range partition's smallest name."""
 
     def __init__(self, counts: dict[int, int], parts: int):
         sizes = np.array([counts.get(p, 0) for p in range(parts)], dtype=np.uint64)
@@ -316,29 +327,27 @@ class Names:
     def part_of(self, names: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, names.astype(np.uint64), side="right") - 1
 
-    def settled(self, found: list[dict], sent: Triples, size: int) -> np.ndarray:
-        """Names by place: a partition answers in the order in which the block's triples of that partition were sent."""
-        names = np.zeros(len(sent.starts), dtype=self.kind)
-        for x in found:
-            names[sent.parts == x["part"]] = (self.first[x["part"]] + np.frombuffer(x["name"], np.uint32)).astype(self.kind)
-        out = np.zeros(size, dtype=self.kind)
-        out[sent.at[sent.order]] = np.repeat(names, np.diff(np.concatenate([sent.starts, [len(sent.order)]])))
+    def settled(self, found: list[dict], sent: Sent, size: int) -> np.ndarray:
+        """Names by place: a partition answers in the order in which the block's strings of that partition were sent."""
+        names, out = np.zeros(len(sent.starts), dtype=self.kind), np.zeros(size, dtype=self.kind)
+        answers = sorted(found, key=lambda x: x["part"])
+        names[np.argsort(sent.parts, kind="stable")] = np.concatenate([(self.first[x["part"]] + np.frombuffer(x["name"], np.uint32)).astype(self.kind) for x in answers])
+        out[sent.at] = np.repeat(names, np.diff(np.concatenate([sent.starts, [len(sent.at)]])))
         return out
 
 
-class Triples:
-    """A block's keys at some places; each distinct one is sent once, to the range partition that part_of tells for its first part."""
+class Sent:
+    """A block's strings of WIDTH bytes; each distinct one is sent once, to the range partition of its first eight bytes."""
 
-    def __init__(self, at: np.ndarray, keys: list[np.ndarray], part_of):
-        self.at = at
-        self.order, new = ordered(keys)
-        self.starts = np.flatnonzero(new)
-        self.keys = [k[self.order][self.starts] for k in keys]
-        self.parts = part_of(self.keys[0])
+    def __init__(self, b: Block, cut: np.ndarray):
+        self.at, self.starts = b.alike(WIDTH)
+        at = self.at[self.starts]
+        self.keys = [b.words[at], b.words[at + 8], b.text[at + 16]]
+        self.parts = short(np.searchsorted(cut, self.keys[0], side="right"), len(cut) + 1)
 
 
 def named(sent: DataFrame, kinds: tuple, name: str, parts: int, scratch: Scratch) -> tuple[DataFrame, Names]:
-    """Sorts the triples (keys of the given kinds) within range partitions and names them by rank: rows (block, found), found a list of
+    """Sorts strings (keys of the given kinds) within range partitions and names them by rank: rows (block, found), found a list of
     (part, name) with ranks in the order sent; and the numbering."""
 
     def rank(part: pa.Table) -> pa.Table:
@@ -360,60 +369,33 @@ def named(sent: DataFrame, kinds: tuple, name: str, parts: int, scratch: Scratch
 def repeated_places(blocks: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     """(block, at) blobs: a place for each string of a block, with its smallest document there, that also starts in a chunk of a smaller one.
 
-    Sampled places get names of their triples of bytes (the bytes themselves), then of triples of these (9 bytes), then of triples of those (27
-    bytes), each by a distributed sort. Strings of SIZE bytes are then pairs of such names and a few bytes. Of the three residues any two have a form
-    that starts with names at sampled places, so three merges, one for each two residues, compare all suffixes: in each, equal neighbours
-    of the sorted order get the smallest document of their run. A block sends equal keys once: what recurs within it is settled there (hits).
+    Suffixes are sorted by prefixes that triple: a distributed sort by WIDTH bytes names all of them by rank, and the names at LEADS order them by SIZE bytes,
+    as far as anything is asked of them. Range partitions of the second sort hold equal ones as neighbours, which get the smallest document of their run.
+    A block sends equal keys once: what recurs within it is settled there (hits).
     """
     cut = splitters(blocks, parts)
     own = blocks.select("block", "docs", "sizes", "text")
 
-    def bytes_of(b: Block) -> Triples:
-        at = b.places((1, 2), 9)
-        return Triples(at, [big_endian(b.text, at), b.text[at + 8]], lambda k: np.searchsorted(cut, k, side="right"))
-
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                x = bytes_of(Block(row))
+                x = Sent(Block(row), cut)
                 yield from messages(x.parts, row["block"], x.keys)
 
-    nine, of_nine = named(own.mapInArrow(first, MESSAGE_SCHEMA), (np.uint64, np.uint8), "nine", parts, scratch)
-
-    def names_of(b: Block, row: dict) -> Triples:
-        name = of_nine.settled(row["nine"], bytes_of(b), len(b.text))
-        at = b.places((1, 2), 27)
-        return Triples(at, [name[at], name[at + 9], name[at + 18]], of_nine.part_of)
+    short_names, names = named(own.mapInArrow(first, MESSAGE_SCHEMA), (np.uint64, np.uint64, np.uint8), "names", parts, scratch)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = names_of(Block(row), row)
-                yield from messages(x.parts, row["block"], x.keys)
-
-    with_nine = own.join(nine, "block")
-    long, of_long = named(with_nine.mapInArrow(second, MESSAGE_SCHEMA), (of_nine.kind,) * 3, "long", parts, scratch)
-    joined = with_nine.join(long, "block")
-
-    def send(batches: Iterator[pa.RecordBatch], numbers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-        """Places of two residues meet by `lead` bytes, the names `lead` further on and 21 behind those, and the bytes left."""
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                name = of_long.settled(row["long"], names_of(b, row), len(b.text))
-                whole, starts, every = b.strings()
-                for number in numbers:
-                    residues, lead = MERGES[number]
-                    here = np.isin(b.place[whole[starts]] % 3, residues)
-                    at, docs = whole[starts][here], every[starts][here]
-                    one, two = name[at + lead], name[at + lead + 21]
-                    few = np.zeros(len(at), np.uint16)
-                    for j in [*range(lead), *range(lead + 48, SIZE)]:
-                        few = (few << np.uint16(8)) | b.text[at + j]
-                    yield from messages(number * parts + of_long.part_of(one), b.number, [one, two, few, docs, at.astype(np.uint32)])
+                name = names.settled(row["names"], Sent(b, cut), len(b.text))
+                at, starts = b.alike(SIZE)
+                at = at[starts]
+                keys = [name[at + lead] for lead in LEADS]
+                yield from messages(short(names.part_of(keys[0]), parts), b.number, [*keys, b.docs[b.chunk[at]], at.astype(np.uint32)])
 
     def compare(part: pa.Table) -> pa.Table:
-        order, new = ordered([joined_blobs(part[f"k{i}"], k) for i, k in enumerate((of_long.kind, of_long.kind, np.uint16))])
+        order, new = ordered([joined_blobs(part[f"k{i}"], names.kind) for i in range(len(LEADS))])
         starts = np.flatnonzero(new)
         docs = joined_blobs(part["k3"], np.int64)[order]
         many = np.diff(np.concatenate([starts, [len(docs)]]))
@@ -424,19 +406,12 @@ def repeated_places(blocks: DataFrame, parts: int, scratch: Scratch) -> DataFram
         rows = [(b, x[0]) for b, x in by_bucket(blocks_of, [at])] if len(at) else []
         return table_of(rows, [("block", pa.int32()), ("at", pa.binary())])
 
-    def merged(*numbers: int) -> DataFrame:
-        sent = joined.mapInArrow(lambda batches: send(batches, numbers), MESSAGE_SCHEMA)
-        return scratch.keep(sent.groupBy("part").applyInArrow(compare, "block int, at binary"), f"merged-{numbers[0]}")
-
-    found = merged(0, 1).unionByName(merged(2))  # all three at once would take half as much disk again
-    scratch.drop("nine", "long")
+    sent = own.join(short_names, "block").mapInArrow(second, MESSAGE_SCHEMA)
+    found = scratch.keep(sent.groupBy("part").applyInArrow(compare, "block int, at binary"), "repeated")
+    scratch.drop("names")
     return found
 
 
-#: Residues that a merge compares, and how many bytes lead to a sampled place for both.
-MERGES = (((1, 2), 0), ((0, 1), 1), ((0, 2), 2))
-
-
 def hits(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
     """(item, runs): for each distinct chunk the runs of its places whose strings also start in a smaller document than its own first one."""
 
@@ -446,7 +421,8 @@ def hits(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
             return table_of([], fields)
         row = block.to_pylist()[0]
         b = Block(row)
-        at, starts, docs = b.strings()
+        at, starts = b.alike(SIZE)
+        docs = b.docs[b.chunk[at]]
         many = np.diff(np.concatenate([starts, [len(at)]]))
         told_at = joined_blobs(told["at"], np.uint32)
         later = np.repeat(np.isin(at[starts], told_at), many) | (docs > np.repeat(docs[starts], many))
@@ -514,9 +490,9 @@ def repeated_in(items: DataFrame, size: int, notes: DataFrame, seeds: tuple[int,
     else:
         blocks = scratch.keep(packed_blocks(bodies, max(1, -(-size // block_bytes))), "blocks")
         scratch.drop(f"bodies-{seed}")
-        runs = hits(blocks, repeated_places(blocks, max(1, -(-size // (2 * block_bytes))), scratch))
+        runs = hits(blocks, repeated_places(blocks, max(1, -(-size // block_bytes)), scratch))
     found = scratch.keep(lifted(chunks, heads, runs), f"found-{seed}")
-    scratch.drop(f"placed-{seed}", f"heads-{seed}", *(() if rest else ("blocks", "merged-0", "merged-2")))
+    scratch.drop(f"placed-{seed}", f"heads-{seed}", *(() if rest else ("blocks", "repeated")))
     return found
 
 

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from emberlattice.scratch import written
 from emberlattice.operators.graph import connected
 from emberlattice.llm.decontaminate import decontaminate, item_pieces
@@ -89,6 +91,33 @@ def test_substrings_and_suffixes(spark):
     assert kept(" a b\nc  d e ", [(1, 3)]) == " a d e" and kept("a b", [(0, 2)]) == ""
 
 
+def test_strings_of_a_block_are_grouped_in_one_order(monkeypatch):
+    """Equal strings stand together by rising document, are told apart where hashes clash, and a partition's answers find their places in any order."""
+    from emberlattice.llm import suffixes
+
+    texts = [b"abcdefghijklmnopqrstuvwxyz" * 3, b"the quick brown fox jumps over the lazy dog " * 2, b"abcdefghijklmnopqrstuvwxyz" * 3]
+    row = {"block": 0, "docs": np.array([1, 4, 9]).tobytes(), "sizes": np.array([len(t) for t in texts]).tobytes(), "text": b"".join(texts)}
+    whole = row["text"]
+    assert suffixes.words_of(whole).tolist() == [int.from_bytes(whole[i : i + 8]) for i in range(len(whole) - 7)] and not len(suffixes.words_of(b"short"))
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(suffixes, "runs_of_bytes", lambda data, width: np.zeros(len(data) - width + 1, np.uint64))
+        b = suffixes.Block(row)
+        at, starts = b.alike(suffixes.SIZE)
+        assert sorted(at.tolist()) == [i for i in range(len(whole)) if b.left[i] >= 50]
+        runs = [[whole[i : i + 50] for i in r] for r in np.split(at, starts[1:])]
+        assert all(len(set(r)) == 1 for r in runs) and (clash or len(runs) == len({r[0] for r in runs}))
+        assert all((np.diff(b.docs[b.chunk[r]]) >= 0).all() for r in np.split(at, starts[1:]))
+        cut = np.array([int.from_bytes(b"fghijklm"), int.from_bytes(b"q       ")], np.uint64)
+        sent = suffixes.Sent(b, cut)
+        strings = [whole[i : i + 17] for i in sent.at[sent.starts]]
+        order = [sorted({x for x, q in zip(strings, sent.parts, strict=True) if q == p}) for p in range(3)]
+        found = [{"part": p, "name": np.array([order[p].index(x) for x, q in zip(strings, sent.parts, strict=True) if q == p], np.uint32).tobytes()} for p in (2, 0, 1)]
+        names = suffixes.Names({p: len(x) for p, x in enumerate(order)}, 3).settled(found, sent, len(whole))
+        every = sum(order, [])
+        assert every == sorted(set(strings)) and all(every[names[i]] == whole[i : i + 17] for i in sent.at)
+
+
 def test_jaccard(spark):
     rows = corpus(3)
     got = jaccard_components(frame(spark, rows), chunk=2, blocks=3).collect()
