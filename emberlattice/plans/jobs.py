@@ -253,7 +253,7 @@ def build_hotspots(features: DataFrame, settings: Hotspots = Hotspots()) -> tupl
 
 
 def write_hotspots(layer: DataFrame, clusters: DataFrame, report: DataFrame, folder: str) -> None:
-    layer.write.mode("overwrite").partitionBy("run_id").parquet(f"{folder}/knowledge_layer.parquet")
+    X.write_folders(layer, f"{folder}/knowledge_layer.parquet")
     X.write_geojson(layer, f"{folder}/knowledge_layer.geojsonl")
     clusters.write.mode("overwrite").parquet(f"{folder}/hotspot_registry.parquet")
     report.write.mode("overwrite").json(f"{folder}/cluster_validation.json")

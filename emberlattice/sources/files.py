@@ -92,6 +92,8 @@ STAGE_INPUTS = {
         ["module_1_stage5_scored.parquet", "module_1_stage5_pct.parquet", "module_1_stage5_labeled.parquet", "module_1_stage5_hotspots.parquet"],
     ),
 }
+#: Files that a task of write_folders keeps open, and Spark's setting for it.
+FOLDERS, OPEN = 4, "spark.sql.maxConcurrentOutputFileWriters"
 FEATURES = ["features.geoparquet", "features.parquet"]
 
 
@@ -102,14 +104,10 @@ def stage_candidates(stage: str, output: str, between: str, processed: str, own:
 
 
 def double_bytes(c: Column) -> Column:
-    """The 8 bytes of a double, high byte first, by arithmetic on its sign, exponent and fraction (0 and normal numbers)."""
-    mag = F.abs(c)
-    guess = F.floor(F.log2(mag)).cast("int")
-    exponent = F.when(mag < F.pow(F.lit(2.0), guess), guess - 1).when(mag >= F.pow(F.lit(2.0), guess + 1), guess + 1).otherwise(guess)
-    fraction = ((mag / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)).cast("long")
-    bits = F.shiftleft((exponent + 1023).cast("long"), 52).bitwiseOR(fraction)
-    signed = F.when(c < 0, bits.bitwiseOR(F.lit(-(1 << 63)))).otherwise(bits)
-    return F.unhex(F.lpad(F.hex(F.when(c == 0, F.lit(0).cast("long")).otherwise(signed)), 16, "0"))
+    """The 8 bytes of a double, high byte first; both zeros are 0."""
+    whole = c.cast("double") + 0.0
+    bits = F.when(whole.isNotNull(), F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), whole).cast("long"))
+    return F.unhex(F.lpad(F.hex(bits), 16, "0"))
 
 
 def wkb_point(x: Column, y: Column) -> Column:
@@ -136,9 +134,21 @@ def wkb_point_xy(b: Column) -> tuple[Column, Column]:
     return out[0], out[1]
 
 
+def write_folders(df: DataFrame, path: str, partition: tuple[str, ...] = ("run_id",)) -> None:
+    """Parquet, a folder for each value of the partition's columns. A task keeps the files of its first FOLDERS folders open and sorts only rows of others,
+    so a few large runs are written without a sort of whole rows."""
+    spark = df.sparkSession
+    before = spark.conf.get(OPEN, None)
+    spark.conf.set(OPEN, str(FOLDERS))
+    try:
+        df.write.mode("overwrite").partitionBy(*partition).parquet(path)
+    finally:
+        spark.conf.set(OPEN, before) if before is not None else spark.conf.unset(OPEN)
+
+
 def write_points(df: DataFrame, path: str, partition: tuple[str, ...] = ("run_id",)) -> None:
     """Parquet with a WKB geometry, a folder a run; the reference system goes into a sidecar written by the job."""
-    df.withColumn("geometry", wkb_point(F.col("longitude"), F.col("latitude"))).write.mode("overwrite").partitionBy(*partition).parquet(path)
+    write_folders(df.withColumn("geometry", wkb_point(F.col("longitude"), F.col("latitude"))), path, partition)
 
 
 def write_geojson(df: DataFrame, path: str, geometry: Column | None = None, leave: tuple[str, ...] = ()) -> None:

@@ -96,3 +96,31 @@ def test_scored_rows_stay_where_they_are(spark):
     assert len(got) == 200 and {r.temperature_total_pixels for r in got.values()} == {200}
     assert {r.hotspot_id for r in got.values() if r.gx == 4} == {"HOT_0001"} and {r.hotspot_id for r in got.values() if r.gx == 12} == {None}
     assert all((r.hotspot_confidence_score is None) == (r.hotspot_id is None) for r in got.values())
+
+
+def test_bytes_of_every_double(spark):
+    """Numbers below the normal ones, infinities, both zeros and missing ones too."""
+    import math
+    import struct
+
+    from emberlattice.sources.files import wkb_point, wkb_point_xy
+
+    values = [5e-324, 1e-310, -1e-310, math.inf, -math.inf, 0.0, -0.0, 1.0, -2.5, 80.1009, 2.0**-1022, 1.7976931348623157e308, 0.1 + 0.2]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").select("v", wkb_point(F.col("v"), F.lit(1.5)).alias("g")).collect()
+    assert all(bytes(r.g) == b"\0\0\0\0\1" + struct.pack(">dd", r.v + 0.0, 1.5) for r in rows[:-1]) and rows[-1].g is None
+    x, y = wkb_point_xy(F.col("g"))
+    back = spark.createDataFrame([(80.1009, 13.0), (-0.25, 1e-9)], "a double, b double").select("a", "b", wkb_point(F.col("a"), F.col("b")).alias("g")).select("a", "b", x.alias("x"), y.alias("y")).collect()
+    assert all((r.a, r.b) == (r.x, r.y) for r in back)
+
+
+def test_few_folders_are_written_without_a_sort(spark, tmp_path):
+    """Rows of more folders than files may be open are written too."""
+    from emberlattice.sources import files as X
+
+    path, before = str(tmp_path / "layer"), spark.conf.get(X.OPEN)
+    own = spark.range(1000).select(F.concat(F.lit("r"), F.col("id") % 9).alias("run_id"), F.col("id").alias("v"))
+    X.write_folders(own, path)
+    store = spark._jsparkSession.sharedState().statusStore()
+    plan = [store.executionsList().apply(i).physicalPlanDescription() for i in range(store.executionsList().size())][-1]
+    assert "InsertIntoHadoopFsRelationCommand" in plan and "Sort" not in plan and spark.conf.get(X.OPEN) == before
+    assert sorted(map(tuple, spark.read.parquet(path).select("run_id", "v").collect())) == sorted((f"r{i % 9}", i) for i in range(1000))
