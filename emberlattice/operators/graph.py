@@ -52,7 +52,8 @@ def lattice_components(cells: DataFrame, connectivity: int = 8, col: str = "cx",
     """(keys, col, row, component number) of the given hot cells, numbered in scan order: rows from the first, then columns.
 
     Each row's consecutive cells collapse into a run; runs of neighbouring rows that touch (overlap, or within one cell for 8
-    neighbours) are linked; components of runs are found by stars. Cells per run vanish before the iteration.
+    neighbours) are linked; components of runs are found by stars. Cells per run vanish before the iteration. Runs and components
+    are joined by keys and never broadcast, as there are more of them the more cells there are; the runs' numbers end as a table.
     """
     own = cells.select(*keys, F.col(col).cast("long").alias("c"), F.col(row).cast("long").alias("r")).distinct()
     along = Window.partitionBy(*keys, "r").orderBy("c")
@@ -69,10 +70,11 @@ def lattice_components(cells: DataFrame, connectivity: int = 8, col: str = "cx",
     right = below.withColumn("blk", blocks(F.col("lo2"), F.col("hi2")))
     touching = dealt(left).join(dealt(right), [*keys, "r", "blk"]).filter((F.col("lo2") <= F.col("hi") + reach) & (F.col("hi2") >= F.col("lo") - reach))
     found = connected(touching.select(F.col("run").alias("a"), "b").distinct())
-    labelled = runs.join(found.withColumnRenamed("id", "run"), "run", "left").withColumn("component", F.coalesce("component", "run"))
+    labelled = dealt(runs).join(dealt(found.withColumnRenamed("id", "run")), "run", "left").withColumn("component", F.coalesce("component", "run"))
     heads = labelled.select(*keys, "component").distinct()
     number = numbered(heads, keys, [F.col("component.r"), F.col("component.lo")])
-    cells_of = labelled.join(number, [*keys, "component"]).select(*keys, "r", F.explode(F.sequence("lo", "hi")).alias("c"), "number")
+    named = written(dealt(labelled).join(dealt(number), [*keys, "component"]).select(*keys, "r", "lo", "hi", "number"), "components")
+    cells_of = named.select(*keys, "r", F.explode(F.sequence("lo", "hi")).alias("c"), "number")
     return cells_of.select(*keys, F.col("c").cast("int").alias(col), F.col("r").cast("int").alias(row), "number")
 
 
@@ -87,5 +89,5 @@ def numbered(df: DataFrame, keys, order) -> DataFrame:
     counts = ranged.groupBy(*keys, "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     local = Window.partitionBy(*keys, "part").orderBy(*order)
     return (
-        ranged.withColumn("local", F.row_number().over(local)).join(counts, [*keys, "part"]).withColumn("number", F.col("local") + F.col("before")).drop("local", "before", "part")
+        dealt(ranged.withColumn("local", F.row_number().over(local))).join(dealt(counts), [*keys, "part"]).withColumn("number", F.col("local") + F.col("before")).drop("local", "before", "part")
     )
