@@ -263,6 +263,8 @@ def nearest(points: DataFrame, k: int, x: str, y: str, id_col: str, values, keys
         if sums:
             pick = F.struct(*(added(F.col("best"), f"v{i}").alias(f"v{i}") for i in range(len(values))))
         best = best.unionByName(left.join(near, [*inner, "x", "y"]).select(*inner, "id", pick.alias("best")))
+    else:  # the answers alone are read, and points where several share a place
+        scratch.drop("spots", *(() if piled else ("placed",)))
     return best, inner
 
 

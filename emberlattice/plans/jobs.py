@@ -18,7 +18,7 @@ from emberlattice.operators import spatial as S
 from emberlattice.operators import thermal as T
 from emberlattice.sources import catalogue as C
 from emberlattice.sources import files as X
-from emberlattice.scratch import written
+from emberlattice.scratch import cleaned, interim, written
 
 LAYERS = ("water", "parks", "roads")
 
@@ -254,12 +254,30 @@ def build_hotspots(features: DataFrame, settings: Hotspots = Hotspots()) -> tupl
 
 def write_hotspots(layer: DataFrame, clusters: DataFrame, report: DataFrame, folder: str) -> None:
     X.write_folders(layer, f"{folder}/knowledge_layer.parquet")
-    X.write_geojson(layer, f"{folder}/knowledge_layer.geojsonl")
+    write_beside(layer, clusters, report, folder)
+
+
+def write_beside(layer: DataFrame, clusters: DataFrame, report: DataFrame, folder: str) -> None:
+    """What write_hotspots leaves beside the layer's Parquet. GeoJSON takes sixteen times the bytes of that, so its lines are packed."""
+    X.write_geojson(layer, f"{folder}/knowledge_layer.geojsonl", packed=True)
     clusters.write.mode("overwrite").parquet(f"{folder}/hotspot_registry.parquet")
     report.write.mode("overwrite").json(f"{folder}/cluster_validation.json")
     Q.manifest(layer, clusters).write.mode("overwrite").json(f"{folder}/metadata.json")
 
 
+def export_hotspots(spark: SparkSession, scored: Callable[[], DataFrame], folder: str, cell_m: float = 100.0) -> None:
+    """write_hotspots of scored points, made when called, with less on disk: their layer stands in the folder alone, from where all else reads it, and the
+    tables that lead to it go before the rest is written."""
+    path = f"{folder}/knowledge_layer.parquet"
+    with cleaned(spark):
+        with interim(spark):
+            layer = T.final_layer(scored().withColumn("geometry", X.wkb_point(F.col("longitude"), F.col("latitude"))))
+            X.write_folders(layer, path)
+        layer = spark.read.schema(layer.schema).parquet(path).select(layer.columns)
+        clusters = written(T.registry(layer, cell_m), "registry")
+        write_beside(layer, clusters, Q.layer_report(layer, clusters), folder)
+
+
 def cluster_polygons(layer: DataFrame, folder: str, settings: Hotspots = Hotspots()) -> None:
     """Clusters as unions of their cells in EPSG:4326, holes included, a GeoJSON feature a line with the cluster's figures as properties."""
     figures, shapes = T.cluster_shapes(layer, settings.cell_m), K.to_degrees(T.cluster_polygons(layer, settings.cell_m))

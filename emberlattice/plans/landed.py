@@ -128,9 +128,7 @@ def _(spark, d):
 def exported(spark: SparkSession, d: str) -> str:
     """The folder of the hotspot job's outputs."""
     folder = landing(spark, "hotspots")
-    layer = T.written(T.final_layer(heat.scored(spark, d).withColumn("geometry", X.wkb_point(c("longitude"), c("latitude")))), "layer")
-    clusters = T.written(T.registry(layer), "registry")
-    jobs.write_hotspots(layer, clusters, Q.layer_report(layer, clusters), folder)
+    jobs.export_hotspots(spark, lambda: T.all_stages(A.cells(spark, d)), folder)
     return folder
 
 

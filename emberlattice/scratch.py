@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,8 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
 #: Folders of local sessions that name none, by application.
 OWN: dict[str, str] = {}
+#: Jobs' folders that go when the interim that is open ends.
+INTERIM: ContextVar[list[str] | None] = ContextVar("interim", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +47,37 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written within go once it is written."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table or a folder by the file system that Spark uses."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def interim(spark: SparkSession) -> Iterator[None]:
+    """The folders of all jobs that begin within go when it ends: for what leads to a table that is written within and kept elsewhere, by a job that
+    began before."""
+    token = INTERIM.set([])
+    try:
+        yield
+    finally:
+        folders = INTERIM.get()
+        INTERIM.reset(token)
+        for folder in folders:
+            delete(spark, folder)
+
+
 class Scratch:
     """The tables of one job, in a folder of its own below the shared one. A table that a later one replaces can be dropped; those that
     the job's result reads stay until whoever owns the shared folder clears it."""
@@ -49,25 +85,19 @@ class Scratch:
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
+        if (folders := INTERIM.get()) is not None:
+            folders.append(self.folder)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """df as a Parquet table, read back."""
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with cleaned(self.spark):
             df.write.parquet(f"{self.folder}/{name}")
-        finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more, by the file system that Spark uses."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.folder}/{name}")
 
 
 def dealt(df: DataFrame) -> DataFrame:

@@ -151,12 +151,14 @@ def write_points(df: DataFrame, path: str, partition: tuple[str, ...] = ("run_id
     write_folders(df.withColumn("geometry", wkb_point(F.col("longitude"), F.col("latitude"))), path, partition)
 
 
-def write_geojson(df: DataFrame, path: str, geometry: Column | None = None, leave: tuple[str, ...] = ()) -> None:
-    """One GeoJSON feature a line, with all columns as properties but binary ones and those to leave."""
+def write_geojson(df: DataFrame, path: str, geometry: Column | None = None, leave: tuple[str, ...] = (), packed: bool = False) -> None:
+    """One GeoJSON feature a line, with all columns as properties but binary ones and those to leave; packed: in gzip files, which read_geojson_lines takes too."""
     point = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
     shape = geometry if geometry is not None else point
     properties = F.struct(*(c for c, t in df.dtypes if t != "binary" and c not in leave))
-    df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), properties.alias("properties"))).alias("value")).write.mode("overwrite").text(path)
+    lines = df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), properties.alias("properties"))).alias("value"))
+    how = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"} if packed else {}
+    lines.write.mode("overwrite").options(**how).text(path)
 
 
 def write_collections(df: DataFrame, path: str, geometry: Column, each: int = 1000) -> None:
