@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Iterator
-from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,29 +24,63 @@ CHUNK = 4  # one in so many anchors ends a chunk
 SLICE = 1 << 17  # bytes that are hashed at a time
 
 
+class Room(threading.local):
+    """Two arrays that a worker keeps, as new memory costs it more than the arithmetic that is done there."""
+
+    a = b = np.zeros(0, dtype=np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.a) < n:
+            self.a, self.b = np.empty(n, dtype=np.uint64), np.empty(n, dtype=np.uint64)
+        return self.a[:n], self.b[:n]
+
+
+ROOM = Room()
+
+
 def runs_of_bytes(data: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the strings of `width` bytes that start at each place (as many as there are)."""
-    n = len(data) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    level, size, power = data.astype(np.uint64) + U(1), 1, int(PRIME)
-    out, done = None, 0
-    rest = width
+    n = max(0, len(data) - width + 1)
+    out = np.empty(n, dtype=np.uint64)
+    each = n if n <= 2 * SLICE else SLICE
+    for i in range(0, n, each or 1):
+        hash_into(out[i : i + each], data[i : i + each + width - 1], width)
+    return out
+
+
+def hash_into(out: np.ndarray, data: np.ndarray, width: int) -> None:
+    """Hashes of a slice's strings: those of half the length make those of the whole."""
+    n, m, size, power = len(out), len(data), 1, int(PRIME)
+    level, spare = ROOM.of(m)
+    level[:] = data
+    level += U(1)
+    done, rest = 0, width
     while rest:
         if rest & 1:
             part = level[done : done + n]
-            if out is None:
-                out = part.copy()
-            else:
+            if done:
                 out *= U(power)
                 out += part
+            else:
+                out[:] = part
             done += size
         rest >>= 1
         if rest:
-            longer = level[: len(level) - size] * U(power)
-            longer += level[size:]
-            level, size, power = longer, 2 * size, power * power % (1 << 64)
-    return mixed(out)
+            m -= size
+            np.multiply(level[:m], U(power), out=spare[:m])
+            spare[:m] += level[size : size + m]
+            level, spare = spare, level
+            size, power = 2 * size, power * power % (1 << 64)
+    mixed_into(out, spare[:n])
+
+
+def mixed_into(h: np.ndarray, spare: np.ndarray) -> None:
+    """grams.mixed in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(h, U(shift), out=spare)
+        h ^= spare
+        if factor:
+            h *= U(factor)
 
 
 def least_anchors(data: np.ndarray, seed: int) -> np.ndarray:
@@ -53,11 +88,16 @@ def least_anchors(data: np.ndarray, seed: int) -> np.ndarray:
     if len(data) > 2 * SLICE:
         return np.concatenate([least_anchors(data[i : i + SLICE + SIZE - 1], seed) for i in range(0, len(data) - SIZE + 1, SLICE)])
     h = runs_of_bytes(data, seed)
-    width, size = SIZE - seed + 1, 1
+    width, size, n = SIZE - seed + 1, 1, len(h)
+    if n < width:
+        return np.zeros(0, dtype=np.uint64)
+    low, (now, spare) = h, ROOM.of(n)
     while 2 * size <= width:
-        h = np.minimum(h[: len(h) - size], h[size:])
-        size *= 2
-    return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if len(h) > width - size else np.zeros(0, dtype=np.uint64)
+        n -= size
+        np.minimum(low[:n], low[size : size + n], out=now[:n])
+        low, now, spare, size = now, spare, now, 2 * size
+    n = len(h) - width + 1
+    return np.minimum(low[:n], low[width - size : width - size + n], out=h[:n])
 
 
 def changes(a: np.ndarray) -> np.ndarray:
@@ -77,7 +117,7 @@ def ordered(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             bits = int(whole.max()).bit_length() if len(whole) else 0
         if bits + more > 64:
             k = ranks(k)
-            more = 64 - bits
+            more = int(k.max()).bit_length() if len(k) else 0
         whole, bits = (whole << U(more)) | k.astype(np.uint64), bits + more
     order = np.argsort(whole)
     return order, changes(whole[order])
@@ -100,11 +140,8 @@ class Stretch:
         sizes = np.array([len(x) for x in bodies], dtype=np.int64)
         n = sizes - SIZE + 1
         self.begin, self.first = np.cumsum(sizes) - sizes, np.cumsum(n) - n
-        inside = np.zeros(len(self.text) + 1, dtype=np.int8)
-        inside[self.begin] = 1
-        inside[self.begin + n] = -1
         least = least_anchors(np.frombuffer(self.text, np.uint8), seed)
-        self.least = least[np.cumsum(inside, dtype=np.int8)[: len(least)] > 0]
+        self.least = np.concatenate([least[begin:end] for begin, end in zip(self.begin.tolist(), (self.begin + n).tolist(), strict=True)])
         self.new = changes(self.least)
         self.new[self.first] = True
 
@@ -115,12 +152,13 @@ class Stretch:
 def stretches(part: pa.Table, seed: int, skip: set) -> Iterator[Stretch]:
     """A block's items in stretches of about SLICE bytes, without those named by skip (document, item)."""
     rows, bodies, size = [], [], 0
-    for i, (doc, item, body) in enumerate(zip(part["doc"], part["item"], part["body"], strict=True)):
-        if skip and (doc.as_py(), item.as_py()) in skip:
+    left_out = {i for i, x in enumerate(zip(part["doc"].to_pylist(), part["item"].to_pylist(), strict=True)) if x in skip} if skip else ()
+    for i, body in enumerate(body for chunk in part["body"].chunks for body in chunk.to_pylist()):
+        if i in left_out:
             continue
         rows.append(i)
-        bodies.append(body.as_py())
-        size += len(bodies[-1])
+        bodies.append(body)
+        size += len(body)
         if size >= SLICE:
             yield Stretch(rows, bodies, seed)
             rows, bodies, size = [], [], 0
@@ -188,13 +226,15 @@ def chunks_of(items: DataFrame, notes: DataFrame, seed: int) -> DataFrame:
     places, stands once a block and digest."""
 
     def cut(part: pa.Table, told: pa.Table) -> pa.Table:
-        own = np.unique(joined_blobs(told["h"].drop_null(), np.uint64))
-        docs, items_of = part["doc"].to_numpy() if part.num_rows else None, part["item"]
-        rows, seen = [], {}
+        own = np.sort(joined_blobs(told["h"].drop_null(), np.uint64))
+        own = own[changes(own)]
+        at_row, at_start, sizes, digests, bodies, seen = [none := np.zeros(0, np.int64)], [none], [none], [], [], set()
         for x in stretches(part, seed, skip_of(told)) if len(own) else ():
             at = np.flatnonzero(x.new)
             h = x.least[at]
-            known = own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
+            order = np.argsort(h)  # a search in order finds its neighbours in the processor's cache
+            known = np.empty(len(h), dtype=bool)
+            known[order] = own[np.minimum(np.searchsorted(own, h[order]), len(own) - 1)] == h[order]
             may = np.repeat(known, np.diff(np.concatenate([at, [len(x.least)]])))
             edge = changes(may)
             edge[at[mixed(h) % U(CHUNK) == 0]] = True
@@ -204,17 +244,20 @@ def chunks_of(items: DataFrame, notes: DataFrame, seed: int) -> DataFrame:
             keep = may[begins]
             begins, ends = begins[keep], ends[keep]
             item = x.item(begins)
-            places, offsets = (begins - x.first[item]).tolist(), (x.begin[item] + begins - x.first[item]).tolist()
-            for row, start, offset, n in zip(x.rows[item].tolist(), places, offsets, (ends - begins).tolist(), strict=True):
-                body = x.text[offset : offset + n + SIZE - 1]
+            places = begins - x.first[item]
+            offsets = x.begin[item] + places
+            for offset, end in zip(offsets.tolist(), (offsets + (ends - begins) + SIZE - 1).tolist(), strict=True):
+                body = x.text[offset:end]
                 digest = hashlib.blake2b(body, digest_size=16).digest()
-                least = seen.get(digest)
-                if least is None or docs[row] < least:
-                    seen[digest] = docs[row]
-                rows.append((row, start, n, digest, body if least is None else None))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-        at = pa.array(cols[0], pa.int64())
-        data = [part["doc"].take(at), part["item"].take(at), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True))]
+                digests.append(digest)
+                bodies.append(None if digest in seen else body)
+                seen.add(digest)
+            at_row.append(x.rows[item])
+            at_start.append(places)
+            sizes.append(ends - begins)
+        at = pa.array(np.concatenate(at_row))
+        numbers = pa.array(np.concatenate(at_start).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32))
+        data = [part["doc"].take(at), part["item"].take(at), *numbers, pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())]
         return pa.Table.from_arrays(data, names=["doc", "item", "start", "n", "digest", "body"])
 
     return items.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(cut, "doc long, item binary, start long, n int, digest binary, body binary")
@@ -430,12 +473,10 @@ def hits(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
         hit[at[later]] = True
         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
         owner = b.chunk[edges[:, 0]]
-        rows = []
-        cuts = [*np.flatnonzero(changes(owner)).tolist(), len(owner)]
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            if y > x:
-                o = int(owner[x])
-                rows.append((row["digests"][16 * o : 16 * o + 16], (edges[x:y] - b.begins[o]).astype(np.int64).tobytes()))
+        runs = (edges - b.begins[owner][:, None]).astype(np.int64).tobytes()
+        cuts = [*np.flatnonzero(changes(owner)).tolist(), len(owner)] if len(owner) else [0]
+        owners = owner[cuts[:-1]].tolist()
+        rows = [(row["digests"][16 * o : 16 * o + 16], runs[16 * x : 16 * y]) for o, x, y in zip(owners, cuts[:-1], cuts[1:], strict=True)]
         return table_of(rows, fields)
 
     return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(settle, "item binary, runs binary")
@@ -448,10 +489,38 @@ def lifted(chunks: DataFrame, heads: DataFrame, runs: DataFrame) -> DataFrame:
     return placed.groupBy("doc", "item").agg(F.collect_list(F.struct("start", "n", (F.col("first") < F.col("doc")).alias("whole"), "runs")).alias("found"))
 
 
-def runs_in(found: list[dict]) -> np.ndarray:
-    """Begins and ends of repeated places of an item."""
-    none = np.zeros((0, 2), np.int64)
-    return np.concatenate([none, *(x["start"] + (np.array([[0, x["n"]]]) if x["whole"] else np.frombuffer(x["runs"], np.int64).reshape(-1, 2)) for x in found)])
+def end_to_end(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings, and where each begins and the last one ends there (a null has none)."""
+    strings = pc.fill_null(strings, b"").cast(pa.large_binary())
+    _, at, data = strings.buffers()
+    if not len(strings) or not data:
+        return np.zeros(0, np.uint8), np.zeros(len(strings) + 1, np.int64)
+    return np.frombuffer(data, np.uint8), np.frombuffer(at, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+
+
+def runs_in(found: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, begins and ends of the repeated places of a column of items, by row."""
+    row = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+    start, n, whole, runs = found.flatten().flatten()
+    start, n, whole = start.to_numpy(), n.to_numpy(), whole.to_numpy(zero_copy_only=False).astype(bool)
+    data, at = end_to_end(runs.filter(pa.array(~whole)))
+    edges, inner = data[at[0] : at[-1]].view(np.int64).reshape(-1, 2), np.repeat(np.flatnonzero(~whole), np.diff(at) // 16)
+    rows = np.concatenate([row[whole], row[inner]])
+    begins = np.concatenate([start[whole], start[inner] + edges[:, 0]])
+    ends = np.concatenate([start[whole] + n[whole], start[inner] + edges[:, 1]])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], begins[order], ends[order]
+
+
+def removed(begins: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of stretches of bytes (of rows that lie end to end) that overlap or touch within a row: begins, ends and rows, in order."""
+    order = np.lexsort((begins, row))
+    begins, row = begins[order], row[order]
+    far = np.maximum.accumulate(ends[order])
+    new = changes(row)
+    new[1:] |= begins[1:] > far[:-1]
+    first = np.flatnonzero(new)
+    return begins[first], far[np.concatenate([first[1:], [len(far)]]) - 1] if len(far) else far, row[first]
 
 
 def repeated_in(items: DataFrame, size: int, notes: DataFrame, seeds: tuple[int, ...], scratch: Scratch, block_bytes: int, cut=lambda: None) -> DataFrame:
@@ -475,16 +544,19 @@ def repeated_in(items: DataFrame, size: int, notes: DataFrame, seeds: tuple[int,
     chunks = scratch.keep(chunks.drop("body"), f"placed-{seed}")
     scratch.drop(f"chunks-{seed}")
     size = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    none = spark.createDataFrame([], "doc long, item binary")
+    empty = spark.range(0)  # tables without rows start no Python workers
+    none = empty.select(F.col("id").alias("doc"), F.lit(b"").alias("item"))
     if not size:
-        runs = spark.createDataFrame([], "item binary, runs binary")
+        runs = empty.select(F.lit(b"").alias("item"), F.lit(b"").alias("runs"))
     elif rest:
         inner = repeated_in(bodies, size, none, tuple(rest), scratch, block_bytes, lambda: scratch.drop(f"bodies-{seed}"))
 
         def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                runs = [runs_in(x).astype(np.int64).tobytes() for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["item", "runs"])
+                row, begins, ends = runs_in(batch.column(1))
+                at = (16 * np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])).astype(np.int32)
+                runs = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at), pa.py_buffer(np.column_stack([begins, ends]).astype(np.int64))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), runs], names=["item", "runs"])
 
         runs = inner.select("item", "found").mapInArrow(flat, "item binary, runs binary")
     else:
@@ -513,9 +585,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     source = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     source = source.withColumn("item", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     usable = source.filter(f"doc is not null and octet_length(text) >= {SIZE}")
-    same = usable.groupBy("item").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    copies = scratch.keep(usable.select("doc", "item").join(same, "item").filter("doc > first").select("doc", "item").distinct(), "copies")
-    total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keys = scratch.keep(usable.select("doc", "item", F.octet_length("text").alias("size")), "keys")
+    same = keys.groupBy("item").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    copies = scratch.keep(keys.select("doc", "item").join(same, "item").filter("doc > first").select("doc", "item").distinct(), "copies")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    scratch.drop("keys")
     items = usable.select("doc", "item", F.col("text").cast("binary").alias("body"))
     full = source.join(copies.withColumn("copy", F.lit(True)), ["doc", "item"], "left")
     if total:
@@ -525,23 +599,26 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, copy, found in zip(*batch.columns, strict=True):
-                raw = text.as_py() or b""
-                if not copy.as_py() and not found.as_py():
-                    rows.append((doc.as_py(), len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
-                    continue
-                gone = np.zeros(len(raw) + 1, dtype=np.int32)
-                if copy.as_py():
-                    gone[0], gone[-1] = 1, -1
-                runs = runs_in(found.as_py() or [])
-                np.add.at(gone, runs[:, 0], 1)
-                np.add.at(gone, runs[:, 1] + SIZE - 1, -1)
-                out = np.cumsum(gone[:-1]) > 0
-                kept = np.frombuffer(raw, np.uint8)[~out].tobytes()
-                rows.append((doc.as_py(), len(raw), len(raw) - len(kept), int((np.diff(np.concatenate([[0], out.view(np.int8)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-            fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-            yield from table_of(rows, fields).to_batches() if rows else ()
+            if not batch.num_rows:
+                continue
+            doc, text, copy, found = batch.columns
+            data, at = end_to_end(text)
+            sizes, gone = np.diff(at), np.flatnonzero(pc.fill_null(copy, False).to_numpy(zero_copy_only=False))
+            row, begins, ends = runs_in(found)
+            begins, ends, row = removed(
+                np.concatenate([at[gone], at[row] + begins]), np.concatenate([at[gone + 1], at[row] + ends + SIZE - 1]), np.concatenate([gone, row])
+            )
+            spans, less = np.bincount(row, minlength=len(sizes)), np.zeros(len(sizes), np.int64)
+            np.add.at(less, row, ends - begins)
+            kept, cuts = [], zip(begins.tolist(), ends.tolist(), strict=True)
+            for begin, end, n in zip(at[:-1].tolist(), at[1:].tolist(), spans.tolist(), strict=True):
+                digest = hashlib.sha256()
+                for a, b in islice(cuts, n):
+                    digest.update(data[begin:a])
+                    begin = b
+                digest.update(data[begin:end])
+                kept.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([doc, pa.array(sizes), pa.array(less), pa.array(spans.astype(np.int64)), pa.array(kept)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     done = full.select("doc", F.col("text").cast("binary"), "copy", "found").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumnRenamed("doc_id", id_col)
